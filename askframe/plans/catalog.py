@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askframe.plans import catalog_text  # noqa: F401
+from askframe.plans import catalog_kb, catalog_text  # noqa: F401
 from askframe.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
