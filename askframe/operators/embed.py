@@ -77,7 +77,8 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
                                 for tf, n in zip(tfs, norms)]
             yield out
 
-    return df.select(*keep_cols, text_col).mapInPandas(run, schema)
+    cols = list(keep_cols) + ([text_col] if text_col not in keep_cols else [])
+    return df.select(*cols).mapInPandas(run, schema)
 
 
 def hashed_long_form(vectors: DataFrame, id_col: str) -> DataFrame:
