@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from askframe.plans import catalog_answer, catalog_eval, catalog_kb, catalog_text, catalog_vectors  # noqa: F401
+from askframe.plans import (catalog_answer, catalog_eval, catalog_kb, catalog_streams,  # noqa: F401
+                            catalog_text, catalog_vectors)
 from askframe.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
