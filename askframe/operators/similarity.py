@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe import rules
+from askframe.operators.util import materialize_if_computed
 
 MAX_CELLS = 4096
 
@@ -137,8 +138,8 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
         k = rules.TOP_K
     qtype, dtype_ = queries.schema[qid].dataType, docs.schema[did].dataType
     vtype = docs.schema[vec].dataType
-    d = docs.select(F.col(did).alias("_did"), F.col(vec).alias("_v"))
-    q = queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
+    d = materialize_if_computed(docs.select(F.col(did).alias("_did"), F.col(vec).alias("_v")))
+    q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v")))
 
     n_docs = d.count()
     if n_docs == 0:

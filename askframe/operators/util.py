@@ -19,3 +19,22 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 
 def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+_PYTHON_NODES = ("MapInPandas", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
+                 "FlatMapCoGroupsInPandas", "MapInArrow")
+
+
+def has_python_stage(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(n in plan for n in _PYTHON_NODES)
+
+
+def materialize_if_computed(df: DataFrame) -> DataFrame:
+    """Checkpoint (to the shared checkpoint folder) a frame that runs Python code, so
+    several passes over it do not re-run that code; a plain table scan is returned as is."""
+    if not has_python_stage(df):
+        return df
+    from askframe.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

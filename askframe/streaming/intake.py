@@ -65,10 +65,13 @@ def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vect
             return
         uploads = batch.select(F.col("text"), F.col("category"),
                                F.struct(F.lit(3).alias("src_no"), F.lit(batch_id).cast("long").alias("sheet_no"),
-                                        F.col("path").alias("pos")).alias("seq"))
-        base = existing if existing is not None else session.createDataFrame([], "id string")
-        rows = K.append_uploads(base, uploads, profile).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.mode("append").parquet(kb_path)
+                                        F.col("path").alias("pos")).alias("seq")).persist()
+        try:
+            base = existing if existing is not None else session.createDataFrame([], "id string")
+            rows = K.append_uploads(base, uploads, profile).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            rows.write.mode("append").parquet(kb_path)
+        finally:
+            uploads.unpersist()
         written = session.read.parquet(kb_path).filter(F.col("batch_id") == batch_id)
         kb_vectors(written, embedder).withColumn("batch_id", F.lit(batch_id).cast("long")) \
             .write.mode("append").parquet(vectors_path)
