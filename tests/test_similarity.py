@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from askframe.operators.similarity import similarity_topk
+
+
+def _brute(q, d, k, t, qids, dids):
+    out = {}
+    for i, qv in enumerate(q):
+        rows = []
+        for j, dv in enumerate(d):
+            dot = 0.0
+            for a, b in zip(qv.astype(np.float64), dv.astype(np.float64)):
+                dot += a * b
+            nq = sum(float(x) * float(x) for x in qv.astype(np.float64))
+            nd = sum(float(x) * float(x) for x in dv.astype(np.float64))
+            s = dot / np.sqrt(nq * nd) if nq * nd > 0 else 0.0
+            if s >= t:
+                rows.append((-s, dids[j]))
+        rows.sort()
+        out[qids[i]] = [(dj, round(-ns, 4)) for ns, dj in rows[:k]]
+    return out
+
+
+def _clustered(n, dim, centers, seed):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centers, dim))
+    lab = rng.integers(0, centers, size=n)
+    x = c[lab] + 0.3 * rng.normal(size=(n, dim))
+    return x.astype(np.float32)
+
+
+def _frames(spark, q, d):
+    qdf = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
+    ddf = spark.createDataFrame([(int(i) + 1000, v.tolist()) for i, v in enumerate(d)], "doc_id long, embedding array<float>")
+    return qdf, ddf
+
+
+@pytest.mark.parametrize("cell_rows,block_rows", [(1024, 4096), (16, 8)])
+def test_exact_equals_brute_force(spark, cell_rows, block_rows):
+    d = _clustered(150, 8, 6, 1)
+    q = np.vstack([_clustered(30, 8, 6, 2), np.zeros((1, 8), dtype=np.float32), d[:2]])
+    qdf, ddf = _frames(spark, q, d)
+    hits = similarity_topk(qdf, ddf, k=5, threshold=0.25, cell_rows=cell_rows, block_rows=block_rows)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    want = {k: v for k, v in _brute(q, d, 5, 0.25, list(range(len(q))), [i + 1000 for i in range(len(d))]).items() if v}
+    assert got == want
+    assert 30 not in got                      # zero vector: no hits
+
+
+def test_integer_ties_threshold_and_fewer_than_k(spark):
+    qdf = spark.createDataFrame([(1, [1, 0, 0]), (2, [0, 0, 1])], "query_id long, tf array<int>")
+    ddf = spark.createDataFrame([(30, [2, 0, 0]), (10, [1, 0, 0]), (20, [1, 1, 0]), (40, [0, 1, 1])],
+                                "doc_id long, tf array<int>")
+    hits = similarity_topk(qdf, ddf, vec="tf", integer=True, k=3, threshold=0.5, cell_rows=1)
+    got = [(r.query_id, r.rank, r.doc_id, r.score) for r in hits.orderBy("query_id", "rank").collect()]
+    # equal scores 1.0 tie-broken by doc id; 1/sqrt(2) passes 0.5; query 2 has one hit only
+    assert got == [(1, 1, 10, 1.0), (1, 2, 30, 1.0), (1, 3, 20, 0.7071), (2, 1, 40, 0.7071)]
+    at = similarity_topk(qdf, ddf, vec="tf", integer=True, k=5, threshold=float(1 / np.sqrt(2)))
+    assert (1, 20) in {(r.query_id, r.doc_id) for r in at.collect()}   # score exactly at threshold is kept
+    none = similarity_topk(qdf, ddf.filter(F.col("doc_id") < 0), vec="tf", integer=True)
+    assert none.count() == 0
+
+
+def test_approximate_recall(spark):
+    d = _clustered(400, 16, 8, 3)
+    q = _clustered(40, 16, 8, 4)
+    qdf, ddf = _frames(spark, q, d)
+    exact = {(r.query_id, r.doc_id) for r in similarity_topk(qdf, ddf, k=5, cell_rows=50).collect()}
+    approx = {(r.query_id, r.doc_id) for r in
+              similarity_topk(qdf, ddf, k=5, mode="approx", nprobe=3, cell_rows=50).collect()}
+    assert len(exact & approx) / len(exact) >= 0.9
