@@ -79,7 +79,7 @@ def _centroids(docs: DataFrame, n_cells: int, seed: int, integer: bool) -> np.nd
     return m if len(m) else np.zeros((1, len(picked[0][0]) if picked else 1))
 
 
-def _assign(docs: DataFrame, cents: np.ndarray, integer: bool, vtype, idtype) -> DataFrame:
+def _assign(docs: DataFrame, cents_bc, integer: bool, vtype, idtype) -> DataFrame:
     schema = T.StructType([T.StructField("_did", idtype), T.StructField("_v", vtype),
                            T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType()),
                            T.StructField("_dist", T.DoubleType())])
@@ -91,6 +91,7 @@ def _assign(docs: DataFrame, cents: np.ndarray, integer: bool, vtype, idtype) ->
             m = _matrix(pdf["_v"])
             sq = (m * m).sum(axis=1) if integer else _seq_sq(m)
             u = _unit(m)
+            cents = cents_bc.value
             sims = u @ cents.T
             cell = sims.argmax(axis=1)
             dist = np.sqrt(np.maximum(((u - cents[cell]) ** 2).sum(axis=1), 0.0))
@@ -145,12 +146,16 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
     if n_docs == 0:
         return _empty(queries, qid, did, qtype, dtype_)
     n_cells = max(1, min(MAX_CELLS, math.ceil(n_docs / cell_rows)))
+    sc = queries.sparkSession.sparkContext
     cents = _centroids(d, n_cells, seed, integer)
     dim = cents.shape[1]
-    assigned = _assign(d, cents, integer, vtype, dtype_)
+    # at most MAX_CELLS x dim doubles: a bounded broadcast, shipped once per executor
+    cents_bc = sc.broadcast(cents)
+    assigned = _assign(d, cents_bc, integer, vtype, dtype_)
     for _ in range(refine_steps if len(cents) > 1 else 0):
         cents = _refine(assigned, len(cents), dim)
-        assigned = _assign(d, cents, integer, vtype, dtype_)
+        cents_bc = sc.broadcast(cents)
+        assigned = _assign(d, cents_bc, integer, vtype, dtype_)
 
     stats = assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("r")).collect()
     radius = np.zeros(len(cents))
@@ -169,7 +174,7 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
                 continue
             m = _matrix(pdf["_v"])
             sq = (m * m).sum(axis=1) if integer else _seq_sq(m)
-            sims = _unit(m) @ cents.T
+            sims = _unit(m) @ cents_bc.value.T
             if exact:
                 hit = sims + radius[None, :] + 1e-9 >= threshold
             else:
