@@ -22,10 +22,14 @@ def fix_encoding(col) -> Column:
 
     A null input becomes the empty string.
     """
-    out = F.coalesce(_c(col), F.lit(""))
+    src = F.coalesce(_c(col), F.lit(""))
+    out = src
     for bad, good in rules.MOJIBAKE_REPLACEMENTS:
         if bad != good:
             out = F.replace(out, F.lit(bad), F.lit(good))
+    # one scan for the first characters of all sequences before running the chain
+    leads = "".join(sorted({bad[0] for bad, good in rules.MOJIBAKE_REPLACEMENTS if bad != good}))
+    out = F.when(src.rlike("[" + leads + "]"), out).otherwise(src)
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return py_strip(out)
 

@@ -7,6 +7,7 @@ struct ``(src_no, sheet_no, pos)`` and every operator here orders by it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,14 @@ def assign_dense_ids(df: DataFrame, order_cols: list[str], out: str = "ord",
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                 .checkpoint(eager=True))
+    # The range sampler and the shuffle would each evaluate ``df``; keep it for the
+    # duration of the checkpoint (a lost block is recomputed from lineage, deterministically).
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ordered = (src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                      .checkpoint(eager=True))
+    finally:
+        src.unpersist()
     tagged = ordered.withColumn("_pid", F.spark_partition_id())
     counts = dict(tagged.groupBy("_pid").count().collect())
     nparts = ordered.rdd.getNumPartitions()
@@ -62,10 +69,17 @@ def assign_dense_ids(df: DataFrame, order_cols: list[str], out: str = "ord",
 
 
 def redact_and_filter(raw: DataFrame, profile: rules.Profile = rules.DEFAULT_PROFILE) -> DataFrame:
-    """Redact question and answer, drop rows whose answer is blank afterwards."""
-    return (raw.withColumn("question", redact_ingest(F.coalesce("question", F.lit("")), profile))
-               .withColumn("answer", redact_ingest(F.coalesce("answer", F.lit("")), profile))
-               .filter(py_strip(F.col("answer")) != ""))
+    """Redact question and answer, drop rows whose answer is blank afterwards.
+
+    Every redaction replaces a match that contains digits by a non-empty label,
+    so an answer is blank after redaction exactly when it was blank before; the
+    filter therefore runs first, on the raw text.  (Filtering on the redacted
+    column would be pushed below the projection by Catalyst and evaluate the
+    regex chain twice.)
+    """
+    return (raw.filter(py_strip(F.coalesce("answer", F.lit(""))) != "")
+               .withColumn("question", redact_ingest(F.coalesce("question", F.lit("")), profile))
+               .withColumn("answer", redact_ingest(F.coalesce("answer", F.lit("")), profile)))
 
 
 def finish_kb(first: DataFrame, start: int | Column = 0) -> DataFrame:

@@ -26,7 +26,7 @@ from askframe import rules
 from askframe.operators import kb as K
 from askframe.operators.answer import answer_questions
 from askframe.operators.vectors import kb_vectors
-from askframe.sources.uploads import UPLOAD_GLOB, decode_uploads
+from askframe.sources.uploads import UPLOAD_GLOB, category_from_path, decode_uploads
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -44,20 +44,13 @@ def _already_written(existing: DataFrame | None, batch_id: int) -> bool:
     return not existing.filter(F.col("batch_id") == batch_id).limit(1).isEmpty()
 
 
-def upload_category(path_col: str = "path") -> Column:
-    """A ``category=<name>`` folder in the path when present, else the parent folder name."""
-    hive = F.regexp_extract(F.col(path_col), r"/category=([^/]+)/", 1)
-    parent = F.element_at(F.split(F.col(path_col), "/"), -2)
-    return F.when(hive != "", F.url_decode(hive)).otherwise(parent)
-
-
 def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vectors_path: str,
                         checkpoint: str, profile: rules.Profile = rules.DEFAULT_PROFILE,
                         embedder: Callable[[Column], Column] | None = None, available_now: bool = True):
     stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
                    .option("pathGlobFilter", UPLOAD_GLOB)
                    .option("recursiveFileLookup", "true").load(source_dir))
-    decoded = decode_uploads(stream).withColumn("category", upload_category())
+    decoded = decode_uploads(stream).withColumn("category", category_from_path())
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
