@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from askframe import rules
 
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_TOKEN = re.compile(r"[a-z0-9]+")  # the non-empty pieces of splitting on [^a-z0-9]+
 _CACHE_MAX = 1 << 20
 
 
@@ -33,27 +33,30 @@ def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-def _counts_for(texts, dim: int, cache: dict) -> tuple[list, np.ndarray]:
-    tfs, sqs = [], np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        if text is None:
-            tf = np.zeros(dim, dtype=np.int32)
-        else:
-            idx = []
-            for tok in _SPLIT.split(text.lower()):
-                if not tok:
-                    continue
-                b = cache.get(tok)
-                if b is None:
-                    b = token_bucket(tok, dim)
-                    if len(cache) < _CACHE_MAX:
-                        cache[tok] = b
-                idx.append(b)
-            tf = np.bincount(np.asarray(idx, dtype=np.int64), minlength=dim).astype(np.int32) \
-                if idx else np.zeros(dim, dtype=np.int32)
-        tfs.append(tf)
-        sqs[i] = int(np.dot(tf.astype(np.int64), tf.astype(np.int64)))
-    return tfs, sqs
+def _counts_for(texts, dim: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts for a batch of texts: ``(n x dim int32 counts, n int64 squared norms)``.
+
+    Tokens of the whole batch are factorised once, so md5 runs once per distinct token
+    (and once per worker for tokens already in ``cache``).
+    """
+    n = len(texts)
+    per_doc = [_TOKEN.findall(t.lower()) if t is not None else [] for t in texts]
+    lens = np.fromiter((len(t) for t in per_doc), dtype=np.int64, count=n)
+    counts = np.zeros((n, dim), dtype=np.int64)
+    if lens.sum() > 0:
+        codes, uniques = pd.factorize(pd.Series([tok for toks in per_doc for tok in toks], dtype=object))
+        ub = np.empty(len(uniques), dtype=np.int64)
+        for i, tok in enumerate(uniques):
+            b = cache.get(tok)
+            if b is None:
+                b = token_bucket(tok, dim)
+                if len(cache) < _CACHE_MAX:
+                    cache[tok] = b
+            ub[i] = b
+        flat = np.repeat(np.arange(n, dtype=np.int64), lens) * dim + ub[codes]
+        counts = np.bincount(flat, minlength=n * dim).reshape(n, dim)
+    sqs = (counts * counts).sum(axis=1)
+    return counts.astype(np.int32), sqs
 
 
 def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
@@ -68,13 +71,13 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
     def run(batches):
         cache: dict = {}
         for pdf in batches:
-            tfs, sqs = _counts_for(pdf[text_col].tolist(), dim, cache)
+            counts, sqs = _counts_for(pdf[text_col].tolist(), dim, cache)
             out = pdf[keep_cols].copy()
-            out["tf"] = tfs
+            out["tf"] = list(counts)
             out["sq"] = sqs
             norms = np.sqrt(sqs.astype(np.float64))
-            out["embedding"] = [(tf / n).astype(np.float32) if n > 0 else tf.astype(np.float32)
-                                for tf, n in zip(tfs, norms)]
+            safe = np.where(norms > 0, norms, 1.0)
+            out["embedding"] = list((counts / safe[:, None]).astype(np.float32))
             yield out
 
     cols = list(keep_cols) + ([text_col] if text_col not in keep_cols else [])

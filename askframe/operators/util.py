@@ -38,3 +38,22 @@ def materialize_if_computed(df: DataFrame) -> DataFrame:
     from askframe.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Round-robin a small input over the cluster's cores.
+
+    A parquet file with one row group is read by one task however many cores
+    there are, which serialises the map-side work (regex chains, hashing) that
+    follows.  Below ``max_bytes`` (the optimizer's size estimate) the frame is
+    repartitioned to twice the default parallelism; larger inputs already come
+    in many splits and are returned unchanged, so no extra shuffle happens at scale.
+    """
+    sc = df.sparkSession.sparkContext
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) <= max_bytes:
+        return df.repartition(2 * sc.defaultParallelism)
+    return df
