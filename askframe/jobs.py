@@ -17,7 +17,8 @@ from askframe import rules
 from askframe.operators import evaluate as EV
 from askframe.operators import kb as K
 from askframe.operators.answer import answer_questions
-from askframe.operators.vectors import index_exists, kb_vectors, write_vectors
+from askframe.operators.vectors import (build_vector_index, index_exists, kb_vectors, load_vector_index,
+                                       write_vectors)
 from askframe.sources.faq import flatten_faq, read_faq_json
 from askframe.sources.kb_store import load_knowledge_base, path_exists, write_knowledge_base
 from askframe.sources.sheets import parse_sheets
@@ -26,6 +27,7 @@ log = logging.getLogger(__name__)
 
 
 def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str | None = None,
+                         index_path: str | None = None,
                          sheet_rows_path: str | None = None, sheet_map_path: str | None = None,
                          faq_path: str | None = None, workbook_name: str = "workbook.xlsx",
                          skip_sheets: list[str] | None = None, rebuild: bool = False,
@@ -64,14 +66,17 @@ def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str
     kb = load_knowledge_base(spark, kb_path)
     if vectors_path:
         write_vectors(kb_vectors(kb, embedder), vectors_path, mode="overwrite")
+        if index_path:
+            build_vector_index(spark.read.parquet(vectors_path), index_path)
     return kb
 
 
-def answer_job(spark: SparkSession, questions: DataFrame, vectors_path: str, out_path: str | None = None,
-               **kw) -> DataFrame:
-    """Answer a table of ``(query_id, query)``; optionally write the answers."""
-    vectors = spark.read.parquet(vectors_path)
-    answered = answer_questions(questions.select("query_id", "query"), vectors, **kw)
+def answer_job(spark: SparkSession, questions: DataFrame, vectors_path: str | None = None,
+               out_path: str | None = None, index_path: str | None = None, **kw) -> DataFrame:
+    """Answer a table of ``(query_id, query)`` from a vector table or a stored cell index."""
+    vectors = spark.read.parquet(vectors_path) if vectors_path else None
+    index = load_vector_index(spark, index_path) if index_path else None
+    answered = answer_questions(questions.select("query_id", "query"), vectors, index=index, **kw)
     if out_path:
         answered.withColumn("n_sources", F.size("sources")).write.mode("overwrite").parquet(out_path)
     return answered

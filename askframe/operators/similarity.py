@@ -27,6 +27,7 @@ same numbers any engine gets when summing in order.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -79,10 +80,11 @@ def _centroids(docs: DataFrame, n_cells: int, seed: int, integer: bool) -> np.nd
     return m if len(m) else np.zeros((1, len(picked[0][0]) if picked else 1))
 
 
-def _assign(docs: DataFrame, cents_bc, integer: bool, vtype, idtype) -> DataFrame:
-    schema = T.StructType([T.StructField("_did", idtype), T.StructField("_v", vtype),
-                           T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType()),
-                           T.StructField("_dist", T.DoubleType())])
+def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
+    """Adds ``_n`` (squared norm), ``_cell`` (nearest centroid) and ``_dist`` (distance of the unit vector)."""
+    schema = T.StructType(list(docs.schema.fields) + [
+        T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType()),
+        T.StructField("_dist", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:
@@ -95,8 +97,11 @@ def _assign(docs: DataFrame, cents_bc, integer: bool, vtype, idtype) -> DataFram
             sims = u @ cents.T
             cell = sims.argmax(axis=1)
             dist = np.sqrt(np.maximum(((u - cents[cell]) ** 2).sum(axis=1), 0.0))
-            yield pd.DataFrame({"_did": pdf["_did"], "_v": pdf["_v"], "_n": sq,
-                                "_cell": cell.astype(np.int32), "_dist": dist})
+            out = pdf.copy()
+            out["_n"] = sq
+            out["_cell"] = cell.astype(np.int32)
+            out["_dist"] = dist
+            yield out
     return docs.mapInPandas(run, schema)
 
 
@@ -124,45 +129,91 @@ def _refine(assigned: DataFrame, n_cells: int, dim: int) -> np.ndarray:
     return m[np.abs(m).sum(axis=1) > 0]
 
 
-def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id", did: str = "doc_id",
-                    vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
-                    integer: bool = False, mode: str = "exact", nprobe: int = 4,
-                    cell_rows: int = 1024, block_rows: int = 4096, refine_steps: int = 1,
-                    seed: int = 7) -> DataFrame:
-    """``(qid, did, rank, score, raw_score)``: up to ``k`` documents per question with score ≥ threshold.
+@dataclass
+class CellIndex:
+    """Documents assigned to coarse cells, plus the bounded per-cell arrays a search needs.
 
-    ``integer=True`` takes integer count vectors (``array<int>``) and scores
-    them exactly.  Ties are broken by ``did``; ``score`` is rounded to 4 places
-    after ranking on the unrounded ``raw_score``.
+    ``assigned`` has ``_did, _v, _n, _cell, _dist`` (and any payload columns);
+    ``centroids``/``radius``/``counts`` have one entry per cell (at most ``MAX_CELLS``).
     """
-    if k is None or k <= 0:
-        k = rules.TOP_K
-    qtype, dtype_ = queries.schema[qid].dataType, docs.schema[did].dataType
-    vtype = docs.schema[vec].dataType
-    d = materialize_if_computed(docs.select(F.col(did).alias("_did"), F.col(vec).alias("_v")))
-    q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v")))
 
+    assigned: DataFrame
+    centroids: np.ndarray
+    radius: np.ndarray
+    counts: np.ndarray
+    integer: bool
+    did: str
+    vec: str
+
+
+def build_cells(docs: DataFrame, *, did: str = "doc_id", vec: str = "embedding", integer: bool = False,
+                cell_rows: int = 1024, refine_steps: int = 1, seed: int = 7,
+                payload: list[str] | None = None) -> CellIndex | None:
+    """Cluster documents into ``ceil(n / cell_rows)`` cells (capped); ``None`` when there are no documents."""
+    cols = [F.col(did).alias("_did"), F.col(vec).alias("_v")] + [F.col(c) for c in (payload or [])]
+    d = materialize_if_computed(docs.select(*cols))
     n_docs = d.count()
     if n_docs == 0:
-        return _empty(queries, qid, did, qtype, dtype_)
+        return None
     n_cells = max(1, min(MAX_CELLS, math.ceil(n_docs / cell_rows)))
-    sc = queries.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     cents = _centroids(d, n_cells, seed, integer)
     dim = cents.shape[1]
     # at most MAX_CELLS x dim doubles: a bounded broadcast, shipped once per executor
     cents_bc = sc.broadcast(cents)
-    assigned = _assign(d, cents_bc, integer, vtype, dtype_)
+    assigned = _assign(d, cents_bc, integer)
     for _ in range(refine_steps if len(cents) > 1 else 0):
         cents = _refine(assigned, len(cents), dim)
         cents_bc = sc.broadcast(cents)
-        assigned = _assign(d, cents_bc, integer, vtype, dtype_)
-
+        assigned = _assign(d, cents_bc, integer)
     stats = assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("r")).collect()
     radius = np.zeros(len(cents))
-    dblocks = np.ones(len(cents), dtype=np.int64)
+    counts = np.zeros(len(cents), dtype=np.int64)
     for c, n, r in stats:
         radius[c] = r or 0.0
-        dblocks[c] = max(1, math.ceil(n / block_rows))
+        counts[c] = n
+    return CellIndex(assigned, cents, radius, counts, integer, did, vec)
+
+
+def write_index(index: CellIndex, path: str) -> None:
+    """Persist an index: documents partitioned by cell (searches read only probed cells) + a cells table."""
+    spark = index.assigned.sparkSession
+    index.assigned.write.mode("overwrite").partitionBy("_cell").parquet(f"{path}/data")
+    cells = [(int(c), index.centroids[c].tolist(), float(index.radius[c]), int(index.counts[c]))
+             for c in range(len(index.centroids))]
+    meta = f"{int(index.integer)}|{index.did}|{index.vec}"
+    (spark.createDataFrame(cells, "cell int, centroid array<double>, radius double, n long")
+          .withColumn("meta", F.lit(meta)).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells"))
+
+
+def read_index(spark, path: str) -> CellIndex:
+    rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()   # one row per cell, bounded
+    integer, did, vec = rows[0]["meta"].split("|")
+    cents = np.array([r["centroid"] for r in rows], dtype=np.float64)
+    radius = np.array([r["radius"] for r in rows], dtype=np.float64)
+    counts = np.array([r["n"] for r in rows], dtype=np.int64)
+    return CellIndex(spark.read.parquet(f"{path}/data"), cents, radius, counts, bool(int(integer)), did, vec)
+
+
+def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "query_id",
+                 vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
+                 mode: str = "exact", nprobe: int = 4, block_rows: int = 4096,
+                 did_type=None) -> DataFrame:
+    """Top-k per question against a cell index (built on the fly or read from storage)."""
+    if k is None or k <= 0:
+        k = rules.TOP_K
+    qtype = queries.schema[qid].dataType
+    if index is None:
+        return _empty(queries, qid, "doc_id", qtype, did_type or T.StringType())
+    did = index.did
+    dtype_ = index.assigned.schema["_did"].dataType
+    integer = index.integer
+    sc = queries.sparkSession.sparkContext
+    cents_bc = sc.broadcast(index.centroids)
+    radius = index.radius
+    nonempty = index.counts > 0
+    dblocks = np.maximum(1, -(-index.counts // block_rows)).astype(np.int64)
+    q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v")))
 
     probe_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_v", queries.schema[vec].dataType),
                                  T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
@@ -181,22 +232,23 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :max(1, nprobe)]
                 hit = np.zeros_like(sims, dtype=bool)
                 np.put_along_axis(hit, top, True, axis=1)
+            hit &= nonempty[None, :]
             rows, cells = np.nonzero(hit)
             yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy()[rows], "_v": pdf["_v"].to_numpy()[rows],
                                 "_n": sq[rows], "_cell": cells.astype(np.int32)})
 
-    visits = q.mapInPandas(probes, probe_schema)
+    visits = materialize_if_computed(q.mapInPandas(probes, probe_schema))
     visit_counts = dict(visits.groupBy("_cell").count().collect())
     if not visit_counts:
         return _empty(queries, qid, did, qtype, dtype_)
-    qblocks = np.ones(len(cents), dtype=np.int64)
+    qblocks = np.ones(len(index.centroids), dtype=np.int64)
     for c, n in visit_counts.items():
         qblocks[c] = max(1, math.ceil(n / block_rows))
 
     dblk = F.element_at(F.array(*[F.lit(int(x)) for x in dblocks]), F.col("_cell") + 1)
     qblk = F.element_at(F.array(*[F.lit(int(x)) for x in qblocks]), F.col("_cell") + 1)
-    probed = [int(c) for c in visit_counts]
-    doc_side = (assigned.filter(F.col("_cell").isin(probed))
+    probed = sorted(int(c) for c in visit_counts)
+    doc_side = (index.assigned.filter(F.col("_cell").isin(probed))
                 .withColumn("_ds", F.pmod(F.xxhash64("_did"), dblk).cast("int"))
                 .withColumn("_qs", F.explode(F.sequence(F.lit(0), qblk - 1)))
                 .select("_cell", "_ds", "_qs", "_did", "_v", "_n"))
@@ -221,8 +273,8 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
         else:
             denom = np.sqrt(qpdf["_n"].to_numpy()[:, None] * dpdf["_n"].to_numpy()[None, :])
         with np.errstate(divide="ignore", invalid="ignore"):
-            sc = np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
-        masked = np.where(sc >= t, sc, -np.inf)
+            sc_ = np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
+        masked = np.where(sc_ >= t, sc_, -np.inf)
         kk = min(k, masked.shape[1])
         order = np.argsort(-masked, axis=1, kind="stable")[:, :kk]
         best = np.take_along_axis(masked, order, axis=1)
@@ -240,6 +292,26 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
                          F.round("raw_score", 4).alias("score"), F.col("raw_score"))
 
 
+def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id", did: str = "doc_id",
+                    vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
+                    integer: bool = False, mode: str = "exact", nprobe: int = 4,
+                    cell_rows: int = 1024, block_rows: int = 4096, refine_steps: int = 1,
+                    seed: int = 7) -> DataFrame:
+    """``(qid, did, rank, score, raw_score)``: up to ``k`` documents per question with score ≥ threshold.
+
+    ``integer=True`` takes integer count vectors (``array<int>``) and scores
+    them exactly.  Ties are broken by ``did``; ``score`` is rounded to 4 places
+    after ranking on the unrounded ``raw_score``.  The cells are built on the
+    fly; ``build_cells`` + ``write_index`` / ``read_index`` keep them for reuse.
+    """
+    index = build_cells(docs, did=did, vec=vec, integer=integer, cell_rows=cell_rows,
+                        refine_steps=refine_steps, seed=seed)
+    if index is None:
+        return _empty(queries, qid, did, queries.schema[qid].dataType, docs.schema[did].dataType)
+    return search_cells(queries, index, qid=qid, vec=vec, k=k, threshold=threshold, mode=mode,
+                        nprobe=nprobe, block_rows=block_rows)
+
+
 def _empty(queries: DataFrame, qid, did, qtype, dtype_) -> DataFrame:
     return queries.sparkSession.createDataFrame([], T.StructType([
         T.StructField(qid, qtype), T.StructField(did, dtype_), T.StructField("rank", T.IntegerType()),

@@ -17,7 +17,9 @@ def test_build_answer_evaluate(spark, tmp_path):
         {"question": "How to open?", "answer": "dup in other category"}]}]}
     (tmp_path / "faq.json").write_text(json.dumps(faq))
     kb_path, vec_path = str(tmp_path / "kb"), str(tmp_path / "vec")
-    kb = build_knowledge_base(spark, kb_path=kb_path, vectors_path=vec_path, sheet_rows_path=str(tmp_path / "rows"),
+    ix_path = str(tmp_path / "ix")
+    kb = build_knowledge_base(spark, kb_path=kb_path, vectors_path=vec_path, index_path=ix_path,
+                              sheet_rows_path=str(tmp_path / "rows"),
                               sheet_map_path=str(tmp_path / "map"), faq_path=str(tmp_path / "faq.json"))
     got = [(r.id, r.category, r.question, r.answer) for r in kb.orderBy("ord").collect()]
     assert got == [("doc_0000", "Little Champs", "What is Little Champs?", "Intro text."),
@@ -30,6 +32,8 @@ def test_build_answer_evaluate(spark, tmp_path):
     qs = spark.createDataFrame([(1, "transfer with the app"), (2, "")], "query_id long, query string")
     ans = {r.query_id: r for r in answer_job(spark, qs, vec_path).collect()}
     assert ans[1].route == "ok" and ans[1].answer == "Use the app, [PHONE REDACTED]." and ans[2].route == "blocked"
+    via_index = {r.query_id: (r.route, r.answer) for r in answer_job(spark, qs, index_path=ix_path).collect()}
+    assert via_index == {q: (r.route, r.answer) for q, r in ans.items()}
     ev = evaluate_job(spark, kb_path, vec_path).orderBy("top_k").collect()
     assert [r.top_k for r in ev] == [1, 3, 5] and ev[-1].n == 4
     up = spark.createDataFrame([("New text", "Cards", 0)], "text string, category string, pos long") \

@@ -73,3 +73,22 @@ def test_approximate_recall(spark):
     approx = {(r.query_id, r.doc_id) for r in
               similarity_topk(qdf, ddf, k=5, mode="approx", nprobe=3, cell_rows=50).collect()}
     assert len(exact & approx) / len(exact) >= 0.9
+
+
+def test_stored_index_matches_on_the_fly(spark, tmp_path):
+    from askframe.operators.similarity import build_cells, read_index, search_cells, write_index
+    d = _clustered(300, 8, 6, 5)
+    q = _clustered(20, 8, 6, 6)
+    qdf, ddf = _frames(spark, q, d)
+    ddf = ddf.withColumn("category", F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))
+    cells = build_cells(ddf, cell_rows=40, payload=["category"])
+    write_index(cells, str(tmp_path / "ix"))
+    ix = read_index(spark, str(tmp_path / "ix"))
+    assert len(ix.centroids) == len(cells.centroids) and ix.counts.sum() == 300
+    a = {tuple(r) for r in search_cells(qdf, ix, k=4).select("query_id", "doc_id", "rank", "raw_score").collect()}
+    b = {tuple(r) for r in similarity_topk(qdf, ddf, k=4, cell_rows=40)
+         .select("query_id", "doc_id", "rank", "raw_score").collect()}
+    assert a == b
+    plan = search_cells(qdf, ix, k=4, mode="approx", nprobe=1)._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[_cell#\d+ IN \(", plan)      # only probed cells are read
