@@ -106,25 +106,21 @@ def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
 
 
 def _refine(assigned: DataFrame, n_cells: int, dim: int) -> np.ndarray:
-    """One Lloyd step: mean unit vector per cell, summed in Spark from per-batch partials."""
-    schema = T.StructType([T.StructField("_cell", T.IntegerType()), T.StructField("_dim", T.IntegerType()),
-                           T.StructField("_s", T.DoubleType())])
+    """One Lloyd step: the mean unit vector of every cell.
 
-    def partial(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            u = _unit(_matrix(pdf["_v"]))
-            cells = pdf["_cell"].to_numpy()
-            for c in np.unique(cells):
-                s = u[cells == c].sum(axis=0)
-                yield pd.DataFrame({"_cell": np.full(dim, c, dtype=np.int32),
-                                    "_dim": np.arange(dim, dtype=np.int32), "_s": s})
-    sums = assigned.select("_v", "_cell").mapInPandas(partial, schema).groupBy("_cell", "_dim").agg(
-        F.sum("_s").alias("_s")).collect()
+    A JVM aggregate (``Summarizer.mean`` over ML vectors) with partial
+    aggregation, one row per cell to the driver; no per-dimension rows.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    unit = F.transform("_v", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = F.when(norm > 0, F.transform(unit, lambda x: x / norm)).otherwise(unit)
+    means = (assigned.select("_cell", array_to_vector(unit).alias("_u"))
+             .groupBy("_cell").agg(Summarizer.mean(F.col("_u")).alias("_m")).collect())
     m = np.zeros((n_cells, dim))
-    for c, j, s in sums:
-        m[c, j] = s
+    for c, vec in means:
+        m[c] = vec.toArray()
     m = _unit(m)
     return m[np.abs(m).sum(axis=1) > 0]
 
