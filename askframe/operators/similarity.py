@@ -2,9 +2,8 @@
 
 Plan
 ----
-1. Coarse cells: ``n_cells`` unit centroids picked from the documents by hash
-   order (bounded list on the driver), optionally refined by Lloyd steps whose
-   partial sums are reduced in Spark.
+1. Coarse cells: ``n_cells`` unit centroids trained by a few Lloyd steps on a
+   bounded sample of the documents (first rows in hash order).
 2. Every document goes to its nearest cell; per cell Spark computes the size
    and the radius ``max |x̂ - c|`` (one row per cell reaches the driver).
 3. Every question lists the cells it must visit.  Exact mode: every cell whose
@@ -71,13 +70,32 @@ def _block_scores(q: np.ndarray, d: np.ndarray, integer: bool) -> np.ndarray:
     return s
 
 
-def _centroids(docs: DataFrame, n_cells: int, seed: int, integer: bool) -> np.ndarray:
+SAMPLE_PER_CELL = 16
+SAMPLE_MAX = 32768
+
+
+def _centroids(docs: DataFrame, n_cells: int, seed: int, refine_steps: int) -> np.ndarray:
+    """Unit centroids trained on a bounded sample (first rows in hash order).
+
+    At most ``min(16 * n_cells, 32768)`` vectors reach the driver; the first
+    ``n_cells`` of them seed the cells and ``refine_steps`` Lloyd iterations
+    (spherical k-means) run on the sample in numpy.
+    """
+    n_sample = max(n_cells, min(SAMPLE_PER_CELL * n_cells, SAMPLE_MAX))
     picked = (docs.select("_v").orderBy(F.xxhash64(F.col("_did"), F.lit(seed)))
-                  .limit(n_cells).collect())
-    m = _unit(_matrix([r[0] for r in picked]))
-    keep = np.abs(m).sum(axis=1) > 0
-    m = m[keep]
-    return m if len(m) else np.zeros((1, len(picked[0][0]) if picked else 1))
+                  .limit(n_sample).collect())
+    x = _unit(_matrix([r[0] for r in picked]))
+    x = x[np.abs(x).sum(axis=1) > 0]
+    if len(x) == 0:
+        return np.zeros((1, len(picked[0][0]) if picked else 1))
+    cents = x[:n_cells].copy()
+    for _ in range(refine_steps if len(cents) > 1 else 0):
+        cell = (x @ cents.T).argmax(axis=1)
+        sums = np.zeros_like(cents)
+        np.add.at(sums, cell, x)
+        filled = np.abs(sums).sum(axis=1) > 0
+        cents[filled] = _unit(sums[filled])
+    return cents
 
 
 def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
@@ -105,26 +123,6 @@ def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
-def _refine(assigned: DataFrame, n_cells: int, dim: int) -> np.ndarray:
-    """One Lloyd step: the mean unit vector of every cell.
-
-    A JVM aggregate (``Summarizer.mean`` over ML vectors) with partial
-    aggregation, one row per cell to the driver; no per-dimension rows.
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-    unit = F.transform("_v", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.when(norm > 0, F.transform(unit, lambda x: x / norm)).otherwise(unit)
-    means = (assigned.select("_cell", array_to_vector(unit).alias("_u"))
-             .groupBy("_cell").agg(Summarizer.mean(F.col("_u")).alias("_m")).collect())
-    m = np.zeros((n_cells, dim))
-    for c, vec in means:
-        m[c] = vec.toArray()
-    m = _unit(m)
-    return m[np.abs(m).sum(axis=1) > 0]
-
-
 @dataclass
 class CellIndex:
     """Documents assigned to coarse cells, plus the bounded per-cell arrays a search needs.
@@ -153,15 +151,10 @@ def build_cells(docs: DataFrame, *, did: str = "doc_id", vec: str = "embedding",
         return None
     n_cells = max(1, min(MAX_CELLS, math.ceil(n_docs / cell_rows)))
     sc = docs.sparkSession.sparkContext
-    cents = _centroids(d, n_cells, seed, integer)
-    dim = cents.shape[1]
+    cents = _centroids(d, n_cells, seed, refine_steps)
     # at most MAX_CELLS x dim doubles: a bounded broadcast, shipped once per executor
     cents_bc = sc.broadcast(cents)
     assigned = _assign(d, cents_bc, integer)
-    for _ in range(refine_steps if len(cents) > 1 else 0):
-        cents = _refine(assigned, len(cents), dim)
-        cents_bc = sc.broadcast(cents)
-        assigned = _assign(d, cents_bc, integer)
     stats = assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("r")).collect()
     radius = np.zeros(len(cents))
     counts = np.zeros(len(cents), dtype=np.int64)
@@ -233,7 +226,7 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
             yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy()[rows], "_v": pdf["_v"].to_numpy()[rows],
                                 "_n": sq[rows], "_cell": cells.astype(np.int32)})
 
-    visits = materialize_if_computed(q.mapInPandas(probes, probe_schema))
+    visits = q.mapInPandas(probes, probe_schema)   # cheap to recompute from the materialized questions
     visit_counts = dict(visits.groupBy("_cell").count().collect())
     if not visit_counts:
         return _empty(queries, qid, did, qtype, dtype_)
