@@ -25,30 +25,34 @@ def email_pattern(own_prefix: str) -> str:
     return rules.PII_EMAIL_LOCAL + look + rules.PII_EMAIL_DOMAIN
 
 
+def _phone(profile: rules.Profile) -> str:
+    return rules.PII_PHONE_FIXED if profile.phone_plus_fix else rules.PII_PHONE
+
+
 def ingest_pack(profile: rules.Profile = rules.DEFAULT_PROFILE) -> list[tuple[str, str]]:
     """Case-insensitive rules used while building the knowledge base (with e-mail)."""
     return [
         (rules.PII_NATIONAL_ID, rules.LABEL_NATIONAL_ID),
         (rules.PII_IBAN, rules.LABEL_IBAN),
-        (rules.PII_PHONE, rules.LABEL_PHONE),
+        (_phone(profile), rules.LABEL_PHONE),
         (rules.PII_CARD_LONG, rules.LABEL_ACCOUNT),
         (email_pattern(profile.own_email_prefix), rules.LABEL_EMAIL),
     ]
 
 
-def output_pack() -> list[tuple[str, str]]:
+def output_pack(profile: rules.Profile = rules.DEFAULT_PROFILE) -> list[tuple[str, str]]:
     """Case-sensitive rules applied to generated answers (no e-mail rule)."""
     return [
         (rules.PII_NATIONAL_ID, rules.LABEL_NATIONAL_ID),
         (rules.PII_IBAN, rules.LABEL_IBAN),
-        (rules.PII_PHONE, rules.LABEL_PHONE),
+        (_phone(profile), rules.LABEL_PHONE),
         (rules.PII_CARD_LONG, rules.LABEL_ACCOUNT),
     ]
 
 
-def input_warning_pattern() -> str:
+def input_warning_pattern(profile: rules.Profile = rules.DEFAULT_PROFILE) -> str:
     """One alternation flagging personal data in a question (card rule without the 4th group)."""
-    return "(?iU)" + "|".join([rules.PII_NATIONAL_ID, rules.PII_IBAN, rules.PII_PHONE,
+    return "(?iU)" + "|".join([rules.PII_NATIONAL_ID, rules.PII_IBAN, _phone(profile),
                                rules.PII_CARD_SHORT])
 
 
@@ -69,12 +73,12 @@ def tag_block_pattern() -> str:
     return r"(?isU)<\s*(" + names + r")\s*>.*?</\s*\1\s*>"
 
 
-def sanitize_output(col) -> Column:
+def sanitize_output(col, profile: rules.Profile = rules.DEFAULT_PROFILE) -> Column:
     """Redact (case-sensitive), drop chat-role tag blocks, strip."""
-    out = redact(col, output_pack(), ignore_case=False)
+    out = redact(col, output_pack(profile), ignore_case=False)
     out = F.regexp_replace(out, tag_block_pattern(), "")
     return py_strip(out)
 
 
-def has_input_pii(col) -> Column:
-    return _c(col).rlike(input_warning_pattern())
+def has_input_pii(col, profile: rules.Profile = rules.DEFAULT_PROFILE) -> Column:
+    return _c(col).rlike(input_warning_pattern(profile))

@@ -31,6 +31,9 @@ class Profile:
     own_email_prefix: str = "ExampleBank"    # e-mail domains starting with this are kept
     helpline: str = "+00 (00) 000 000 000"
     support_email: str = "support@examplebank.example"
+    # Opt-in: start the phone rule at "no word character before" instead of a word
+    # boundary, so "+92 ..." after a space is redacted too (the default keeps the rule as written).
+    phone_plus_fix: bool = False
 
 
 DEFAULT_PROFILE = Profile()
@@ -58,6 +61,7 @@ MOJIBAKE_REPLACEMENTS: list[tuple[str, str]] = [
 PII_NATIONAL_ID = r"\b\d{5}-\d{7}-\d\b"
 PII_IBAN = r"\bPK\d{2}[A-Z]{4}\d{16}\b"
 PII_PHONE = r"\b(\+92|0)\s?\d{3}[-\s]?\d{7}\b"
+PII_PHONE_FIXED = r"(?<!\w)(\+92|0)\s?\d{3}[-\s]?\d{7}\b"
 PII_CARD_LONG = r"\b\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]?\d{0,4}\b"
 PII_CARD_SHORT = r"\b\d{4}[-\s]\d{4}[-\s]\d{4}\b"
 PII_EMAIL_LOCAL = r"\b[A-Za-z0-9._%+-]+@"

@@ -98,3 +98,9 @@ def test_java_regex_matches_python_semantics(spark, parts):
     s = "".join(parts)
     assert _run(spark, pii.redact_ingest, [s])[0] == _python_ingest(s)
     assert _run(spark, pii.sanitize_output, [s])[0] == _python_output(s)
+
+
+def test_opt_in_phone_fix(spark):
+    fixed = Profile(phone_plus_fix=True)
+    got = _run(spark, lambda c: pii.redact_ingest(c, fixed), ["call +92 300 1234567", "x0300-1234567"])
+    assert got == ["call [PHONE REDACTED]", "x0300-1234567"]
