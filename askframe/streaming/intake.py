@@ -55,20 +55,21 @@ def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vect
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         existing = _read_or_none(session, kb_path)
-        if _already_written(existing, batch_id):
-            return
-        uploads = batch.select(F.col("text"), F.col("category"),
-                               F.struct(F.lit(3).alias("src_no"), F.lit(batch_id).cast("long").alias("sheet_no"),
-                                        F.col("path").alias("pos")).alias("seq")).persist()
-        try:
-            base = existing if existing is not None else session.createDataFrame([], "id string")
-            rows = K.append_uploads(base, uploads, profile).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            rows.write.mode("append").partitionBy("batch_id").parquet(kb_path)
-        finally:
-            uploads.unpersist()
-        written = session.read.parquet(kb_path).filter(F.col("batch_id") == batch_id)
-        kb_vectors(written, embedder).withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .write.mode("append").partitionBy("batch_id").parquet(vectors_path)
+        if not _already_written(existing, batch_id):
+            uploads = batch.select(F.col("text"), F.col("category"),
+                                   F.struct(F.lit(3).alias("src_no"), F.lit(batch_id).cast("long").alias("sheet_no"),
+                                            F.col("path").alias("pos")).alias("seq")).persist()
+            try:
+                base = existing if existing is not None else session.createDataFrame([], "id string")
+                rows = K.append_uploads(base, uploads, profile).withColumn("batch_id", F.lit(batch_id).cast("long"))
+                rows.write.mode("append").partitionBy("batch_id").parquet(kb_path)
+            finally:
+                uploads.unpersist()
+        # checked separately: a batch whose KB rows were committed before a failure still gets its vectors
+        if not _already_written(_read_or_none(session, vectors_path), batch_id):
+            written = session.read.parquet(kb_path).filter(F.col("batch_id") == batch_id).drop("batch_id")
+            kb_vectors(written, embedder).withColumn("batch_id", F.lit(batch_id).cast("long")) \
+                .write.mode("append").partitionBy("batch_id").parquet(vectors_path)
 
     writer = decoded.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -22,3 +22,14 @@ def test_each_query_plans_on_smoke_data(spark):
         if key.startswith("stream_"):
             continue
         assert fn(spark, E.SMOKE_DIR).schema is not None, key
+
+
+def test_no_cross_products_or_row_udfs(spark):
+    """No registered query plans a cartesian product, a nested-loop join or a row-at-a-time Python UDF."""
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+    for key, fn in E.queries().items():
+        if key.startswith("stream_"):
+            continue
+        plan = fn(spark, E.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+        found = [b for b in banned if b in plan]
+        assert not found, (key, found)

@@ -31,3 +31,17 @@ def test_question_stream(spark, tmp_path):
                              str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r.query_id: (r.route, r.answer) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[1] == ("ok", "Call us.") and got[2][0] == "blocked"
+
+
+def test_replay_after_partial_batch_writes_vectors(spark, tmp_path):
+    """A batch whose KB rows were committed but whose vectors were not is completed on replay."""
+    src = tmp_path / "in"
+    (src / "Loans").mkdir(parents=True)
+    (src / "Loans" / "a.txt").write_text("Loan text")
+    kb = str(tmp_path / "kb")
+    start_upload_intake(spark, str(src), kb, str(tmp_path / "vec1"), str(tmp_path / "ck1")).awaitTermination()
+    # same state as a crash after the KB append: batch 0 is replayed (fresh progress log) and its
+    # vectors are missing (empty vector folder); the KB is not appended twice
+    start_upload_intake(spark, str(src), kb, str(tmp_path / "vec2"), str(tmp_path / "ck2")).awaitTermination()
+    assert spark.read.parquet(kb).count() == 1
+    assert spark.read.parquet(str(tmp_path / "vec2")).count() == 1
