@@ -7,9 +7,10 @@ Plan
 2. Every document goes to its nearest cell; per cell Spark computes the size
    and the radius ``max |x̂ - c|`` (one row per cell reaches the driver).
 3. Every question lists the cells it must visit.  Exact mode: every cell whose
-   upper bound ``q̂·c + r_c`` reaches the threshold (triangle inequality on unit
-   vectors), so no qualifying document is skipped.  Approximate mode: the
-   ``nprobe`` nearest cells.
+   upper bound ``cos(max(0, angle(q, c) - alpha_c))`` reaches the threshold,
+   ``alpha_c`` being the largest angle between the centroid and a member
+   (triangle inequality for angles on the sphere), so no qualifying document
+   is skipped.  Approximate mode: the ``nprobe`` nearest cells.
 4. Hot cells are split: documents of cell ``c`` get ``S_c = ceil(size/B)``
    blocks, the questions visiting it ``Q_c = ceil(visits/B)`` blocks, and the
    two sides meet by an equi-join (cogroup) on ``(cell, doc_block, q_block)``
@@ -187,8 +188,12 @@ def read_index(spark, path: str) -> CellIndex:
 def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "query_id",
                  vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
                  mode: str = "exact", nprobe: int = 4, block_rows: int = 4096,
-                 did_type=None) -> DataFrame:
-    """Top-k per question against a cell index (built on the fly or read from storage)."""
+                 did_type=None, stats: dict | None = None) -> DataFrame:
+    """Top-k per question against a cell index (built on the fly or read from storage).
+
+    ``stats`` (optional dict) receives ``pairs_scored`` (question-document pairs
+    the plan will score), ``pairs_total`` and ``cells_probed``.
+    """
     if k is None or k <= 0:
         k = rules.TOP_K
     qtype = queries.schema[qid].dataType
@@ -200,6 +205,8 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     sc = queries.sparkSession.sparkContext
     cents_bc = sc.broadcast(index.centroids)
     radius = index.radius
+    # largest angle between a cell's centroid and its members (|u - c| = 2 sin(angle / 2))
+    alpha = 2.0 * np.arcsin(np.clip(radius / 2.0, 0.0, 1.0))
     nonempty = index.counts > 0
     dblocks = np.maximum(1, -(-index.counts // block_rows)).astype(np.int64)
     q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v")))
@@ -215,8 +222,12 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
             m = _matrix(pdf["_v"])
             sq = (m * m).sum(axis=1) if integer else _seq_sq(m)
             sims = _unit(m) @ cents_bc.value.T
-            if exact:
-                hit = sims + radius[None, :] + 1e-9 >= threshold
+            if exact and threshold <= 0:
+                hit = np.ones_like(sims, dtype=bool)
+            elif exact:
+                # angle(q, x) >= angle(q, c) - alpha_c on the sphere, so cos(q, x) <= cos(max(0, that))
+                phi = np.arccos(np.clip(sims, -1.0, 1.0))
+                hit = np.cos(np.maximum(0.0, phi - alpha[None, :])) + 1e-6 >= threshold
             else:
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :max(1, nprobe)]
                 hit = np.zeros_like(sims, dtype=bool)
@@ -237,6 +248,11 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     dblk = F.element_at(F.array(*[F.lit(int(x)) for x in dblocks]), F.col("_cell") + 1)
     qblk = F.element_at(F.array(*[F.lit(int(x)) for x in qblocks]), F.col("_cell") + 1)
     probed = sorted(int(c) for c in visit_counts)
+    if stats is not None:
+        stats["pairs_scored"] = int(sum(n * int(index.counts[c]) for c, n in visit_counts.items()))
+        stats["pairs_total"] = int(q.count()) * int(index.counts.sum())
+        stats["cells_probed"] = len(probed)
+        stats["cells"] = int(len(index.centroids))
     doc_side = (index.assigned.filter(F.col("_cell").isin(probed))
                 .withColumn("_ds", F.pmod(F.xxhash64("_did"), dblk).cast("int"))
                 .withColumn("_qs", F.explode(F.sequence(F.lit(0), qblk - 1)))
