@@ -106,8 +106,3 @@ def embed_with(df: DataFrame, text_col: str, embedder: Callable[[Column], Column
         return hashed_vectors(df, text_col, keep_cols, dim)
     return df.select(*keep_cols, normalized(embedder(F.col(text_col))).alias("embedding"))
 
-
-def array_to_pandas_matrix(series: pd.Series, dtype) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0), dtype=dtype)
-    return np.stack([np.asarray(v, dtype=dtype) for v in series])

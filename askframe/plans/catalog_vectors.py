@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askframe import rules
 from askframe.operators.embed import hashed_long_form, hashed_vectors
 from askframe.operators.similarity import similarity_topk
 from askframe.operators.vectors import index_stats as stats_of
@@ -89,5 +88,3 @@ def vec_topk_sparse(spark, d):
 def index_stats(spark, d):
     return stats_of(table(spark, d, "embeddings"), collection="kb_vectors", model="hashed-terms")
 
-
-_ = rules
