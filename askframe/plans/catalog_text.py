@@ -55,52 +55,47 @@ def qa_extract(spark, d):
 
 
 # --------------------------------------------------------------------------- S1 / P19
-# Each conversation is one FAQ file; each block of 50 turns one category object
-# (missing for every tenth conversation -> "General"); a question is a user turn,
-# its answer the turn that follows.
-_FAQ_PAIRS_SQL = (
-    "SELECT conv_id, CAST(turn // 50 AS BIGINT) AS cpos, turn, "
-    "CASE WHEN conv_id % 10 = 0 THEN NULL ELSE 'Topic ' || CAST(conv_id % 17 AS VARCHAR) END AS category, "
-    "text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role "
-    "FROM conversations")
-
+# Every block of 50 turns of a conversation is one FAQ file with one category object
+# (category missing for every tenth conversation -> "General"); a question is a user
+# turn, its answer the text of the next turn number.  Files stay bounded (<= 50 entries)
+# however long a conversation is; the next turn is found by an equi-join, not a window.
+FAQ_BLOCK = 50
+FILE_STRIDE = 1_000_000
 
 _FAQ_CAT = Q.fix("coalesce(category, 'General')")
-_FAQ_SQL = I.with_([
-    ("p", _FAQ_PAIRS_SQL),
-    ("u", "SELECT *, row_number() OVER (PARTITION BY conv_id, cpos ORDER BY turn) - 1 AS qpos, "
-          "dense_rank() OVER (PARTITION BY conv_id ORDER BY cpos) - 1 AS cidx FROM p WHERE role = 'user'"),
-], (f"SELECT {_FAQ_CAT} AS category, 'conv_' || CAST(conv_id AS VARCHAR) AS source, "
+_FAQ_SQL = (
+    f"SELECT {_FAQ_CAT} AS category, 'conv_' || CAST(conv_id AS VARCHAR) AS source, "
     f"{Q.fix('question')} AS question, {Q.fix('answer')} AS answer, CAST(conv_id AS BIGINT) AS file_no, "
-    f"CAST(cidx AS BIGINT) AS cpos, CAST(qpos AS BIGINT) AS qpos FROM u "
-    f"WHERE {Q.fix('question')} <> '' AND {Q.fix('answer')} <> ''"))
+    f"CAST(cpos AS BIGINT) AS cpos, CAST(qpos AS BIGINT) AS qpos FROM ("
+    f"SELECT c.conv_id, c.turn // {FAQ_BLOCK} AS cpos, "
+    f"row_number() OVER (PARTITION BY c.conv_id, c.turn // {FAQ_BLOCK} ORDER BY c.turn) - 1 AS qpos, "
+    f"CASE WHEN c.conv_id % 10 = 0 THEN NULL ELSE 'Topic ' || CAST(c.conv_id % 17 AS VARCHAR) END AS category, "
+    f"c.text AS question, n.text AS answer FROM conversations c LEFT JOIN conversations n "
+    f"ON n.conv_id = c.conv_id AND n.turn = c.turn + 1 WHERE c.role = 'user') "
+    f"WHERE {Q.fix('question')} <> '' AND {Q.fix('answer')} <> ''")
 
 
 @register("kb_flatten_faq", _FAQ_SQL)
 def kb_flatten_faq(spark, d):
     conv = table(spark, d, "conversations")
-    from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = (conv.withColumn("answer", F.lead("text").over(w))
-                 .filter(F.col("role") == "user")
-                 .withColumn("cpos", F.floor(F.col("turn") / 50).cast("long")))
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = (conv.filter(F.col("role") == "user").join(nxt, ["conv_id", "turn"], "left")
+                 .withColumn("cpos", F.floor(F.col("turn") / FAQ_BLOCK).cast("long")))
     cat = F.when(F.col("conv_id") % 10 == 0, F.lit(None).cast("string")) \
            .otherwise(F.concat(F.lit("Topic "), (F.col("conv_id") % 17).cast("string")))
-    nested = (pairs.groupBy("conv_id", "cpos")
-              .agg(F.first(cat).alias("category"),
-                   F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("question"), "answer")))
-                   .alias("qs"))
-              .select("conv_id", "cpos", F.struct("category", F.transform(
-                  "qs", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
-                  .alias("questions")).alias("cat")))
-    files = (nested.groupBy("conv_id")
-             .agg(F.transform(F.sort_array(F.collect_list(F.struct("cpos", "cat"))), lambda x: x["cat"])
-                  .alias("categories"))
-             .withColumn("source", F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))))
-    flat = flatten_faq(files, file_no_col="conv_id", source_col="source")
+    files = (pairs.groupBy("conv_id", "cpos")
+             .agg(F.first(cat).alias("category"),
+                  F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("question"), "answer")))
+                  .alias("qs"))
+             .select((F.col("conv_id") * FILE_STRIDE + F.col("cpos")).alias("file_no"),
+                     F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("source"),
+                     F.array(F.struct("category", F.transform(
+                         "qs", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
+                         .alias("questions"))).alias("categories")))
+    flat = flatten_faq(files, file_no_col="file_no", source_col="source")
     return flat.select("category", "source", "question", "answer",
-                       F.col("seq.sheet_no").alias("file_no"),
-                       F.shiftright(F.col("seq.pos"), 32).alias("cpos"),
+                       F.floor(F.col("seq.sheet_no") / FILE_STRIDE).cast("long").alias("file_no"),
+                       (F.col("seq.sheet_no") % FILE_STRIDE).cast("long").alias("cpos"),
                        F.col("seq.pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("qpos"))
 
 
