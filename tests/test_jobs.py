@@ -47,3 +47,12 @@ def test_missing_kb_is_explained(spark, tmp_path):
         load_knowledge_base(spark, str(tmp_path / "nothing"))
     with pytest.raises(ValueError):
         build_knowledge_base(spark, kb_path=str(tmp_path / "kb"), faq_path=str(tmp_path / "none.json"))
+
+
+def test_index_stats_or_error(spark, tmp_path):
+    from askframe.operators.vectors import index_stats_at
+    bad = index_stats_at(spark, str(tmp_path / "missing")).first()
+    assert bad.vectors_count is None and bad.error
+    spark.createDataFrame([("d1", [1.0, 0.0])], "doc_id string, embedding array<float>").write.parquet(str(tmp_path / "v"))
+    ok = index_stats_at(spark, str(tmp_path / "v")).first()
+    assert (ok.vectors_count, ok.vector_size, ok.error) == (1, 2, None)
