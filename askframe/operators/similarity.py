@@ -73,16 +73,19 @@ def _block_scores(q: np.ndarray, d: np.ndarray, integer: bool) -> np.ndarray:
 
 SAMPLE_PER_CELL = 16
 SAMPLE_MAX = 32768
+# byte caps (float64 on the driver / in the broadcast), whatever the vector dimension
+CENTROID_MAX_BYTES = 64 << 20
+SAMPLE_MAX_BYTES = 256 << 20
 
 
-def _centroids(docs: DataFrame, n_cells: int, seed: int, refine_steps: int) -> np.ndarray:
+def _centroids(docs: DataFrame, n_cells: int, seed: int, refine_steps: int, dim: int) -> np.ndarray:
     """Unit centroids trained on a bounded sample (first rows in hash order).
 
     At most ``min(16 * n_cells, 32768)`` vectors reach the driver; the first
     ``n_cells`` of them seed the cells and ``refine_steps`` Lloyd iterations
     (spherical k-means) run on the sample in numpy.
     """
-    n_sample = max(n_cells, min(SAMPLE_PER_CELL * n_cells, SAMPLE_MAX))
+    n_sample = max(n_cells, min(SAMPLE_PER_CELL * n_cells, SAMPLE_MAX, SAMPLE_MAX_BYTES // (8 * dim)))
     picked = (docs.select("_v").orderBy(F.xxhash64(F.col("_did"), F.lit(seed)))
                   .limit(n_sample).collect())
     x = _unit(_matrix([r[0] for r in picked]))
@@ -150,9 +153,10 @@ def build_cells(docs: DataFrame, *, did: str = "doc_id", vec: str = "embedding",
     n_docs = d.count()
     if n_docs == 0:
         return None
-    n_cells = max(1, min(MAX_CELLS, math.ceil(n_docs / cell_rows)))
+    dim = max(1, d.select(F.size("_v")).first()[0] or 1)
+    n_cells = max(1, min(MAX_CELLS, CENTROID_MAX_BYTES // (8 * dim), math.ceil(n_docs / cell_rows)))
     sc = docs.sparkSession.sparkContext
-    cents = _centroids(d, n_cells, seed, refine_steps)
+    cents = _centroids(d, n_cells, seed, refine_steps, dim)
     # at most MAX_CELLS x dim doubles: a bounded broadcast, shipped once per executor
     cents_bc = sc.broadcast(cents)
     assigned = _assign(d, cents_bc, integer)
