@@ -104,5 +104,16 @@ def embed_with(df: DataFrame, text_col: str, embedder: Callable[[Column], Column
     """Vectors from a user embedder (normalised), or the hashed form when none is given."""
     if embedder is None:
         return hashed_vectors(df, text_col, keep_cols, dim)
-    return df.select(*keep_cols, normalized(embedder(F.col(text_col))).alias("embedding"))
+    return embed_column(df, text_col, embedder, keep_cols)
+
+
+def embed_column(df: DataFrame, text_col: str, embedder: Callable[[Column], Column],
+                 keep_cols: list[str], out: str = "embedding") -> DataFrame:
+    """Apply a user embedder, then L2-normalise in a separate projection.
+
+    A Python UDF may not feed a higher-order function in the same projection,
+    so the raw vector is selected first.
+    """
+    raw = df.select(*keep_cols, embedder(F.col(text_col)).alias("_raw_embedding"))
+    return raw.select(*keep_cols, normalized("_raw_embedding").alias(out))
 
