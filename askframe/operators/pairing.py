@@ -4,10 +4,10 @@ Each question row opens a group; the rows after it, up to the next question,
 are its answer.  Rows before a sheet's first question answer
 ``What is <product>?`` — only when some question follows.
 
-Skew: one sheet may hold a third of all rows, so nothing is windowed per
-sheet.  Rows are cut into fixed-size blocks of ``row_no``; the running
-question count is a window per (sheet, block) plus the block's offset, and
-offsets come from a per-sheet window over block counts (one row per block).
+Skew: one sheet may hold a third of all rows, so no row-level window is
+partitioned by sheet.  Rows are cut into fixed-size blocks of ``row_no``; the
+running question count is a window per (sheet, block) plus the block's offset,
+and offsets come from a per-sheet window over block counts (one row per block).
 Answers are concatenated in two levels (inside a block, then across blocks),
 so no single ``collect_list`` holds more than one block of lines.
 """
@@ -33,17 +33,22 @@ def pair_questions(lines: DataFrame, sheet_cols: list[str], order_col: str = "ro
                          F.col(is_q_col).cast("int").alias("_q"), F.col(product_col).alias("_product"))
                  .withColumn("_block", F.floor(F.col("_row") / F.lit(block_rows)).cast("long")))
 
-    block_stats = rows.groupBy(*sheet_cols, "_block").agg(F.sum("_q").alias("_bq"))
+    # One exchange by (sheet, block) carries the cleaned rows; the running count inside
+    # the block and the block total are windows over it, and the block offsets are
+    # derived from the same windowed rows (the shuffle is reused, rows are cleaned once).
+    in_block = Window.partitionBy(*sheet_cols, "_block")
+    rows = (rows.withColumn("_run", F.sum("_q").over(in_block.orderBy("_row")
+                                                     .rowsBetween(Window.unboundedPreceding, 0)))
+                .withColumn("_bq", F.sum("_q").over(in_block)))
+    block_stats = rows.groupBy(*sheet_cols, "_block").agg(F.max("_bq").alias("_bq"))
     per_sheet = Window.partitionBy(*sheet_cols).orderBy("_block")
     block_stats = (block_stats
                    .withColumn("_off", F.coalesce(F.sum("_bq").over(
                        per_sheet.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                   .withColumn("_sheet_q", F.sum("_bq").over(Window.partitionBy(*sheet_cols))))
-
-    in_block = (Window.partitionBy(*sheet_cols, "_block").orderBy("_row")
-                .rowsBetween(Window.unboundedPreceding, 0))
+                   .withColumn("_sheet_q", F.sum("_bq").over(Window.partitionBy(*sheet_cols)))
+                   .drop("_bq"))
     grouped = (rows.join(block_stats, on=sheet_cols + ["_block"], how="inner")
-                   .withColumn("_g", F.col("_off") + F.sum("_q").over(in_block)))
+                   .withColumn("_g", F.col("_off") + F.col("_run")))
 
     # level 1: inside one block
     lvl1 = (grouped.groupBy(*sheet_cols, "_g", "_block")

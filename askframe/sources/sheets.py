@@ -13,6 +13,7 @@ from askframe import rules
 from askframe.functions.text import is_question, py_strip, row_to_text
 from askframe.operators.pairing import pair_questions
 from askframe.operators.util import join_small
+from askframe.session import checkpoint_dir
 
 
 def _drop_dots(col):
@@ -53,6 +54,11 @@ def parse_sheets(sheet_rows: DataFrame, sheet_map: DataFrame | None = None,
     lines = sheet_lines(sheet_rows, sheet_map, skip_sheets)
     if question_flag is not None:
         lines = lines.withColumn("is_q", F.col("is_q") | F.coalesce(question_flag, F.lit(False)))
+    # Pairing reads its input twice (per-block question counts, then the rows); the
+    # cleaned lines are written once to the shared checkpoint folder instead of
+    # running the cleaning expressions twice.
+    checkpoint_dir(lines.sparkSession)
+    lines = lines.select("sheet", "sheet_no", "row_no", "text", "is_q", "product").checkpoint(eager=True)
     pairs = pair_questions(lines, ["sheet", "sheet_no"], order_col="row_no")
     return pairs.select(
         F.col("product").alias("category"), F.lit(source).alias("source"),
