@@ -41,6 +41,16 @@ from askframe.operators.util import materialize_if_computed
 MAX_CELLS = 4096
 
 
+def _collect_vectors(df: DataFrame, col: str) -> np.ndarray:
+    """A bounded vector column to an ``n x dim`` float64 matrix through Arrow (no per-float Python objects)."""
+    table = df.select(col).toArrow()
+    values = table.column(0).combine_chunks()
+    if len(values) == 0:
+        return np.zeros((0, 0))
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(values), -1)
+
+
 def _matrix(series, dtype=np.float64) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=dtype) for v in series]) if len(series) else np.zeros((0, 0))
 
@@ -86,12 +96,11 @@ def _centroids(docs: DataFrame, n_cells: int, seed: int, refine_steps: int, dim:
     (spherical k-means) run on the sample in numpy.
     """
     n_sample = max(n_cells, min(SAMPLE_PER_CELL * n_cells, SAMPLE_MAX, SAMPLE_MAX_BYTES // (8 * dim)))
-    picked = (docs.select("_v").orderBy(F.xxhash64(F.col("_did"), F.lit(seed)))
-                  .limit(n_sample).collect())
-    x = _unit(_matrix([r[0] for r in picked]))
+    picked = docs.select("_v").orderBy(F.xxhash64(F.col("_did"), F.lit(seed))).limit(n_sample)
+    x = _unit(_collect_vectors(picked, "_v"))
     x = x[np.abs(x).sum(axis=1) > 0]
     if len(x) == 0:
-        return np.zeros((1, len(picked[0][0]) if picked else 1))
+        return np.zeros((1, dim))
     cents = x[:n_cells].copy()
     for _ in range(refine_steps if len(cents) > 1 else 0):
         cell = (x @ cents.T).argmax(axis=1)
@@ -181,17 +190,18 @@ def write_index(index: CellIndex, path: str) -> None:
 
 
 def read_index(spark, path: str) -> CellIndex:
-    rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()   # one row per cell, bounded
-    integer, did, vec = rows[0]["meta"].split("|")
-    cents = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    radius = np.array([r["radius"] for r in rows], dtype=np.float64)
-    counts = np.array([r["n"] for r in rows], dtype=np.int64)
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell")     # one row per cell, bounded
+    small = cells.select("cell", "radius", "n", "meta").toArrow().to_pandas()
+    integer, did, vec = small["meta"].iloc[0].split("|")
+    cents = _collect_vectors(cells, "centroid")
+    radius = small["radius"].to_numpy(dtype=np.float64)
+    counts = small["n"].to_numpy(dtype=np.int64)
     return CellIndex(spark.read.parquet(f"{path}/data"), cents, radius, counts, bool(int(integer)), did, vec)
 
 
 def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "query_id",
                  vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
-                 mode: str = "exact", nprobe: int = 4, block_rows: int = 4096,
+                 mode: str = "exact", nprobe: int = 4, block_rows: int = 2048,
                  did_type=None, stats: dict | None = None) -> DataFrame:
     """Top-k per question against a cell index (built on the fly or read from storage).
 
@@ -304,7 +314,7 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
 def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id", did: str = "doc_id",
                     vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
                     integer: bool = False, mode: str = "exact", nprobe: int = 4,
-                    cell_rows: int = 1024, block_rows: int = 4096, refine_steps: int = 1,
+                    cell_rows: int = 1024, block_rows: int = 2048, refine_steps: int = 1,
                     seed: int = 7) -> DataFrame:
     """``(qid, did, rank, score, raw_score)``: up to ``k`` documents per question with score ≥ threshold.
 
