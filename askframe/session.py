@@ -16,6 +16,8 @@ _BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # 128 MB splits keep a scan task's working set small at any table size.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # checkpoint files of frames that are no longer referenced are removed by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
