@@ -41,20 +41,21 @@ DEFAULT_PROFILE = Profile()
 
 # ============================ FIXED VALUES (begin) ==========================
 # Text repair: ordered literal replacements applied before newline folding.
-# Pairs are (bad, good); the order matters ("\xc2\xb7" must run before "\xc2").
+# Pairs are (bad, good); the order matters ("Â·" must run before "Â").  Invisible
+# and control characters are written as escapes.
 MOJIBAKE_REPLACEMENTS: list[tuple[str, str]] = [
-    ("\u00e2\u20ac\u0153", '"'),
-    ("\u00e2\u20ac\u009d", '"'),
-    ("\u00e2\u20ac\u2122", "'"),
-    ("\u00e2\u20ac\u02dc", "'"),
-    ("\u00e2\u0080\u0093", "\u2013"),
-    ("\u00e2\u0080\u0094", "\u2014"),
-    ("\u00c2\u00b7", "\u00b7"),
-    ("\u00c2", ""),
-    ("\u00a0", " "),
+    ("â€œ", '"'),
+    ("â€\x9d", '"'),
+    ("â€™", "'"),
+    ("â€˜", "'"),
+    ("â\x80\x93", "–"),
+    ("â\x80\x94", "—"),
+    ("Â·", "·"),
+    ("Â", ""),
+    ("\xa0", " "),
     ("\u200b", ""),
-    ("\u2013", "\u2013"),
-    ("\u2014", "\u2014"),
+    ("–", "–"),
+    ("—", "—"),
 ]
 
 # Personal-data patterns (Python ``re`` syntax), in application order.
