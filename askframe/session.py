@@ -27,6 +27,9 @@ def build_session(master: str | None = None, app_name: str = "askframe",
     if master:
         builder = builder.master(master)
     conf = dict(_BASE_CONF)
+    # listing many small files (upload folders, stream batches) uses a few tasks, not one per file
+    conf["spark.sql.sources.parallelPartitionDiscovery.parallelism"] = str(
+        8 * (shuffle_partitions or 8))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
