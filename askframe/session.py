@@ -18,6 +18,10 @@ _BASE_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     # checkpoint files of frames that are no longer referenced are removed by the context cleaner
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # task slots already use every core: one BLAS thread per Python worker avoids oversubscription
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.MKL_NUM_THREADS": "1",
 }
 
 
