@@ -158,7 +158,8 @@ def build_cells(docs: DataFrame, *, did: str = "doc_id", vec: str = "embedding",
                 payload: list[str] | None = None) -> CellIndex | None:
     """Cluster documents into ``ceil(n / cell_rows)`` cells (capped); ``None`` when there are no documents."""
     cols = [F.col(did).alias("_did"), F.col(vec).alias("_v")] + [F.col(c) for c in (payload or [])]
-    d = materialize_if_computed(docs.select(*cols))
+    # a document without a vector can never match
+    d = materialize_if_computed(docs.select(*cols).filter(F.col("_v").isNotNull()))
     n_docs = d.count()
     if n_docs == 0:
         return None
@@ -223,7 +224,8 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     alpha = 2.0 * np.arcsin(np.clip(radius / 2.0, 0.0, 1.0))
     nonempty = index.counts > 0
     dblocks = np.maximum(1, -(-index.counts // block_rows)).astype(np.int64)
-    q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v")))
+    q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
+                                .filter(F.col("_v").isNotNull()))
 
     probe_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_v", queries.schema[vec].dataType),
                                  T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType())])

@@ -92,3 +92,10 @@ def test_stored_index_matches_on_the_fly(spark, tmp_path):
     plan = search_cells(qdf, ix, k=4, mode="approx", nprobe=1)._jdf.queryExecution().executedPlan().toString()
     import re
     assert re.search(r"PartitionFilters: \[_cell#\d+ IN \(", plan)      # only probed cells are read
+
+
+def test_null_vectors_are_skipped(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    d = spark.createDataFrame([(10, [1.0, 0.0]), (11, None)], "doc_id long, embedding array<float>")
+    got = [(r.query_id, r.doc_id) for r in similarity_topk(q, d).collect()]
+    assert got == [(1, 10)]
