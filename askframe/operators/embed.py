@@ -60,8 +60,16 @@ def _counts_for(texts, dim: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
-                   dim: int = rules.VECTOR_SIZE) -> DataFrame:
-    """``keep_cols + [tf array<int>, sq long, embedding array<float>]`` — map-side only."""
+                   dim: int = rules.VECTOR_SIZE, engine: str = "arrow") -> DataFrame:
+    """``keep_cols + [tf array<int>, sq long, embedding array<float>]``.
+
+    ``engine="arrow"`` (default) counts map-side in Arrow batches: no shuffle.
+    ``engine="sql"`` uses built-in functions only (explode, then an aggregate per
+    (row, bucket) and per row): JVM-only, at the price of shuffling one row per
+    distinct bucket of every text.  Both give the same vectors.
+    """
+    if engine == "sql":
+        return _hashed_vectors_sql(df, text_col, keep_cols, dim)
     schema = T.StructType([df.schema[c] for c in keep_cols] + [
         T.StructField("tf", T.ArrayType(T.IntegerType(), False)),
         T.StructField("sq", T.LongType()),
@@ -84,6 +92,23 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
     return df.select(*cols).mapInPandas(run, schema)
 
 
+def _hashed_vectors_sql(df: DataFrame, text_col: str, keep_cols: list[str], dim: int) -> DataFrame:
+    rid = "__row_id"
+    base = df.select(*keep_cols, text_col).withColumn(rid, F.monotonically_increasing_id())
+    toks = base.select(rid, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"))
+                       .alias("tok")).filter(F.col("tok") != "")
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("tok")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    counts = toks.groupBy(rid, bucket.alias("b")).agg(F.count(F.lit(1)).cast("int").alias("c"))
+    per_row = counts.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"))
+    tf = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
+    out = (base.join(per_row, rid, "left").withColumn("tf", tf)
+               .withColumn("sq", F.aggregate("tf", F.lit(0).cast("long"), lambda acc, x: acc + x * x)))
+    norm = F.sqrt(F.col("sq").cast("double"))
+    emb = F.when(norm > 0, F.transform("tf", lambda x: (x / norm).cast("float"))) \
+           .otherwise(F.transform("tf", lambda x: x.cast("float")))
+    return out.select(*keep_cols, "tf", "sq", emb.alias("embedding"))
+
+
 def hashed_long_form(vectors: DataFrame, id_col: str) -> DataFrame:
     """``(id, dim, cnt, weight)`` for non-zero buckets; ``weight = round(cnt / sqrt(sq), 6)``."""
     exploded = vectors.select(id_col, "sq", F.posexplode("tf").alias("dim", "cnt")).filter(F.col("cnt") > 0)
