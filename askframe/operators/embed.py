@@ -66,7 +66,8 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
     ``engine="arrow"`` (default) counts map-side in Arrow batches: no shuffle.
     ``engine="sql"`` uses built-in functions only (explode, then an aggregate per
     (row, bucket) and per row): JVM-only, at the price of shuffling one row per
-    distinct bucket of every text.  Both give the same vectors.
+    distinct bucket of every text; its first ``keep_cols`` column must identify
+    the row.  Both give the same vectors.
     """
     if engine == "sql":
         return _hashed_vectors_sql(df, text_col, keep_cols, dim)
@@ -93,8 +94,11 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
 
 
 def _hashed_vectors_sql(df: DataFrame, text_col: str, keep_cols: list[str], dim: int) -> DataFrame:
-    rid = "__row_id"
-    base = df.select(*keep_cols, text_col).withColumn(rid, F.monotonically_increasing_id())
+    # the first kept column identifies a row (a deterministic key, unlike a generated row id,
+    # so recomputing a lost partition joins the same rows again)
+    rid = keep_cols[0]
+    cols = list(keep_cols) + ([text_col] if text_col not in keep_cols else [])
+    base = df.select(*cols)
     toks = base.select(rid, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"))
                        .alias("tok")).filter(F.col("tok") != "")
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("tok")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
