@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe import rules
+from askframe.session import ship_package
 
 _TOKEN = re.compile(r"[a-z0-9]+")  # the non-empty pieces of splitting on [^a-z0-9]+
 _CACHE_MAX = 1 << 20
@@ -71,6 +72,7 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
     """
     if engine == "sql":
         return _hashed_vectors_sql(df, text_col, keep_cols, dim)
+    ship_package(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep_cols] + [
         T.StructField("tf", T.ArrayType(T.IntegerType(), False)),
         T.StructField("sq", T.LongType()),

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from askframe import rules
 from askframe.operators.util import materialize_if_computed
+from askframe.session import ship_package
 
 MAX_CELLS = 4096
 
@@ -157,6 +158,7 @@ def build_cells(docs: DataFrame, *, did: str = "doc_id", vec: str = "embedding",
                 cell_rows: int = 1024, refine_steps: int = 1, seed: int = 7,
                 payload: list[str] | None = None) -> CellIndex | None:
     """Cluster documents into ``ceil(n / cell_rows)`` cells (capped); ``None`` when there are no documents."""
+    ship_package(docs.sparkSession)
     cols = [F.col(did).alias("_did"), F.col(vec).alias("_v")] + [F.col(c) for c in (payload or [])]
     # a document without a vector can never match
     d = materialize_if_computed(docs.select(*cols).filter(F.col("_v").isNotNull()))
@@ -211,6 +213,7 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     """
     if k is None or k <= 0:
         k = rules.TOP_K
+    ship_package(queries.sparkSession)
     qtype = queries.schema[qid].dataType
     if index is None:
         return _empty(queries, qid, "doc_id", qtype, did_type or T.StringType())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -84,3 +86,34 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``askframe`` importable in the Python workers, once per Spark application.
+
+    Functions run by ``mapInPandas``/``applyInPandas`` refer to this package; the
+    workers of a cluster (or of a driver started from another folder) do not have
+    it on their path.  The package sources are zipped and added with
+    ``SparkContext.addPyFile`` (what ``--py-files`` does), so every executor
+    receives them from the driver.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    with _SHIP_LOCK:
+        if app in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        zpath = os.path.join(tempfile.mkdtemp(prefix="askframe-pyfiles-"), "askframe.zip")
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(pkg_dir):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(zpath)
+        _SHIPPED.add(app)

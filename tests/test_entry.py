@@ -33,3 +33,19 @@ def test_no_cross_products_or_row_udfs(spark):
         plan = fn(spark, E.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
         found = [b for b in banned if b in plan]
         assert not found, (key, found)
+
+
+def test_loaded_by_path_from_another_folder(tmp_path):
+    """The driver may load the entry file by path from any folder; Python workers must still find the package."""
+    import subprocess
+    import sys
+    script = (
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('entry_mod', {E.__file__!r})\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', E.queries()['vec_topk'](s, E.SMOKE_DIR).count())\n")
+    out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
