@@ -38,8 +38,9 @@ def test_build_answer_evaluate(spark, tmp_path):
     assert [r.top_k for r in ev] == [1, 3, 5] and ev[-1].n == 4
     up = spark.createDataFrame([("New text", "Cards", 0)], "text string, category string, pos long") \
         .selectExpr("text", "category", "named_struct('src_no', 2, 'pos', pos) AS seq")
-    new = append_uploads_to(spark, kb_path, up).collect()
+    new = append_uploads_to(spark, kb_path, up, vectors_path=vec_path).collect()
     assert new[0].id == "doc_0004" and load_knowledge_base(spark, kb_path).count() == 5
+    assert spark.read.parquet(vec_path).filter("doc_id = 'doc_0004'").count() == 1
 
 
 def test_missing_kb_is_explained(spark, tmp_path):
