@@ -36,3 +36,11 @@ def test_sft_rows_messages_profile(spark):
     prof = {r.field: r for r in S.length_profile(lens).collect()}
     r = prof["instruction_len"]
     assert (r.n, r.min, r.p25, r.p50, r.p75, r.max, r.mean) == (4, 1.0, 1.75, 3.0, 5.25, 9.0, 4.0)
+
+
+def test_search_options_pass_through(spark):
+    kb = _kb(spark)
+    vecs = kb_vectors(kb)
+    exact = EV.hit_rates(kb, vecs, k=5).first()
+    approx = EV.hit_rates(kb, vecs, k=5, mode="approx", nprobe=1, cell_rows=2).first()
+    assert approx.n == exact.n and 0.0 <= approx.topk_match <= exact.topk_match
