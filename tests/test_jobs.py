@@ -57,3 +57,12 @@ def test_index_stats_or_error(spark, tmp_path):
     spark.createDataFrame([("d1", [1.0, 0.0])], "doc_id string, embedding array<float>").write.parquet(str(tmp_path / "v"))
     ok = index_stats_at(spark, str(tmp_path / "v")).first()
     assert (ok.vectors_count, ok.vector_size, ok.error) == (1, 2, None)
+
+
+def test_index_exists_probe(spark, tmp_path):
+    from askframe.operators.vectors import index_exists
+    assert not index_exists(spark, str(tmp_path / "none"))
+    spark.createDataFrame([], "doc_id string, embedding array<float>").write.parquet(str(tmp_path / "empty"))
+    assert not index_exists(spark, str(tmp_path / "empty"))           # exists but holds no vectors
+    spark.createDataFrame([("d", [1.0])], "doc_id string, embedding array<float>").write.parquet(str(tmp_path / "one"))
+    assert index_exists(spark, str(tmp_path / "one"))
