@@ -51,12 +51,12 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column,
-                    max_rows: int = 12_000) -> DataFrame:
+                    max_rows: int = 12_000, balanced: bool = True) -> DataFrame:
     """(doc_id, text, y, w): about ``max_rows`` labelled rows outside the held-out fold.
 
-    ``max_rows`` bounds what a classifier is fitted on, half of it for each
-    class where there are enough; rows are picked by a hash of the id.  ``w``
-    undoes the different sampling rates.  Ids without a 0/1 label take no part;
+    ``max_rows`` bounds what a classifier is fitted on; if ``balanced``, half
+    of it goes to each class where there are enough.  Rows are picked by a hash
+    of the id.  ``w`` undoes the different sampling rates.  Ids without a 0/1 label take no part;
     an id with two labels counts as its larger one.  The ids go to the scan of
     ``docs`` as a broadcast of at most about ``max_rows`` numbers, so no text
     is shuffled.
@@ -67,6 +67,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     small = min(n.get(0, 0), n.get(1, 0), max_rows // 2)
     share = {y: min(1.0, max(max_rows // 2, max_rows - small) / max(1, n.get(y, 0))) for y in (0, 1)}
+    if not balanced:
+        share = dict.fromkeys((0, 1), min(1.0, max_rows / max(1, sum(n.values()))))
     rate = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
     picked = rows.where(uniform(F.col("doc_id"), "labelled " + target) < rate).select("doc_id", "y", (1 / rate).alias("w"))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")

@@ -1,10 +1,23 @@
-"""The queries of this subpackage by name, and SQL for those that SQL can express."""
+"""The queries of this subpackage by name, and SQL for those that SQL can express.
+
+None has SQL: fitted models, XXH64, public vocabularies and SHA-256 of
+reconstructed texts are not in DuckDB's SQL; the tests compare each with a
+brute-force version, an exact round trip or held-out accuracy.
+"""
 
 from __future__ import annotations
 
-from askframe.llm import quality_classifier, quality_rules, token_counts
+from askframe.llm import (chat, lm, mixing, partitions, pieces, quality_classifier, quality_rules, simhash, token_counts,
+                          toxicity)
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_chat_formatting": chat.op2,
+    "op3_lm_scoring": lm.op3,
+    "op4_mixing": mixing.op4,
+    "op5_ann_partitions": partitions.op5,
+    "op6_simhash_dedup": simhash.op6,
+    "op7_sentencepiece": pieces.op7,
     "op8_quality_classifier": quality_classifier.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_token_counts": token_counts.op10,

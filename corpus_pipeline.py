@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askframe.llm import common, quality_classifier
+from askframe.llm import common, mixing, pieces, quality_classifier, simhash, toxicity
 
 STAGES = [
     ("quality", quality_classifier.stage),
+    ("toxicity", toxicity.stage),
+    ("near_duplicates", simhash.stage),
+    ("mixing", mixing.stage),
+    ("pieces", pieces.stage),
 ]
 
 ORACLE_SQL = None
