@@ -156,17 +156,23 @@ class _Expression:
         return ("not", self.negated()) if self.take("not") else self.compared()
 
     def compared(self) -> tuple:
-        e = self.sum()
+        e = self.joined()
         if op := self.take(*_COMPARE):
-            return ("op", op, e, self.sum())
+            return ("op", op, e, self.joined())
         if self.take("not"):
             self.need("in")
-            return ("not", ("op", "in", e, self.sum()))
+            return ("not", ("op", "in", e, self.joined()))
+        return e
+
+    def joined(self) -> tuple:
+        e = self.sum()
+        while self.take("~"):
+            e = ("op", "~", e, self.sum())
         return e
 
     def sum(self) -> tuple:
         e = self.product()
-        while op := self.take("+", "-", "~"):
+        while op := self.take("+", "-"):
             e = ("op", op, e, self.product())
         return e
 

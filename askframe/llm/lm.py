@@ -44,6 +44,7 @@ OWN_CLASSES, ENDING_CLASSES = 384, 128
 CLASSES = OWN_CLASSES + ENDING_CLASSES
 START = CLASSES  # a context before the first token
 DIM, NOISE, BATCH = 16, 32, 4096
+START_STEPS, SMALL_BATCH = 3000, 512  # updates that fit the common start, and their size
 
 BLOCK_SCHEMA = ("block bigint, tokens array<string>, train_counts array<bigint>, ids binary, n_ids bigint, "
                 "doc_ids array<bigint>, held_out array<boolean>, lengths array<bigint>")
@@ -151,13 +152,13 @@ class Model:
         return Model(parts, [s.copy() for s in sums])
 
     def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, seed: int,
-              rate: float = 0.08) -> None:
+              rate: float = 0.08, size: int = BATCH) -> None:
         """One pass of noise-contrastive estimation: tell data from ``NOISE`` draws of the unigram shares."""
         draw = np.random.default_rng(seed)
         cdf, log_noise = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
         order = draw.permutation(len(target))
-        for at in range(0, len(order), BATCH):
-            rows = order[at:at + BATCH]
+        for at in range(0, len(order), size):
+            rows = order[at:at + size]
             a, b, t = one[rows], two[rows], target[rows]
             wrong = np.minimum(np.searchsorted(cdf, draw.random(NOISE) * cdf[-1], side="right"), CLASSES - 1)
             A, B, R, bias = self.parts
@@ -220,27 +221,41 @@ def _train_rows(batch: pa.RecordBatch, own: dict[str, int]):
 def train(table: DataFrame, own: dict[str, int], noise: np.ndarray, warm_blocks: int = 2) -> Model:
     """Fit the classes' vectors on all training tokens of ``table``.
 
-    A task fits a start on ``warm_blocks`` blocks; from it each task learns
-    from its own blocks, and the mean of their parameters, weighted by tokens,
-    is the model.  The means are taken by Spark, one row per parameter.
+    A task fits a common start with ``START_STEPS`` small updates on
+    ``warm_blocks`` blocks; from it each task learns from its own blocks, and
+    the mean of their parameters, weighted by tokens, is the model.  The means
+    are taken by Spark, one row per parameter.
     """
     model = Model.start(noise)
     columns = ["block", "tokens", "ids", "n_ids", "held_out", "lengths"]
-    sums = model.sums
-
-    def learner(flat: np.ndarray, sums: list[np.ndarray], rate: float, with_sums: bool):
+    sizes = model.sums
+
+    def row(values: np.ndarray, seen: float) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * seen),
+                                           pa.array(np.full(len(values), seen))], ["at", "value", "weight"])
+
+    def begin(batches):
+        data = [x for batch in batches for x in _train_rows(batch, own)]
+        if not data:
+            return
+        one, two, target = (np.concatenate([d[i] for d in data]) for i in range(3))
+        fresh = Model.of(model.flat(), sizes)
+        draw, steps = np.random.default_rng(3), 0
+        while steps < START_STEPS:
+            some = draw.permutation(len(target))[:SMALL_BATCH * (START_STEPS - steps)]
+            fresh.learn(one[some], two[some], target[some], noise, seed=steps, size=SMALL_BATCH)
+            steps += -(-len(some) // SMALL_BATCH)
+        yield row(np.concatenate([fresh.flat().astype(np.float64), *(s.ravel() for s in fresh.sums)]), 1.0)
+
+    def learner(flat: np.ndarray, sums: list[np.ndarray]):
         def run(batches):
-            own_model, seen = Model.of(flat, sums), 0
+            mine, seen = Model.of(flat, sums), 0
             for batch in batches:
                 for one, two, target, block in _train_rows(batch, own):
-                    own_model.learn(one, two, target, noise, seed=block % 2**31, rate=rate)
+                    mine.learn(one, two, target, noise, seed=block % 2**31)
                     seen += len(target)
             if seen:
-                values = own_model.flat().astype(np.float64)
-                if with_sums:
-                    values = np.concatenate([values, *(s.ravel() for s in own_model.sums)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * seen),
-                                                  pa.array(np.full(len(values), float(seen)))], ["at", "value", "weight"])
+                yield row(mine.flat().astype(np.float64), float(seen))
         return run
 
     def mean(df: DataFrame) -> np.ndarray | None:
@@ -250,16 +265,15 @@ def train(table: DataFrame, own: dict[str, int], noise: np.ndarray, warm_blocks:
     schema = "at int, value double, weight double"
     some = table.where(F.exists("held_out", lambda h: ~h)).select("block").orderBy("block").limit(warm_blocks)
     first = table.select(*columns).join(F.broadcast(some), "block", "left_semi").coalesce(1)
-    got = mean(first.mapInArrow(learner(model.flat(), sums, 0.08, True), schema))
+    got = mean(first.mapInArrow(begin, schema))
     if got is None:
         return model
-    size = model.flat().size
-    warm, at = [], size
-    for s in sums:
+    at, warm = model.flat().size, []
+    for s in sizes:
         warm.append(got[at:at + s.size].astype(np.float32).reshape(s.shape))
         at += s.size
-    got = mean(table.select(*columns).mapInArrow(learner(got[:size], warm, 0.05, False), schema))
-    return Model.of(got, sums)
+    got = mean(table.select(*columns).mapInArrow(learner(got[:model.flat().size], warm), schema))
+    return Model.of(got, sizes)
 
 
 def score(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
