@@ -1,0 +1,194 @@
+"""Token counts (10), mixing (4) and learned partitions (5)."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from askframe.llm import mixing, partitions, token_counts
+
+from corpora import documents
+
+
+def lengths():
+    with open(token_counts.VOCABULARY, "rb") as f:
+        enc = token_counts.encoder(f.read())
+    return [len(enc.encode_ordinary(t or "")) for _, t, *_ in documents()[0]]
+
+
+def test_op10_equals_brute_force(spark, tables):
+    n = lengths()
+    rows = {r["length"]: r for r in token_counts.op10(spark, tables(documents=documents()[0])).collect()}
+    assert set(rows) == set(n)
+    for limit, r in rows.items():
+        assert (r["n_docs"], r["tokens"]) == (n.count(limit), limit * n.count(limit))
+        assert r["docs_at_least"] == sum(x >= limit for x in n) and r["tokens_at_least"] == sum(x for x in n if x >= limit)
+        assert (r["total_docs"], r["total_tokens"]) == (len(n), sum(n))
+        assert r["truncated_total"] == sum(min(x, limit) for x in n)
+        assert math.isclose(r["share_at_most"], sum(x <= limit for x in n) / len(n), abs_tol=1e-12)
+
+
+def test_any_limit_and_quantile(spark, tables):
+    n = lengths()
+    sums = token_counts.op10(spark, tables(documents=documents()[0]))
+    for r in token_counts.at_limits(sums, [1, 37, 5000, 10**6]).collect():
+        c = r["context_limit"]
+        assert (r["docs_cut"], r["tokens_kept"]) == (sum(x > c for x in n), sum(min(x, c) for x in n))
+    for r in token_counts.quantiles(sums, [0.1, 0.5, 1.0]).collect():
+        assert r["length"] == sorted(n)[math.ceil(r["share"] * len(n)) - 1]
+
+
+def test_op10_empty(spark, tables):
+    assert token_counts.op10(spark, tables(documents=[])).collect() == []
+
+
+def tokens(t):
+    return max(1, len((t or "").split(" ")) if (t or "").strip(" ") else 0)
+
+
+def mixture(rows):
+    per = defaultdict(Counter)
+    for r in rows:
+        per[r["source"]][r["doc_id"]] += 1
+    return per
+
+
+def skewed(n=300):
+    return [(i, "w " * (1 + i % 7) + "w", "en", "big" if i % 3 else f"s{i % 5}", 1) for i in range(n)] + [(n, None, "en", None, 0)]
+
+
+def test_op4_uses_every_document_within_the_limit(spark, tables):
+    docs = skewed()
+    rows = mixing.op4(spark, tables(documents=docs)).collect()
+    per, size = mixture(rows), defaultdict(int)
+    for d, t, _, s, _ in docs:
+        size[s] += 1 if not t else len(t.split())
+    uses = {s: sum(r["tokens"] for r in rows if r["source"] == s) for s in size}
+    assert {d for c in per.values() for d in c} == {d[0] for d in docs}
+    most = max(size.values())
+    least = min(size.values())
+    a = 1 - math.log(2) / math.log(most / least)
+    for s in size:
+        quota = max(size[s], math.floor(size[s] * (most / size[s]) ** (1 - a) + 0.5))
+        assert quota <= uses[s] < quota + 9  # the last document may end beyond the quota
+        assert max(per[s].values()) - min(per[s].values()) <= 1 and max(per[s].values()) <= 2
+    total = sum(x ** a for x in size.values())
+    assert all(math.isclose(r["weight"], size[r["source"]] ** a / total, rel_tol=1e-6) for r in rows)
+
+
+def test_entropy_target_and_budget(spark):
+    docs = spark.createDataFrame([(i, "a b c d", f"s{int(math.sqrt(i)) // 4}") for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.sized(docs)
+    sources, uses = mixing.plan(rows, entropy=1.5, budget=800, block_tokens=40)
+    w = [r["weight"] for r in sources.collect()]
+    assert math.isclose(sum(w), 1) and math.isclose(-sum(x * math.log(x) for x in w), 1.5, abs_tol=1e-6)
+    got = mixing.apply_plan(rows, sources, uses).collect()
+    for s in sources.collect():
+        used = sum(r["tokens"] for r in got if r["__s"] == s["__s"])
+        assert s["quota"] <= used < s["quota"] + 4
+    # any prefix of the order has about the weights
+    got.sort(key=lambda r: (r["mix_at"], r["__s"], r["block"], r["in_block"]))
+    share = Counter()
+    for r in got[:len(got) // 2]:
+        share[r["__s"]] += r["tokens"]
+    total = sum(share.values())
+    for s in sources.collect():
+        assert abs(share[s["__s"]] / total - s["weight"]) < 0.12
+
+
+def test_unreachable_targets_take_the_nearer_end(spark):
+    src = spark.createDataFrame([("a", 10), ("b", 1000)], "__s string, tokens long")
+    assert mixing.solve_exponent(src, entropy=99.0) == 0.0 and mixing.solve_exponent(src, entropy=0.0) == 1.0
+    assert mixing.solve_exponent(src, max_repeat=1e9) == 0.0 and mixing.solve_exponent(src, max_repeat=1.0, budget=10**6) == 1.0
+    a = mixing.solve_exponent(src, max_repeat=4.0)
+    assert math.isclose(100 ** (1 - a), 4.0, rel_tol=1e-6)
+
+
+def test_epochs_are_permutations_and_hot_sources_are_cut_into_blocks(spark):
+    docs = spark.createDataFrame([(i, "a b c d e", "hot" if i % 10 else "cold") for i in range(2000)], "doc_id long, text string, source string")
+    rows = mixing.sized(docs)
+    sources, uses = mixing.plan(rows, max_repeat=3.0, block_tokens=500)
+    got = mixing.apply_plan(rows, sources, uses).collect()
+    assert max(Counter((r["__s"], r["epoch"], r["block"]) for r in got).values()) < 250
+    order = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["mix_at"]):
+        if r["__s"] == "=cold" and r["block"] not in order[r["epoch"]]:
+            order[r["epoch"]].append(r["block"])
+    assert len(order) >= 2 and set(order[0]) >= set(order[1])
+
+
+def test_mixing_stage_keeps_columns_and_empty_tables(spark, tables):
+    docs = spark.createDataFrame([(i, "a b", f"s{i % 2}", i, 1.0, "x") for i in range(9)], "doc_id long, text string, source string, epoch int, weight double, last string")
+    got = mixing.stage(spark, docs, "")
+    assert got.columns == docs.columns and got.distinct().exceptAll(docs).isEmpty() and docs.exceptAll(got.distinct()).isEmpty()
+    folder = tables(documents=[])
+    assert mixing.op4(spark, folder).collect() == []
+
+
+def vectors(n=3000, d=16, centres=40, seed=2):
+    draw = np.random.default_rng(seed)
+    C = draw.normal(size=(centres, d)) * 3
+    return (C[draw.integers(0, centres, n)] + draw.normal(size=(n, d))).astype(np.float32)
+
+
+def brute(V, ids, queries, k=5):
+    V = V.astype(np.float64)
+    U = V / np.sqrt((V * V).sum(axis=1, keepdims=True))
+    out = {}
+    for q in queries:
+        s = np.round(U @ U[ids.index(q)], 12)
+        best = sorted(((-x, i) for x, i in zip(s, ids) if i != q))[:k]
+        out[q] = [i for _, i in best]
+    return out
+
+
+def test_op5_recall_and_scores(spark, tables):
+    V = vectors()
+    ids = list(range(len(V)))
+    rows = partitions.op5(spark, tables(embeddings=[(i, v.tolist(), 0) for i, v in zip(ids, V)])).collect()
+    true = brute(V, ids, [i for i in ids if i % 50 == 0])
+    found = defaultdict(dict)
+    for r in rows:
+        found[r["query_id"]][r["rank"]] = r["vec_id"]
+        a, b = V[r["query_id"]].astype(float), V[r["vec_id"]].astype(float)
+        assert math.isclose(r["score"], a @ b / math.sqrt((a @ a) * (b @ b)), abs_tol=1e-12)
+    assert set(found) == set(true) and all(sorted(f) == [1, 2, 3, 4, 5] for f in found.values())
+    assert np.mean([len(set(found[q].values()) & set(t)) / 5 for q, t in true.items()]) >= 0.9
+
+
+def test_router_visits_few_partitions_of_clustered_vectors():
+    V = vectors(6000, centres=64).astype(np.float64)
+    router, visited = partitions.fit_index(V, 40_000, 5)
+    assert router.parts == 16 and visited <= 6
+    sizes = np.bincount(partitions.balanced_partitions(partitions.neighbour_graph(partitions.unit(V), 10), 16))
+    assert sizes.max() - sizes.min() <= 4
+
+
+def test_odd_vectors_ties_and_hot_copies(spark, tables):
+    V = vectors(200)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(V)]
+    rows += [(1000 + i, V[50].tolist(), 0) for i in range(6000)]  # exact copies of a query, beyond a block
+    rows += [(9000, None, 0), (9050, [0.0] * 16, 0), (9100, [float("nan")] * 16, 0), (9150, [1.0, None] + [1.0] * 14, 0), (9200, [1.0], 0),
+             (None, V[3].tolist(), 0), (9300, (V[50] * 2).tolist(), 0), (9250, [float("inf")] * 16, 0)]
+    rows += rows[:3]
+    got = defaultdict(list)
+    for r in partitions.op5(spark, tables(embeddings=rows)).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    used = {r[0] for r in rows if r[0] is not None and r[0] % 50 == 0} - {9000, 9050, 9100, 9150, 9200, 9250}
+    assert set(got) == used and all(sorted(x)[0][0] == 1 and len(x) == 5 for x in got.values())
+    assert [v for _, v, _ in sorted(got[50])] == [1000, 1001, 1002, 1003, 1004]
+    assert [v for _, v, _ in sorted(got[1000])] == [50, 1001, 1002, 1003, 1004]
+    assert [v for _, v, _ in sorted(got[9300])] == [50, 1000, 1001, 1002, 1003]
+
+
+@pytest.mark.parametrize("rows", [[], [(0, [1.0, 0.0], 0)], [(0, None, 0)]])
+def test_op5_without_candidates(spark, tables, rows):
+    assert partitions.op5(spark, tables(embeddings=rows)).collect() == []
+
+
+def test_graph_bisection_finds_two_cliques():
+    a = [(i, j) for c in (0, 10) for i in range(c, c + 10) for j in range(c, c + 10) if i < j] + [(0, 10)]
+    side = partitions.bisect(20, *np.array(a).T, seed=1)
+    assert len(set(side[:10].tolist())) == 1 == len(set(side[10:].tolist())) and side[0] != side[10]
