@@ -38,9 +38,9 @@ OPENING, CLOSING = "\"'“„«‘‚‹", "\"'”“»’‘›"
 EDGES = re.compile(r"^[^\w@$]+|[^\w]+$")
 QUOTE_BYTES = re.compile("|".join(sorted(set(OPENING + CLOSING))).encode())
 
-FEATURES = ["any_open", "log_exact", "log_stem", "log_edit1", "log_edit2", "density", "log_runs", "log_quoted"]
+FEATURES = ["any_sure", "log_exact", "log_stem", "log_edit1", "log_edit2", "rate", "log_runs", "log_quoted"]
 # What the fitted weights are drawn towards: an open hit speaks for label 1, one with edits less, a quoted one not.
-PRIOR = np.array([-4.0, 3.0, 1.0, 0.5, 0.5, 0.2, 1.0, 0.5, 0.0])
+PRIOR = np.array([-4.5, 1.5, 1.0, 0.5, 1.0, 0.5, 2.5, 0.5, 0.0])
 
 
 def plain(word: bytes) -> str:
@@ -196,7 +196,8 @@ def hit_counts(raw: bytes, kinds: Kinds, window: int = 10) -> list[float]:
     open_at, kind = at[~inside], found[at[~inside]]
     near = np.diff(open_at) <= window
     n = [int((kind == k).sum()) for k in (EXACT, STEM, EDIT1, EDIT2)]
-    return [float(len(open_at) > 0), *np.log1p(n).tolist(), min(1.0, 10 * len(open_at) / len(words)),
+    sure = n[0] + n[1]
+    return [float(sure > 0), *np.log1p(n).tolist(), min(1.0, 100 * (sure + 0.5 * (n[2] + n[3])) / len(words)),
             float(np.log1p(near.sum())), float(np.log1p(inside.sum()))]
 
 
