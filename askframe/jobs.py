@@ -17,10 +17,10 @@ from askframe import rules
 from askframe.operators import evaluate as EV
 from askframe.operators import kb as K
 from askframe.operators.answer import answer_questions
-from askframe.operators.vectors import (build_vector_index, index_exists, kb_vectors, load_vector_index,
-                                       write_vectors)
+from askframe.operators.vectors import (build_vector_index, index_exists, kb_vectors, load_vector_index, load_vectors,
+                                       stored_index_exists, write_vectors)
 from askframe.sources.faq import flatten_faq, read_faq_json
-from askframe.sources.kb_store import load_knowledge_base, path_exists, write_knowledge_base
+from askframe.sources.kb_store import has_rows, load_knowledge_base, path_exists, write_knowledge_base
 from askframe.sources.sheets import parse_sheets
 
 log = logging.getLogger(__name__)
@@ -35,13 +35,18 @@ def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str
                          embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Sheets first, then the FAQ; redact, drop blank answers, keep first, number, write.
 
-    Without ``rebuild`` an existing, non-empty vector index (or KB when no index
-    path is given) is kept as it is.  A missing source is logged and skipped.
+    Without ``rebuild`` an existing, non-empty KB is kept as it is, uploads
+    included; vectors or a cell index that are missing are built from it.  A
+    missing source is logged and skipped.  Paths may be globs.
     """
-    probe = vectors_path or kb_path
-    if not rebuild and index_exists(spark, probe):
-        log.info("index already exists at %s; pass rebuild=True to rebuild", probe)
-        return load_knowledge_base(spark, kb_path)
+    if not rebuild and has_rows(spark, kb_path):
+        log.info("knowledge base already exists at %s; pass rebuild=True to rebuild", kb_path)
+        kb = load_knowledge_base(spark, kb_path)
+        if vectors_path and not index_exists(spark, vectors_path):
+            write_vectors(kb_vectors(kb, embedder), vectors_path)
+        if vectors_path and index_path and not stored_index_exists(spark, index_path):
+            build_vector_index(load_vectors(spark, vectors_path), index_path)
+        return kb
 
     parts: list[DataFrame] = []
     if sheet_rows_path and path_exists(spark, sheet_rows_path):
@@ -65,24 +70,29 @@ def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str
     write_knowledge_base(kb, kb_path)
     kb = load_knowledge_base(spark, kb_path)
     if vectors_path:
-        write_vectors(kb_vectors(kb, embedder), vectors_path, mode="overwrite")
+        write_vectors(kb_vectors(kb, embedder), vectors_path)
         if index_path:
-            build_vector_index(spark.read.parquet(vectors_path), index_path)
+            build_vector_index(load_vectors(spark, vectors_path), index_path)
     return kb
 
 
 def answer_job(spark: SparkSession, questions: DataFrame, vectors_path: str | None = None,
                out_path: str | None = None, index_path: str | None = None, **kw) -> DataFrame:
     """Answer a table of ``(query_id, query)`` from a vector table or a stored cell index."""
-    vectors = spark.read.parquet(vectors_path) if vectors_path else None
+    vectors = load_vectors(spark, vectors_path) if vectors_path else None
     index = load_vector_index(spark, index_path) if index_path else None
     answered = answer_questions(questions.select("query_id", "query"), vectors, index=index, **kw)
     if out_path:
         answered.withColumn("n_sources", F.size("sources")).write.mode("overwrite").parquet(out_path)
+        return spark.read.parquet(out_path).drop("n_sources")  # a later action doesn't generate again
     return answered
 
 
-def evaluate_job(spark: SparkSession, kb_path: str, vectors_path: str, ks: list[int] | None = None,
-                 limit: int | None = None) -> DataFrame:
+def evaluate_job(spark: SparkSession, kb_path: str, vectors_path: str | None = None, ks: list[int] | None = None,
+                 limit: int | None = None, index_path: str | None = None,
+                 embedder: Callable[[Column], Column] | None = None, **search) -> DataFrame:
+    """Hit rates by k against a vector table or a stored cell index; ``embedder`` is the one that built it."""
     kb = load_knowledge_base(spark, kb_path)
-    return EV.hit_rates_by_k(kb, spark.read.parquet(vectors_path), ks or rules.EVAL_KS, limit=limit)
+    vectors = load_vectors(spark, vectors_path) if vectors_path else None
+    index = load_vector_index(spark, index_path) if index_path else None
+    return EV.hit_rates_by_k(kb, vectors, ks or rules.EVAL_KS, limit=limit, index=index, embedder=embedder, **search)

@@ -2,8 +2,8 @@
 
 Two forms share one output contract (``embedding array<float>``, unit length):
 
-* built-in hashed term counts: tokens are the runs of ``[a-z0-9]`` in the
-  lower-cased text, each token goes to bucket ``int(md5(token)[:8], 16) % dim``;
+* built-in hashed term counts: tokens are the runs of letters and digits of any
+  script (``[\\p{L}\\p{N}]+``) in the lower-cased text, each token goes to bucket ``int(md5(token)[:8], 16) % dim``;
   the integer count vector ``tf`` and its squared norm ``sq`` are kept too, so
   similarities can be computed exactly.  Hashing runs map-side in Arrow
   batches (numpy ``bincount``), so it needs no shuffle however large the text.
@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from askframe import rules
 from askframe.session import ship_package
 
-_TOKEN = re.compile(r"[a-z0-9]+")  # the non-empty pieces of splitting on [^a-z0-9]+
+_TOKEN = re.compile(r"[^\W_]+")  # in Python: letters and digits of every script, [\p{L}\p{N}]+ elsewhere
+_SPLIT = r"[^\p{L}\p{N}]+"
 _CACHE_MAX = 1 << 20
+_SLICE_CHARS = 1 << 22  # texts whose tokens are held at once
 
 
 def token_bucket(token: str, dim: int) -> int:
@@ -37,9 +39,22 @@ def token_bucket(token: str, dim: int) -> int:
 def _counts_for(texts, dim: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts for a batch of texts: ``(n x dim int32 counts, n int64 squared norms)``.
 
-    Tokens of the whole batch are factorised once, so md5 runs once per distinct token
-    (and once per worker for tokens already in ``cache``).
+    Tokens are factorised by slices of about ``_SLICE_CHARS`` characters, so md5 runs once
+    per distinct token of a slice (and once per worker for tokens in ``cache``), and a batch
+    of long texts needs memory for one slice of tokens.
     """
+    n = len(texts)
+    counts = np.zeros((n, dim), dtype=np.int64)
+    start = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t) if t is not None else 0
+        if chars >= _SLICE_CHARS or i == n - 1:
+            counts[start:i + 1] = _slice_counts(texts[start:i + 1], dim, cache)
+            start, chars = i + 1, 0
+    return counts.astype(np.int32), (counts * counts).sum(axis=1)
+
+
+def _slice_counts(texts, dim: int, cache: dict) -> np.ndarray:
     n = len(texts)
     per_doc = [_TOKEN.findall(t.lower()) if t is not None else [] for t in texts]
     lens = np.fromiter((len(t) for t in per_doc), dtype=np.int64, count=n)
@@ -56,13 +71,13 @@ def _counts_for(texts, dim: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
             ub[i] = b
         flat = np.repeat(np.arange(n, dtype=np.int64), lens) * dim + ub[codes]
         counts = np.bincount(flat, minlength=n * dim).reshape(n, dim)
-    sqs = (counts * counts).sum(axis=1)
-    return counts.astype(np.int32), sqs
+    return counts
 
 
 def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
-                   dim: int = rules.VECTOR_SIZE, engine: str = "arrow") -> DataFrame:
-    """``keep_cols + [tf array<int>, sq long, embedding array<float>]``.
+                   dim: int = rules.VECTOR_SIZE, engine: str = "arrow",
+                   outputs: tuple[str, ...] = ("tf", "sq", "embedding")) -> DataFrame:
+    """``keep_cols`` and those of ``tf array<int>, sq long, embedding array<float>`` that ``outputs`` asks for.
 
     ``engine="arrow"`` (default) counts map-side in Arrow batches: no shuffle.
     ``engine="sql"`` uses built-in functions only (explode, then an aggregate per
@@ -71,25 +86,26 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
     the row.  Both give the same vectors.
     """
     if engine == "sql":
-        return _hashed_vectors_sql(df, text_col, keep_cols, dim)
+        return _hashed_vectors_sql(df, text_col, keep_cols, dim).select(*keep_cols, *outputs)
     ship_package(df.sparkSession)
-    schema = T.StructType([df.schema[c] for c in keep_cols] + [
-        T.StructField("tf", T.ArrayType(T.IntegerType(), False)),
-        T.StructField("sq", T.LongType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
-    ])
+    kinds = {"tf": T.ArrayType(T.IntegerType(), False), "sq": T.LongType(),
+             "embedding": T.ArrayType(T.FloatType(), False)}
+    schema = T.StructType([df.schema[c] for c in keep_cols] + [T.StructField(c, kinds[c]) for c in outputs])
 
     def run(batches):
         cache: dict = {}
         for pdf in batches:
             counts, sqs = _counts_for(pdf[text_col].tolist(), dim, cache)
             out = pdf[keep_cols].copy()
-            out["tf"] = list(counts)
-            out["sq"] = sqs
-            norms = np.sqrt(sqs.astype(np.float64))
-            safe = np.where(norms > 0, norms, 1.0)
-            out["embedding"] = list((counts / safe[:, None]).astype(np.float32))
-            yield out
+            if "tf" in outputs:
+                out["tf"] = list(counts)
+            if "sq" in outputs:
+                out["sq"] = sqs
+            if "embedding" in outputs:
+                norms = np.sqrt(sqs.astype(np.float64))
+                safe = np.where(norms > 0, norms, 1.0)
+                out["embedding"] = list((counts / safe[:, None]).astype(np.float32))
+            yield out[list(keep_cols) + list(outputs)]
 
     cols = list(keep_cols) + ([text_col] if text_col not in keep_cols else [])
     return df.select(*cols).mapInPandas(run, schema)
@@ -101,7 +117,7 @@ def _hashed_vectors_sql(df: DataFrame, text_col: str, keep_cols: list[str], dim:
     rid = keep_cols[0]
     cols = list(keep_cols) + ([text_col] if text_col not in keep_cols else [])
     base = df.select(*cols)
-    toks = base.select(rid, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"))
+    toks = base.select(rid, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _SPLIT))
                        .alias("tok")).filter(F.col("tok") != "")
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("tok")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     counts = toks.groupBy(rid, bucket.alias("b")).agg(F.count(F.lit(1)).cast("int").alias("c"))

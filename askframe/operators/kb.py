@@ -7,14 +7,13 @@ struct ``(src_no, sheet_no, pos)`` and every operator here orders by it.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe import rules
 from askframe.functions.pii import redact_ingest
 from askframe.functions.text import dedup_question_key, doc_id, doc_text, py_strip
-from askframe.session import checkpoint_dir
+from askframe.operators.util import materialize
 
 KB_COLUMNS = ["id", "category", "source", "source_sheet", "question", "answer", "text", "ord"]
 RAW_COLUMNS = ["category", "source", "source_sheet", "question", "answer", "seq"]
@@ -45,16 +44,9 @@ def assign_dense_ids(df: DataFrame, order_cols: list[str], out: str = "ord",
     partition's offset to the row's index inside its partition.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The range sampler and the shuffle would each evaluate ``df``; keep it for the
-    # duration of the checkpoint (a lost block is recomputed from lineage, deterministically).
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ordered = (src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                      .checkpoint(eager=True))
-    finally:
-        src.unpersist()
+    # The range sampler and the shuffle would each evaluate ``df``: both read a checkpoint in the shared folder.
+    ordered = materialize(materialize(df).repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     tagged = ordered.withColumn("_pid", F.spark_partition_id())
     counts = dict(tagged.groupBy("_pid").count().collect())
     nparts = ordered.rdd.getNumPartitions()

@@ -50,11 +50,13 @@ def pair_questions(lines: DataFrame, sheet_cols: list[str], order_col: str = "ro
     grouped = (rows.join(block_stats, on=sheet_cols + ["_block"], how="inner")
                    .withColumn("_g", F.col("_off") + F.col("_run")))
 
+    # lines before the first question of a sheet without questions are dropped before anything is gathered
+    grouped = grouped.filter((F.col("_g") > 0) | (F.col("_sheet_q") >= 1))
+
     # level 1: inside one block
     lvl1 = (grouped.groupBy(*sheet_cols, "_g", "_block")
             .agg(F.max(F.when(F.col("_q") == 1, F.col("_text"))).alias("_question"),
                  F.first("_product").alias("_product"),
-                 F.max("_sheet_q").alias("_sheet_q"),
                  F.sort_array(F.collect_list(F.when(F.col("_q") == 0,
                                                     F.struct(F.col("_row"), F.col("_text"))))).alias("_parts")))
     lvl1 = (lvl1.withColumn("_n", F.size("_parts"))
@@ -62,13 +64,11 @@ def pair_questions(lines: DataFrame, sheet_cols: list[str], order_col: str = "ro
     # level 2: across the blocks of one group
     lvl2 = (lvl1.groupBy(*sheet_cols, "_g")
             .agg(F.max("_question").alias("_question"), F.first("_product").alias("_product"),
-                 F.max("_sheet_q").alias("_sheet_q"),
                  F.sort_array(F.collect_list(F.when(F.col("_n") > 0,
                                                     F.struct(F.col("_block"), F.col("_chunk"))))).alias("_chunks")))
     answer = py_strip(F.array_join(F.transform("_chunks", lambda c: c["_chunk"]), "\n"))
     question = F.when(F.col("_g") == 0, F.concat(F.lit("What is "), F.col("_product"), F.lit("?"))) \
                 .otherwise(F.col("_question"))
     out = lvl2.select(*keys, F.col("_g").alias("pos"), F.col("_product").alias("product"),
-                      question.alias("question"), answer.alias("answer"), F.col("_sheet_q"))
-    return (out.filter((F.col("answer") != "") & ((F.col("pos") > 0) | (F.col("_sheet_q") >= 1)))
-               .drop("_sheet_q"))
+                      question.alias("question"), answer.alias("answer"))
+    return out.filter(F.col("answer") != "")

@@ -2,22 +2,24 @@
 
 Plan
 ----
-1. Coarse cells: ``n_cells`` unit centroids trained by a few Lloyd steps on a
-   bounded sample of the documents (first rows in hash order).
-2. Every document goes to its nearest cell; per cell Spark computes the size
-   and the radius ``max |x̂ - c|`` (one row per cell reaches the driver).
-3. Every question lists the cells it must visit.  Exact mode: every cell whose
-   upper bound ``cos(max(0, angle(q, c) - alpha_c))`` reaches the threshold,
-   ``alpha_c`` being the largest angle between the centroid and a member
-   (triangle inequality for angles on the sphere), so no qualifying document
-   is skipped.  Approximate mode: the ``nprobe`` nearest cells.
+1. Coarse cells: ``n_cells`` centroids are documents picked in hash order (or
+   the first by id), optionally moved by Spark ML's k-means over cosine.
+2. Every document goes to its nearest cell, once (the assignment is written to
+   the shared folder); per cell Spark computes the size and the radius
+   ``max |x̂ - c|`` (one row per cell reaches the driver).
+3. Exact search has two phases.  First each question searches its nearest cell,
+   which gives it a k-th best score.  Then it visits every other cell whose
+   upper bound ``cos(max(0, angle(q, c) - alpha_c))`` reaches both the threshold
+   and that score, ``alpha_c`` being the largest angle between the centroid and
+   a member (triangle inequality for angles on the sphere), so no document of
+   the answer is skipped.  Approximate search visits the ``nprobe`` nearest cells.
 4. Hot cells are split: documents of cell ``c`` get ``S_c = ceil(size/B)``
    blocks, the questions visiting it ``Q_c = ceil(visits/B)`` blocks, and the
-   two sides meet by an equi-join (cogroup) on ``(cell, doc_block, q_block)``
-   so every group holds at most ``B`` rows per side however skewed the data.
-5. Inside a group numpy scores the ``B x B`` block and keeps the best ``k`` per
-   question; a ranking window (planned as a partial + final window group
-   limit) picks the global best ``k`` per question.
+   two sides meet by an equi-join (cogroup) on ``(cell, doc_block, q_block)``,
+   so a group holds about ``B`` rows per side however skewed the data.
+5. Inside a group numpy scores the block and keeps the best ``k`` per question;
+   a ranking window (planned as a partial + final window group limit) picks the
+   global best ``k`` per question.
 
 Scores are ``dot(q, d) / sqrt(|q|² · |d|²)`` with the dot product summed in
 dimension order in float64 (integer count vectors: exact), so they are the
@@ -36,12 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe import rules
-from askframe.operators.util import materialize_if_computed
+from askframe.operators.util import materialize
 from askframe.session import ship_package
 
-MAX_CELLS = 4096
-
-
 def _collect_vectors(df: DataFrame, col: str) -> np.ndarray:
     """A bounded vector column to an ``n x dim`` float64 matrix through Arrow (no per-float Python objects)."""
     table = df.select(col).toArrow()
@@ -82,34 +81,26 @@ def _block_scores(q: np.ndarray, d: np.ndarray, integer: bool) -> np.ndarray:
     return s
 
 
-SAMPLE_PER_CELL = 16
-SAMPLE_MAX = 32768
-# byte caps (float64 on the driver / in the broadcast), whatever the vector dimension
-CENTROID_MAX_BYTES = 64 << 20
-SAMPLE_MAX_BYTES = 256 << 20
-
-
-def _centroids(docs: DataFrame, n_cells: int, seed: int, refine_steps: int, dim: int) -> np.ndarray:
-    """Unit centroids trained on a bounded sample (first rows in hash order).
+def _centroids(docs: DataFrame, n_cells: int, seeds: str, refine_steps: int, sample_rows: int, dim: int) -> np.ndarray:
+    """At most ``n_cells`` unit centroids: documents in hash order (``seeds="hash"``) or by id (``"first"``).
 
-    At most ``min(16 * n_cells, 32768)`` vectors reach the driver; the first
-    ``n_cells`` of them seed the cells and ``refine_steps`` Lloyd iterations
-    (spherical k-means) run on the sample in numpy.
+    ``refine_steps`` rounds of Spark ML's k-means (cosine) over about
+    ``sample_rows`` documents in hash order may replace them.
     """
-    n_sample = max(n_cells, min(SAMPLE_PER_CELL * n_cells, SAMPLE_MAX, SAMPLE_MAX_BYTES // (8 * dim)))
-    picked = docs.select("_v").orderBy(F.xxhash64(F.col("_did"), F.lit(seed))).limit(n_sample)
-    x = _unit(_collect_vectors(picked, "_v"))
-    x = x[np.abs(x).sum(axis=1) > 0]
-    if len(x) == 0:
-        return np.zeros((1, dim))
-    cents = x[:n_cells].copy()
-    for _ in range(refine_steps if len(cents) > 1 else 0):
-        cell = (x @ cents.T).argmax(axis=1)
-        sums = np.zeros_like(cents)
-        np.add.at(sums, cell, x)
-        filled = np.abs(sums).sum(axis=1) > 0
-        cents[filled] = _unit(sums[filled])
-    return cents
+    nonzero = docs.filter(F.exists("_v", lambda x: x != 0))
+    order = F.xxhash64(F.col("_did")) if seeds == "hash" else F.col("_did")
+    if refine_steps > 0 and n_cells > 1:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+        part = min(1.0, sample_rows / max(1, docs.count()))
+        sample = (nonzero.filter(F.pmod(F.xxhash64("_did"), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
+                  .select(array_to_vector(F.col("_v").cast("array<double>")).alias("features")))
+        if not sample.isEmpty():
+            model = KMeans(k=n_cells, distanceMeasure="cosine", maxIter=refine_steps, seed=7, initMode="random").fit(sample)
+            x = _unit(np.asarray(model.clusterCenters()))
+            return x[np.abs(x).sum(axis=1) > 0]
+    x = _unit(_collect_vectors(nonzero.select("_v", order.alias("_o"), "_did").orderBy("_o", "_did").limit(n_cells), "_v"))
+    return x if len(x) else np.zeros((1, dim))
 
 
 def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
@@ -142,7 +133,7 @@ class CellIndex:
     """Documents assigned to coarse cells, plus the bounded per-cell arrays a search needs.
 
     ``assigned`` has ``_did, _v, _n, _cell, _dist`` (and any payload columns);
-    ``centroids``/``radius``/``counts`` have one entry per cell (at most ``MAX_CELLS``).
+    ``centroids``/``radius``/``counts`` have one entry per cell (at most ``max_cells``).
     """
 
     assigned: DataFrame
@@ -155,51 +146,118 @@ class CellIndex:
 
 
 def build_cells(docs: DataFrame, *, did: str = "doc_id", vec: str = "embedding", integer: bool = False,
-                cell_rows: int = 1024, refine_steps: int = 1, seed: int = 7,
-                payload: list[str] | None = None) -> CellIndex | None:
-    """Cluster documents into ``ceil(n / cell_rows)`` cells (capped); ``None`` when there are no documents."""
+                cell_rows: int = 1024, refine_steps: int = 0, seeds: str = "hash", max_cells: int = 4096,
+                sample_rows: int = 32768, payload: list[str] | None = None) -> CellIndex | None:
+    """Cluster documents into ``ceil(n / cell_rows)`` cells; ``None`` when there are no documents.
+
+    ``max_cells`` bounds what is broadcast (``max_cells x dim`` numbers); above
+    ``max_cells * cell_rows`` documents the cells grow, and are searched in
+    blocks.  ``sample_rows`` bounds the k-means sample (``refine_steps`` > 0).
+    """
     ship_package(docs.sparkSession)
     cols = [F.col(did).alias("_did"), F.col(vec).alias("_v")] + [F.col(c) for c in (payload or [])]
-    # a document without a vector can never match
-    d = materialize_if_computed(docs.select(*cols).filter(F.col("_v").isNotNull()))
+    # a document without a vector can never match; ``docs`` is read a few times, so pass a stored or materialised frame
+    d = docs.select(*cols).filter(F.col("_v").isNotNull())
     n_docs = d.count()
     if n_docs == 0:
         return None
     dim = max(1, d.select(F.size("_v")).first()[0] or 1)
-    n_cells = max(1, min(MAX_CELLS, CENTROID_MAX_BYTES // (8 * dim), math.ceil(n_docs / cell_rows)))
-    sc = docs.sparkSession.sparkContext
-    cents = _centroids(d, n_cells, seed, refine_steps, dim)
-    # at most MAX_CELLS x dim doubles: a bounded broadcast, shipped once per executor
-    cents_bc = sc.broadcast(cents)
-    assigned = _assign(d, cents_bc, integer)
-    stats = assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("r")).collect()
-    radius = np.zeros(len(cents))
-    counts = np.zeros(len(cents), dtype=np.int64)
-    for c, n, r in stats:
-        radius[c] = r or 0.0
-        counts[c] = n
+    n_cells = max(1, min(max_cells, math.ceil(n_docs / cell_rows)))
+    cents = _centroids(d, n_cells, seeds, refine_steps, sample_rows, dim)
+    # at most max_cells x dim doubles: a bounded broadcast, shipped once per executor
+    cents_bc = docs.sparkSession.sparkContext.broadcast(cents)
+    assigned = materialize(_assign(d, cents_bc, integer))
+    radius, counts = _cell_bounds(assigned, len(cents))
     return CellIndex(assigned, cents, radius, counts, integer, did, vec)
 
 
+def _cell_bounds(assigned: DataFrame, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    radius, counts = np.zeros(n_cells), np.zeros(n_cells, dtype=np.int64)
+    for c, n, r in assigned.groupBy("_cell").agg(F.count(F.lit(1)), F.max("_dist")).collect():
+        radius[c], counts[c] = r or 0.0, n
+    return radius, counts
+
+
 def write_index(index: CellIndex, path: str) -> None:
-    """Persist an index: documents partitioned by cell (searches read only probed cells) + a cells table."""
-    spark = index.assigned.sparkSession
-    index.assigned.write.mode("overwrite").partitionBy("_cell").parquet(f"{path}/data")
-    cells = [(int(c), index.centroids[c].tolist(), float(index.radius[c]), int(index.counts[c]))
-             for c in range(len(index.centroids))]
-    meta = f"{int(index.integer)}|{index.did}|{index.vec}"
-    (spark.createDataFrame(cells, "cell int, centroid array<double>, radius double, n long")
-          .withColumn("meta", F.lit(meta)).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells"))
+    """Persist an index: documents partitioned by batch and cell (searches read only probed cells) + a cells table."""
+    for folder, df in (("data", index.assigned.withColumn("batch", F.lit("build"))),
+                       ("cells", _cells_frame(index, range(len(index.centroids))).withColumn("batch", F.lit("build")))):
+        parts = ["batch", "_cell"] if folder == "data" else ["batch"]
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts)
+           .parquet(f"{path}/{folder}"))
+
+
+def _cells_frame(index: CellIndex, cells) -> DataFrame:
+    rows = [(int(c), index.centroids[c].tolist(), float(index.radius[c]), int(index.counts[c]),
+             f"{int(index.integer)}|{index.did}|{index.vec}") for c in cells]
+    return index.assigned.sparkSession.createDataFrame(
+        rows, "cell int, centroid array<double>, radius double, n long, meta string").coalesce(1)
+
+
+def add_to_index(spark, path: str, docs: DataFrame, key: str) -> None:
+    """Add documents to a stored index under a batch ``key``; the same key again replaces that batch.
+
+    Each document goes to the nearest stored centroid.  The batch's own cell
+    sizes and radii are stored beside those of the build; readers add up the
+    sizes and take the largest radius, so exact search stays exact.
+    """
+    ship_package(spark)
+    index = read_index(spark, path)
+    payload = [c for c in index.assigned.columns if not c.startswith("_")]
+    missing = [c for c in [index.did, index.vec, *payload] if c not in docs.columns]
+    if missing:
+        raise ValueError(f"the index at {path} needs columns {missing}")
+    d = docs.select(F.col(index.did).alias("_did"), F.col(index.vec).alias("_v"), *payload).filter(F.col("_v").isNotNull())
+    assigned = materialize(_assign(d, spark.sparkContext.broadcast(index.centroids), index.integer))
+    radius, counts = _cell_bounds(assigned, len(index.centroids))
+    added = CellIndex(assigned, index.centroids, radius, counts, index.integer, index.did, index.vec)
+    assigned.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_cell") \
+        .parquet(f"{path}/data/batch={key}")
+    _cells_frame(added, np.flatnonzero(counts)).write.mode("overwrite").parquet(f"{path}/cells/batch={key}")
 
 
 def read_index(spark, path: str) -> CellIndex:
-    cells = spark.read.parquet(f"{path}/cells").orderBy("cell")     # one row per cell, bounded
-    small = cells.select("cell", "radius", "n", "meta").toArrow().to_pandas()
+    # one row per cell and batch, joined here to one per cell: bounded by max_cells
+    cells = (spark.read.parquet(f"{path}/cells").groupBy("cell", "meta")
+             .agg(F.max("centroid").alias("centroid"), F.max("radius").alias("radius"), F.sum("n").alias("n"))
+             .orderBy("cell"))
+    cells = materialize(cells)
+    small = cells.orderBy("cell").select("cell", "radius", "n", "meta").toArrow().to_pandas()
     integer, did, vec = small["meta"].iloc[0].split("|")
-    cents = _collect_vectors(cells, "centroid")
+    cents = _collect_vectors(cells.orderBy("cell"), "centroid")
     radius = small["radius"].to_numpy(dtype=np.float64)
     counts = small["n"].to_numpy(dtype=np.int64)
-    return CellIndex(spark.read.parquet(f"{path}/data"), cents, radius, counts, bool(int(integer)), did, vec)
+    return CellIndex(spark.read.parquet(f"{path}/data").drop("batch"), cents, radius, counts, bool(int(integer)), did, vec)
+
+
+def nprobe_for_recall(queries: DataFrame, index: CellIndex, *, recall: float = 0.9, qid: str = "query_id",
+                      vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD) -> int:
+    """The fewest nearest cells that hold ``recall`` of the exact answers to ``queries`` (a sample or all)."""
+    exact = search_cells(queries, index, qid=qid, vec=vec, k=k, threshold=threshold)
+    at = index.assigned.select(F.col("_did").alias(index.did), "_cell")
+    cents, nonempty = index.centroids, index.counts > 0
+    schema = T.StructType([queries.schema[qid], T.StructField("_cell", T.IntegerType()), T.StructField("_depth", T.IntegerType())])
+
+    def depths(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sims = np.where(nonempty[None, :], _unit(_matrix(pdf[vec])) @ cents.T, -np.inf)
+            for at_ in range(0, len(pdf), 256):
+                order = np.argsort(-sims[at_:at_ + 256], axis=1, kind="stable")
+                yield pd.DataFrame({qid: np.repeat(pdf[qid].to_numpy()[at_:at_ + 256], order.shape[1]),
+                                    "_cell": order.ravel().astype(np.int32),
+                                    "_depth": np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(order))})
+
+    place = queries.select(qid, vec).filter(F.col(vec).isNotNull()).mapInPandas(depths, schema)
+    hits = exact.join(at, index.did).join(place, [qid, "_cell"]).groupBy("_depth").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r["_depth"], r["n"]) for r in hits.collect())
+    total, got = sum(n for _, n in found), 0
+    for depth, n in found:
+        got += n
+        if got >= recall * total:
+            return depth
+    return 1
 
 
 def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "query_id",
@@ -217,72 +275,120 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     qtype = queries.schema[qid].dataType
     if index is None:
         return _empty(queries, qid, "doc_id", qtype, did_type or T.StringType())
-    did = index.did
+    did, dtype_ = index.did, index.assigned.schema["_did"].dataType
+    q = materialize(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v")).filter(F.col("_v").isNotNull()))
+    if stats is not None:
+        stats.update(pairs_scored=0, cells_probed=0, cells=int(len(index.centroids)),
+                     pairs_total=int(q.count()) * int(index.counts.sum()))
+    find = dict(k=k, threshold=float(threshold), block_rows=block_rows, stats=stats)
+    if mode != "exact":
+        cands = _search(q, index, nearest=max(1, nprobe), **find)
+    elif int((index.counts > 0).sum()) <= 1:
+        cands = _search(q, index, nearest=None, **find)
+    else:
+        cands = _search(q, index, nearest=1, **find)
+        if cands is not None:
+            # the k-th best score so far: other cells matter only if they can reach it
+            cands = materialize(cands)
+            w = Window.partitionBy("_qid").orderBy(F.desc("raw_score"))
+            kth = (cands.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k)
+                   .select("_qid", F.col("raw_score").alias("_floor")))
+            rest = _search(q.join(kth, "_qid", "left"), index, nearest=None, **find)
+            cands = cands if rest is None else cands.unionByName(rest)
+    if cands is None:
+        return _empty(queries, qid, did, qtype, dtype_)
+    w = Window.partitionBy("_qid").orderBy(F.desc("raw_score"), F.asc("_did"))
+    ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("_qid").alias(qid), F.col("_did").alias(did), F.col("rank"),
+                         F.round("raw_score", 4).alias("score"), F.col("raw_score"))
+
+
+PROBE_ROWS = 8192  # rows of one pandas frame of (question, cell) visits
+
+
+def _search(q: DataFrame, index: CellIndex, *, nearest: int | None, k: int, threshold: float, block_rows: int,
+            stats: dict | None) -> DataFrame | None:
+    """Candidates (_qid, _did, raw_score) of the cells that each question visits; None if none is visited.
+
+    ``nearest``: the number of nearest cells; None: every cell whose bound
+    reaches the threshold, or, where ``q`` has a column ``_floor`` (null: no
+    k-th score yet), every one but the nearest whose bound reaches both.
+    """
+    spark, integer = q.sparkSession, index.integer
+    qtype, vtype = q.schema["_qid"].dataType, q.schema["_v"].dataType
     dtype_ = index.assigned.schema["_did"].dataType
-    integer = index.integer
-    sc = queries.sparkSession.sparkContext
-    cents_bc = sc.broadcast(index.centroids)
-    radius = index.radius
+    cents_bc = spark.sparkContext.broadcast(index.centroids)
     # largest angle between a cell's centroid and its members (|u - c| = 2 sin(angle / 2))
-    alpha = 2.0 * np.arcsin(np.clip(radius / 2.0, 0.0, 1.0))
+    alpha = 2.0 * np.arcsin(np.clip(index.radius / 2.0, 0.0, 1.0))
     nonempty = index.counts > 0
-    dblocks = np.maximum(1, -(-index.counts // block_rows)).astype(np.int64)
-    q = materialize_if_computed(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
-                                .filter(F.col("_v").isNotNull()))
+    second = "_floor" in q.columns
+
+    def visited(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell) pairs and the vectors of a slice of questions."""
+        m = _matrix(pdf["_v"])
+        sims = np.where(nonempty[None, :], _unit(m) @ cents_bc.value.T, -np.inf)
+        if nearest is not None:
+            hit = np.zeros_like(sims, dtype=bool)
+            np.put_along_axis(hit, np.argsort(-sims, axis=1, kind="stable")[:, :nearest], True, axis=1)
+        else:
+            floor = np.full(len(m), threshold)
+            if second:
+                floor = np.maximum(floor, pdf["_floor"].astype(float).fillna(-np.inf).to_numpy() - 1e-9)
+            # angle(q, x) >= angle(q, c) - alpha_c on the sphere, so cos(q, x) <= cos(max(0, that))
+            phi = np.arccos(np.clip(sims, -1.0, 1.0))
+            hit = np.cos(np.maximum(0.0, phi - alpha[None, :])) + 1e-6 >= floor[:, None]
+            if threshold <= 0 and not second:
+                hit[:] = True
+            hit |= (floor <= 0)[:, None]  # a zero vector has score 0 wherever it lies
+            if second:
+                hit[np.arange(len(m)), np.argsort(-sims, axis=1, kind="stable")[:, 0]] = False
+        rows, cells = np.nonzero(hit & nonempty[None, :])
+        return rows, cells, m
+
+    def slices(batches):
+        step = max(1, PROBE_ROWS // max(1, len(nonempty)))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                yield pdf.iloc[at:at + step]
 
-    probe_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_v", queries.schema[vec].dataType),
-                                 T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
-    exact = mode == "exact"
+    def count(batches):
+        n = np.zeros(len(nonempty), dtype=np.int64)
+        for pdf in slices(batches):
+            n += np.bincount(visited(pdf)[1], minlength=len(n))
+        cells = np.flatnonzero(n)
+        yield pd.DataFrame({"_cell": cells.astype(np.int32), "n": n[cells]})
 
     def probes(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = _matrix(pdf["_v"])
+        for pdf in slices(batches):
+            rows, cells, m = visited(pdf)
             sq = (m * m).sum(axis=1) if integer else _seq_sq(m)
-            sims = _unit(m) @ cents_bc.value.T
-            if exact and threshold <= 0:
-                hit = np.ones_like(sims, dtype=bool)
-            elif exact:
-                # angle(q, x) >= angle(q, c) - alpha_c on the sphere, so cos(q, x) <= cos(max(0, that))
-                phi = np.arccos(np.clip(sims, -1.0, 1.0))
-                hit = np.cos(np.maximum(0.0, phi - alpha[None, :])) + 1e-6 >= threshold
-            else:
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :max(1, nprobe)]
-                hit = np.zeros_like(sims, dtype=bool)
-                np.put_along_axis(hit, top, True, axis=1)
-            hit &= nonempty[None, :]
-            rows, cells = np.nonzero(hit)
             yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy()[rows], "_v": pdf["_v"].to_numpy()[rows],
                                 "_n": sq[rows], "_cell": cells.astype(np.int32)})
 
-    visits = q.mapInPandas(probes, probe_schema)   # cheap to recompute from the materialized questions
-    visit_counts = dict(visits.groupBy("_cell").count().collect())
-    if not visit_counts:
-        return _empty(queries, qid, did, qtype, dtype_)
+    per_task = q.mapInPandas(count, "_cell int, n long")   # one row per cell and task
+    visits = dict(per_task.groupBy("_cell").agg(F.sum("n")).collect())
+    if not visits:
+        return None
+    dblocks = np.maximum(1, -(-index.counts // block_rows)).astype(np.int64)
     qblocks = np.ones(len(index.centroids), dtype=np.int64)
-    for c, n in visit_counts.items():
+    for c, n in visits.items():
         qblocks[c] = max(1, math.ceil(n / block_rows))
-
+    if stats is not None:
+        stats["pairs_scored"] += int(sum(n * int(index.counts[c]) for c, n in visits.items()))
+        stats["cells_probed"] += len(visits)
     dblk = F.element_at(F.array(*[F.lit(int(x)) for x in dblocks]), F.col("_cell") + 1)
     qblk = F.element_at(F.array(*[F.lit(int(x)) for x in qblocks]), F.col("_cell") + 1)
-    probed = sorted(int(c) for c in visit_counts)
-    if stats is not None:
-        stats["pairs_scored"] = int(sum(n * int(index.counts[c]) for c, n in visit_counts.items()))
-        stats["pairs_total"] = int(q.count()) * int(index.counts.sum())
-        stats["cells_probed"] = len(probed)
-        stats["cells"] = int(len(index.centroids))
-    doc_side = (index.assigned.filter(F.col("_cell").isin(probed))
+    doc_side = (index.assigned.filter(F.col("_cell").isin(sorted(int(c) for c in visits)))
                 .withColumn("_ds", F.pmod(F.xxhash64("_did"), dblk).cast("int"))
                 .withColumn("_qs", F.explode(F.sequence(F.lit(0), qblk - 1)))
                 .select("_cell", "_ds", "_qs", "_did", "_v", "_n"))
-    q_side = (visits.withColumn("_qs", F.pmod(F.xxhash64("_qid"), qblk).cast("int"))
+    probe_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_v", vtype),
+                                 T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
+    q_side = (q.mapInPandas(probes, probe_schema).withColumn("_qs", F.pmod(F.xxhash64("_qid"), qblk).cast("int"))
               .withColumn("_ds", F.explode(F.sequence(F.lit(0), dblk - 1)))
               .select("_cell", "_ds", "_qs", "_qid", "_v", "_n"))
-
     out_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_did", dtype_),
                                T.StructField("raw_score", T.DoubleType())])
-    t = float(threshold)
 
     def score(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(dpdf) == 0:
@@ -291,36 +397,33 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
         dpdf = dpdf.sort_values("_did", kind="stable")
         qm, dm = _matrix(qpdf["_v"]), _matrix(dpdf["_v"])
         s = _block_scores(qm, dm, integer)
-        if integer:
-            denom = np.sqrt((qpdf["_n"].to_numpy().astype(np.int64)[:, None]
-                             * dpdf["_n"].to_numpy().astype(np.int64)[None, :]).astype(np.float64))
-        else:
-            denom = np.sqrt(qpdf["_n"].to_numpy()[:, None] * dpdf["_n"].to_numpy()[None, :])
+        # float64 on both sides: the product of two integer norms may not fit 64 bits
+        denom = np.sqrt(qpdf["_n"].to_numpy(dtype=np.float64)[:, None] * dpdf["_n"].to_numpy(dtype=np.float64)[None, :])
         with np.errstate(divide="ignore", invalid="ignore"):
             sc_ = np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
-        masked = np.where(sc_ >= t, sc_, -np.inf)
+        masked = np.where(sc_ >= threshold, sc_, -np.inf)
         kk = min(k, masked.shape[1])
-        order = np.argsort(-masked, axis=1, kind="stable")[:, :kk]
-        best = np.take_along_axis(masked, order, axis=1)
-        rows, cols = np.nonzero(np.isfinite(best))
-        return pd.DataFrame({"_qid": qpdf["_qid"].to_numpy()[rows],
-                             "_did": dpdf["_did"].to_numpy()[order[rows, cols]],
-                             "raw_score": best[rows, cols]})
-
-    cands = (q_side.groupBy("_cell", "_ds", "_qs")
-             .cogroup(doc_side.groupBy("_cell", "_ds", "_qs"))
-             .applyInPandas(score, out_schema))
-    w = Window.partitionBy("_qid").orderBy(F.desc("raw_score"), F.asc("_did"))
-    ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("_qid").alias(qid), F.col("_did").alias(did), F.col("rank"),
-                         F.round("raw_score", 4).alias("score"), F.col("raw_score"))
+        if masked.shape[1] > 4 * kk:  # all at or above the k-th best, then those in order
+            floor = -np.partition(-masked, kk - 1, axis=1)[:, kk - 1]
+            masked = np.where(masked >= floor[:, None], masked, -np.inf)
+        rows, cols = np.nonzero(np.isfinite(masked))
+        order = np.lexsort((cols, -masked[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        first = np.searchsorted(rows, rows)
+        kept = np.arange(len(rows)) - first < kk
+        rows, cols = rows[kept], cols[kept]
+        return pd.DataFrame({"_qid": qpdf["_qid"].to_numpy()[rows], "_did": dpdf["_did"].to_numpy()[cols],
+                             "raw_score": masked[rows, cols]})
+
+    return (q_side.groupBy("_cell", "_ds", "_qs").cogroup(doc_side.groupBy("_cell", "_ds", "_qs"))
+            .applyInPandas(score, out_schema))
 
 
 def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id", did: str = "doc_id",
                     vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD,
                     integer: bool = False, mode: str = "exact", nprobe: int = 4,
-                    cell_rows: int = 1024, block_rows: int = 2048, refine_steps: int = 1,
-                    seed: int = 7) -> DataFrame:
+                    cell_rows: int = 1024, block_rows: int = 2048, refine_steps: int = 0,
+                    seeds: str = "hash") -> DataFrame:
     """``(qid, did, rank, score, raw_score)``: up to ``k`` documents per question with score ≥ threshold.
 
     ``integer=True`` takes integer count vectors (``array<int>``) and scores
@@ -329,7 +432,7 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, *, qid: str = "query_id
     fly; ``build_cells`` + ``write_index`` / ``read_index`` keep them for reuse.
     """
     index = build_cells(docs, did=did, vec=vec, integer=integer, cell_rows=cell_rows,
-                        refine_steps=refine_steps, seed=seed)
+                        refine_steps=refine_steps, seeds=seeds)
     if index is None:
         return _empty(queries, qid, did, queries.schema[qid].dataType, docs.schema[did].dataType)
     return search_cells(queries, index, qid=qid, vec=vec, k=k, threshold=threshold, mode=mode,

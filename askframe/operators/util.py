@@ -3,54 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint (to the shared checkpoint folder) a frame that several passes read.
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only after counting it; otherwise a normal shuffle join."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
-
-_PYTHON_NODES = ("MapInPandas", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
-                 "FlatMapCoGroupsInPandas", "MapInArrow")
-
-
-def has_python_stage(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return any(n in plan for n in _PYTHON_NODES)
-
-
-def materialize_if_computed(df: DataFrame) -> DataFrame:
-    """Checkpoint (to the shared checkpoint folder) a frame that runs Python code, so
-    several passes over it do not re-run that code; a plain table scan is returned as is."""
-    if not has_python_stage(df):
-        return df
+    The caller decides: a frame that runs Python code or a search would
+    otherwise be computed again by every pass.
+    """
     from askframe.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Round-robin a small input over the cluster's cores.
-
-    A parquet file with one row group is read by one task however many cores
-    there are, which serialises the map-side work (regex chains, hashing) that
-    follows.  Below ``max_bytes`` (the optimizer's size estimate) the frame is
-    repartitioned to twice the default parallelism; larger inputs already come
-    in many splits and are returned unchanged, so no extra shuffle happens at scale.
-    """
-    sc = df.sparkSession.sparkContext
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) <= max_bytes:
-        return df.repartition(2 * sc.defaultParallelism)
-    return df

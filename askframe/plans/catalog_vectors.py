@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from askframe.operators.embed import hashed_long_form, hashed_vectors
 from askframe.operators.similarity import similarity_topk
+from askframe.operators.util import materialize
 from askframe.operators.vectors import index_stats as stats_of
 from askframe.plans import inputs as I
 from askframe.plans import sqltext as Q
@@ -23,7 +24,7 @@ _DOC_COUNTS = Q.hashed_counts("documents", "doc_id", "text")
     "FROM b JOIN n USING (id)")))
 def embed_hash(spark, d):
     docs = table(spark, d, "documents")
-    vecs = hashed_vectors(docs, "text", ["doc_id"])
+    vecs = hashed_vectors(docs, "text", ["doc_id"], outputs=("tf", "sq"))
     return hashed_long_form(vecs, "doc_id")
 
 
@@ -73,10 +74,10 @@ _DOC_DENSE = Q.dense_counts(_DOC_COUNTS)
 @register("vec_topk_sparse", f"SELECT query_id, rank, doc_id, round(raw, 4) AS score FROM "
                              f"({Q.topk(_BENCH_DENSE, _DOC_DENSE)})")
 def vec_topk_sparse(spark, d):
-    bench = hashed_vectors(table(spark, d, "benchmark"), "text", ["item_id"])
-    docs = hashed_vectors(table(spark, d, "documents"), "text", ["doc_id"])
+    bench = hashed_vectors(table(spark, d, "benchmark"), "text", ["item_id"], outputs=("tf",))
+    docs = hashed_vectors(table(spark, d, "documents"), "text", ["doc_id"], outputs=("tf",))
     hits = similarity_topk(bench.select(F.col("item_id").alias("query_id"), "tf"),
-                           docs.select("doc_id", "tf"), vec="tf", integer=True)
+                           materialize(docs.select("doc_id", "tf")), vec="tf", integer=True)
     return hits.select("query_id", "rank", "doc_id", "score")
 
 

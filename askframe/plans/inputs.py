@@ -153,21 +153,25 @@ CONV_QA_SQL = (
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     conv = table(spark, d, "conversations").filter(F.col("role") == "user")
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-                       spark_seed(QUESTION_SEED).alias("query"))
+    return conv.select(turn_id(), spark_seed(QUESTION_SEED).alias("query"))
 
 
-QUESTIONS_SQL = (f"SELECT conv_id * 1000 + turn AS query_id, {sql_seed(QUESTION_SEED)} AS query "
+def turn_id():
+    """A text key of a turn that no other conversation's turn can have, however many turns there are."""
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("query_id")
+
+
+TURN_ID_SQL = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id"
+QUESTIONS_SQL = (f"SELECT {TURN_ID_SQL}, {sql_seed(QUESTION_SEED)} AS query "
                  f"FROM conversations WHERE role = 'user'")
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     conv = table(spark, d, "conversations").filter(F.col("role") == "assistant")
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-                       spark_seed(ANSWER_SEED).alias("raw"))
+    return conv.select(turn_id(), spark_seed(ANSWER_SEED).alias("raw"))
 
 
-ANSWERS_SQL = (f"SELECT conv_id * 1000 + turn AS query_id, {sql_seed(ANSWER_SEED)} AS raw "
+ANSWERS_SQL = (f"SELECT {TURN_ID_SQL}, {sql_seed(ANSWER_SEED)} AS raw "
                f"FROM conversations WHERE role = 'assistant'")
 
 

@@ -150,7 +150,7 @@ def guard_message(reason: str, profile: rules.Profile = rules.DEFAULT_PROFILE,
 def hashed_counts(table: str, id_col: str, text_col: str, dim: int = rules.VECTOR_SIZE) -> str:
     """``(id, dim, cnt)`` rows: token bucket counts of a text column."""
     return (f"SELECT {id_col} AS id, CAST((('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim}) AS INTEGER) AS dim, "
-            f"count(*) AS cnt FROM (SELECT {id_col}, unnest(regexp_split_to_array(lower({text_col}), '[^a-z0-9]+')) "
+            f"count(*) AS cnt FROM (SELECT {id_col}, unnest(regexp_split_to_array(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) "
             f"AS tok FROM {table}) WHERE tok <> '' GROUP BY ALL")
 
 
@@ -166,6 +166,6 @@ def topk(qvec: str, dvec: str, k: int = rules.TOP_K, threshold: float = rules.SC
     """``(query_id, doc_id, rank, raw)`` from ``(id, v, sq)`` relations, ties by doc id."""
     return (f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, raw FROM ("
             f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM ("
-            f"SELECT q.id AS query_id, d.id AS doc_id, CASE WHEN q.sq * d.sq > 0 "
-            f"THEN list_inner_product(q.v, d.v) / sqrt(CAST(q.sq * d.sq AS DOUBLE)) ELSE 0 END AS raw "
+            f"SELECT q.id AS query_id, d.id AS doc_id, CASE WHEN q.sq > 0 AND d.sq > 0 "
+            f"THEN list_inner_product(q.v, d.v) / sqrt(CAST(q.sq AS DOUBLE) * CAST(d.sq AS DOUBLE)) ELSE 0 END AS raw "
             f"FROM ({qvec}) q, ({dvec}) d WHERE {doc_filter}) WHERE raw >= {threshold!r}) WHERE rank <= {k}")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from askframe import rules
 from askframe.functions.text import fix_encoding
+from askframe.operators.kb import assign_dense_ids
 
 QA = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
 CATEGORY = T.StructType([T.StructField("category", T.StringType()),
@@ -16,9 +17,10 @@ FAQ_SCHEMA = T.StructType([T.StructField("categories", T.ArrayType(CATEGORY))])
 
 
 def read_faq_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file with an explicit schema (no inference pass)."""
+    """One row per JSON file with an explicit schema (no inference pass); ``file`` is its whole path."""
     return (spark.read.schema(FAQ_SCHEMA).option("multiLine", True).json(path)
-                 .withColumn("source", F.element_at(F.split(F.input_file_name(), "/"), -1)))
+                 .withColumn("file", F.input_file_name())
+                 .withColumn("source", F.element_at(F.split("file", "/"), -1)))
 
 
 def flatten_faq(faq: DataFrame, file_no_col: str | None = None, source_col: str = "source",
@@ -26,9 +28,16 @@ def flatten_faq(faq: DataFrame, file_no_col: str | None = None, source_col: str
     """Raw Q/A rows in document order; rows missing a question or an answer are dropped.
 
     A missing (null) category becomes ``General``.  ``posexplode`` keeps the
-    array positions, which become ``seq``.
+    array positions, which become ``seq``; ``seq.sheet_no`` orders the files, by
+    ``file_no_col`` or, for files read by ``read_faq_json``, by their path.
     """
-    file_no = F.col(file_no_col).cast("long") if file_no_col else F.lit(0).cast("long")
+    if file_no_col:
+        file_no = F.col(file_no_col).cast("long")
+    elif "file" in faq.columns:
+        numbered = assign_dense_ids(faq.select("file").distinct(), ["file"], "_file_no")
+        faq, file_no = faq.join(numbered, "file"), F.col("_file_no")
+    else:
+        file_no = F.lit(0).cast("long")
     cats = faq.select(file_no.alias("_file"), F.col(source_col).alias("_source"),
                       F.posexplode("categories").alias("_cpos", "_cat"))
     qas = cats.select("_file", "_source", "_cpos",

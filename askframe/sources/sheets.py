@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from askframe import rules
 from askframe.functions.text import is_question, py_strip, row_to_text
 from askframe.operators.pairing import pair_questions
-from askframe.operators.util import join_small
 from askframe.session import checkpoint_dir
 
 
@@ -28,7 +27,8 @@ def sheet_products(sheet_rows: DataFrame, sheet_map: DataFrame | None,
     if sheet_map is None:
         return rows.withColumn("product", py_strip(F.col("sheet")))
     m = sheet_map.select(F.col("sheet").alias("_map_sheet"), F.col("product").alias("_map_product"))
-    joined = join_small(rows, m, rows["sheet"] == m["_map_sheet"], "left")
+    # no hint: Spark broadcasts the map if its size in bytes allows, and splits a hot sheet otherwise
+    joined = rows.join(m, rows["sheet"] == m["_map_sheet"], "left")
     return (joined.withColumn("product", F.coalesce(F.col("_map_product"), py_strip(F.col("sheet"))))
                   .drop("_map_sheet", "_map_product"))
 

@@ -7,11 +7,10 @@
   micro-batch with the batch flow against a static vector table.
 
 Both run ``foreachBatch`` with a checkpoint, so a restarted query resumes where
-it stopped.  A micro-batch replayed after a failure is skipped: every written
-row carries its ``batch_id`` and a batch already present in the sink is not
-written again.  The KB is written before the vectors; readers that need both
-join on committed batch ids.  Sinks are partitioned by ``batch_id``, so the
-replay check reads one folder.
+it stopped.  A micro-batch is known by its stream (the checkpoint folder) and
+its number: several streams may write to one KB.  Its rows go to a folder of
+that key, whose committed writes a replay skips, completing what is missing.
+The KB is written before the vectors, the vectors before the stored index.
 """
 
 from __future__ import annotations
@@ -20,75 +19,53 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from askframe import rules
-from askframe.operators import kb as K
 from askframe.operators.answer import answer_questions
-from askframe.operators.vectors import kb_vectors
+from askframe.sources.kb_store import append_batch, batch_written, stream_key, write_batch
 from askframe.sources.uploads import UPLOAD_GLOB, category_from_path, decode_uploads
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _already_written(existing: DataFrame | None, batch_id: int) -> bool:
-    if existing is None or "batch_id" not in existing.columns:
-        return False
-    return not existing.filter(F.col("batch_id") == batch_id).limit(1).isEmpty()
-
-
 def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vectors_path: str,
                         checkpoint: str, profile: rules.Profile = rules.DEFAULT_PROFILE,
-                        embedder: Callable[[Column], Column] | None = None, available_now: bool = True):
-    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-                   .option("pathGlobFilter", UPLOAD_GLOB)
-                   .option("recursiveFileLookup", "true").load(source_dir))
-    decoded = decode_uploads(stream).withColumn("category", category_from_path())
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        existing = _read_or_none(session, kb_path)
-        if not _already_written(existing, batch_id):
-            uploads = batch.select(F.col("text"), F.col("category"),
-                                   F.struct(F.lit(3).alias("src_no"), F.lit(batch_id).cast("long").alias("sheet_no"),
-                                            F.col("path").alias("pos")).alias("seq")).persist()
-            try:
-                base = existing if existing is not None else session.createDataFrame([], "id string")
-                rows = K.append_uploads(base, uploads, profile).withColumn("batch_id", F.lit(batch_id).cast("long"))
-                rows.write.mode("append").partitionBy("batch_id").parquet(kb_path)
-            finally:
-                uploads.unpersist()
-        # checked separately: a batch whose KB rows were committed before a failure still gets its vectors
-        if not _already_written(_read_or_none(session, vectors_path), batch_id):
-            written = session.read.parquet(kb_path).filter(F.col("batch_id") == batch_id).drop("batch_id")
-            kb_vectors(written, embedder).withColumn("batch_id", F.lit(batch_id).cast("long")) \
-                .write.mode("append").partitionBy("batch_id").parquet(vectors_path)
-
-    writer = decoded.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+                        embedder: Callable[[Column], Column] | None = None, available_now: bool = True,
+                        index_path: str | None = None, max_files_per_trigger: int | None = None):
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                   .option("pathGlobFilter", UPLOAD_GLOB).option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    decoded = decode_uploads(reader.load(source_dir)).withColumn("category", category_from_path())
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        uploads = batch.select("text", "category",
+                               F.struct(F.lit(3).alias("src_no"), F.lit(batch_id).cast("long").alias("sheet_no"),
+                                        F.col("path").alias("pos")).alias("seq"))
+        append_batch(batch.sparkSession, kb_path, uploads, stream_key(checkpoint, batch_id), profile, vectors_path,
+                     embedder, index_path)
+
+    writer = decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
-def start_question_answering(spark: SparkSession, source_dir: str, schema: str, vectors: DataFrame,
-                             out_path: str, checkpoint: str, available_now: bool = True, **answer_kw):
-    stream = spark.readStream.schema(schema).parquet(source_dir)
+def start_question_answering(spark: SparkSession, source_dir: str, schema: str, vectors: DataFrame | None,
+                             out_path: str, checkpoint: str, available_now: bool = True,
+                             max_files_per_trigger: int | None = None, **answer_kw):
+    """Answers question files per micro-batch; pass ``index=`` to search a stored index instead of clustering
+    ``vectors`` again in every batch."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        if _already_written(_read_or_none(session, out_path), batch_id):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        key = stream_key(checkpoint, batch_id)
+        if batch_written(batch.sparkSession, out_path, key):
             return
         answered = answer_questions(batch.select("query_id", "query"), vectors, **answer_kw)
-        (answered.withColumn("n_sources", F.size("sources")).drop("sources")
-                 .withColumn("batch_id", F.lit(batch_id).cast("long"))
-                 .write.mode("append").partitionBy("batch_id").parquet(out_path))
+        write_batch(answered.withColumn("n_sources", F.size("sources")).drop("sources"), out_path, key)
 
-    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = reader.parquet(source_dir).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

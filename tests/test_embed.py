@@ -13,3 +13,26 @@ def test_known_bucket(spark):
     rows = {r.id: r for r in hashed_vectors(df, "t", ["id"]).collect()}
     assert rows[1].tf[152] == 3 and rows[1].sq == 9          # md5('abc')[:8] % 384 == 152
     assert sum(rows[2].tf) == 0 and rows[2].sq == 0
+
+
+def test_every_script_has_tokens(spark):
+    from pyspark.sql import functions as F
+    from askframe.operators.embed import hashed_vectors
+    texts = ["Какой процент по вкладу", "سود کی شرح کیا ہے", "Größe für", "日本語 テスト", "naïve café 42"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for engine in ("arrow", "sql"):
+        got = {r.id: (r.tf, r.sq) for r in hashed_vectors(df, "t", ["id"], engine=engine, outputs=("tf", "sq")).collect()}
+        assert all(sq > 0 for _, sq in got.values()) and sum(got[2][0]) == 2 and sum(got[0][0]) == 4
+        if engine == "arrow":
+            first = got
+    assert first == got
+
+
+def test_slices_do_not_change_counts(monkeypatch):
+    import numpy as np
+    from askframe.operators import embed
+    texts = ["a b c", None, "d " * 50, "", "a"]
+    whole = embed._counts_for(texts, 16, {})
+    monkeypatch.setattr(embed, "_SLICE_CHARS", 5)
+    small = embed._counts_for(texts, 16, {})
+    assert all(np.array_equal(a, b) for a, b in zip(whole, small))

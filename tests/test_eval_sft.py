@@ -44,3 +44,14 @@ def test_search_options_pass_through(spark):
     exact = EV.hit_rates(kb, vecs, k=5).first()
     approx = EV.hit_rates(kb, vecs, k=5, mode="approx", nprobe=1, cell_rows=2).first()
     assert approx.n == exact.n and 0.0 <= approx.topk_match <= exact.topk_match
+
+
+def test_no_hit_at_all_is_zero(spark):
+    from askframe.operators import evaluate as EV
+    from askframe.operators.vectors import kb_vectors
+    schema = "id string, category string, source string, source_sheet string, question string, answer string, text string, ord long"
+    kb = spark.createDataFrame([("d0", "C", "s", "x", "alpha beta", "one", "gamma", 0)], schema)
+    got = EV.hit_rates(kb, kb_vectors(kb)).first()
+    assert (got.n, got.top1_match, got.topk_match) == (1, 0.0, 0.0)
+    none = EV.hit_rates(kb.filter("false"), kb_vectors(kb)).first()
+    assert (none.n, none.top1_match, none.topk_match) == (0, 0.0, 0.0)

@@ -99,3 +99,43 @@ def test_null_vectors_are_skipped(spark):
     d = spark.createDataFrame([(10, [1.0, 0.0]), (11, None)], "doc_id long, embedding array<float>")
     got = [(r.query_id, r.doc_id) for r in similarity_topk(q, d).collect()]
     assert got == [(1, 10)]
+
+
+def test_large_counts_do_not_overflow(spark):
+    q = spark.createDataFrame([(1, [100_000, 1])], "query_id long, tf array<int>")
+    d = spark.createDataFrame([("a", [100_000, 0]), ("b", [90_000, 90_000])], "doc_id string, tf array<int>")
+    got = similarity_topk(q, d, vec="tf", integer=True).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == ["a", "b"] and all(r.raw_score <= 1.0 + 1e-12 for r in got)
+
+
+def test_two_phases_are_exact_and_skip_cells_of_clustered_vectors(spark):
+    import numpy as np
+    from askframe.operators.similarity import build_cells, search_cells
+    draw = np.random.default_rng(0)
+    centres = draw.normal(size=(20, 24)) * 4
+    x = centres[draw.integers(0, 20, 2000)] + draw.normal(size=(2000, 24)) * 0.3
+    docs = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    q = docs.filter("doc_id % 40 = 0").withColumnRenamed("doc_id", "query_id")
+    stats = {}
+    index = build_cells(docs, cell_rows=50)
+    got = {(r.query_id, r.rank): r.doc_id for r in search_cells(q, index, stats=stats).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 2000, 40):
+        want = sorted(range(2000), key=lambda j: (-round(float(u[i] @ u[j]), 12), j))[:5]
+        assert [got[i, r] for r in range(1, 6)] == want
+    assert stats["pairs_scored"] < 0.6 * stats["pairs_total"]
+
+
+def test_adding_to_a_stored_index_equals_a_full_build(spark, tmp_path):
+    import numpy as np
+    from askframe.operators.similarity import add_to_index, build_cells, read_index, search_cells, write_index
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    docs = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    q = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    path = str(tmp_path / "ix")
+    write_index(build_cells(docs.filter("doc_id < 150"), cell_rows=20), path)
+    for _ in range(2):  # the second time replaces the first
+        add_to_index(spark, path, docs.filter("doc_id >= 150"), "append-a")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "score").collect()))
+    assert key(search_cells(q, read_index(spark, path))) == key(search_cells(q, build_cells(docs, cell_rows=20)))
+    assert read_index(spark, path).counts.sum() == 300

@@ -1,22 +1,7 @@
-from pyspark.sql import functions as F
+from askframe.operators.util import materialize
 
-from askframe.operators.util import has_python_stage, join_small, materialize_if_computed, spread_small
 
-
-def test_join_small_broadcasts_only_under_the_bound(spark):
-    big = spark.range(0, 1000).withColumn("k", F.col("id") % 10)
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-    hinted = join_small(big, small, "k", max_rows=100)._jdf.queryExecution().analyzed().toString()
-    plain = join_small(big, small, "k", max_rows=5)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
-
-
-def test_spread_small_and_materialize(spark):
-    df = spark.range(0, 100)
-    assert spread_small(df).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    assert spread_small(df, max_bytes=0) is df
-    assert materialize_if_computed(df) is df and not has_python_stage(df)
-    py = df.mapInPandas(lambda it: it, df.schema)
-    assert has_python_stage(py)
-    done = materialize_if_computed(py)
-    assert not has_python_stage(done) and done.count() == 100
+def test_materialize_cuts_the_plan(spark):
+    df = spark.range(0, 100).mapInPandas(lambda it: it, "id long")
+    done = materialize(df)
+    assert done.count() == 100 and "MapInPandas" not in done._jdf.queryExecution().analyzed().toString()
