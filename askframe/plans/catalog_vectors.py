@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from askframe import rules
 from askframe.operators.embed import hashed_long_form, hashed_vectors
-from askframe.operators.similarity import similarity_topk
+from askframe.operators.similarity import build_cells, nprobe_for_recall, search_cells, similarity_topk
 from askframe.operators.util import materialize
 from askframe.operators.vectors import index_stats as stats_of
 from askframe.plans import inputs as I
@@ -57,13 +58,57 @@ def vec_topk_filtered(spark, d):
     return hits.select("query_id", "rank", "doc_id", "score")
 
 
-# --------------------------------------------------------------------------- J3 (no SQL: approximate)
-@register("vec_topk_ann")
-def vec_topk_ann(spark, d):
+# --------------------------------------------------------------------------- J3
+# The centroids are the first vectors by id, so SQL can follow: cells, the share of exact hits within the nearest
+# cells, the fewest cells that hold ANN_RECALL of them, and the hits in those.
+ANN_CELL_ROWS, ANN_RECALL = 64, 0.9
+
+_UNIT = "list_transform(v, lambda x: x / sqrt(sq))"
+
+
+def _ann_ctes():
+    return [
+        ("e", f"SELECT *, {_UNIT} AS u FROM ({_DENSE})"),
+        ("c", f"SELECT row_number() OVER (ORDER BY id) - 1 AS cell, u FROM e WHERE sq > 0 "
+              f"QUALIFY row_number() OVER (ORDER BY id) <= (SELECT ceil(count(*) / {ANN_CELL_ROWS}.0) FROM e)"),
+        ("s", "SELECT e.id, c.cell, list_inner_product(e.u, c.u) AS sim FROM e, c"),
+        ("own", "SELECT id, arg_max(cell, sim) AS cell FROM s GROUP BY id"),
+        ("d", "SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cell) AS depth FROM s "
+              "WHERE cell IN (SELECT cell FROM own)"),
+        ("x", Q.topk(_DENSE, _DENSE)),
+        ("h", "SELECT d.depth, count(*) AS n FROM x JOIN own ON own.id = x.doc_id "
+              "JOIN d ON d.id = x.query_id AND d.cell = own.cell GROUP BY d.depth"),
+        ("p", f"SELECT min(depth) AS nprobe FROM (SELECT depth, sum(n) OVER (ORDER BY depth) AS got, sum(n) OVER () AS total "
+              f"FROM h) WHERE got >= {ANN_RECALL} * total"),
+        ("a", f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, raw FROM (SELECT *, row_number() OVER "
+              f"(PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (SELECT q.id AS query_id, t.id AS doc_id, "
+              f"CASE WHEN q.sq > 0 AND t.sq > 0 THEN list_inner_product(q.v, t.v) / sqrt(q.sq * t.sq) ELSE 0 END AS raw "
+              f"FROM e q JOIN d ON d.id = q.id AND d.depth <= (SELECT nprobe FROM p) JOIN own ON own.cell = d.cell "
+              f"JOIN e t ON t.id = own.id) WHERE raw >= {rules.SCORE_THRESHOLD!r}) WHERE rank <= {rules.TOP_K}"),
+    ]
+
+
+def _ann(spark, d):
     q, v = _dense_inputs(spark, d)
-    hits = similarity_topk(q, v.select(F.col("vec_id").alias("doc_id"), "embedding"),
-                           mode="approx", nprobe=2, cell_rows=64)
-    return hits.select("query_id", "rank", "doc_id", "score")
+    index = build_cells(v.select(F.col("vec_id").alias("doc_id"), "embedding"), cell_rows=ANN_CELL_ROWS, seeds="first")
+    nprobe = nprobe_for_recall(q, index, recall=ANN_RECALL)
+    return q, index, nprobe, search_cells(q, index, mode="approx", nprobe=nprobe)
+
+
+@register("vec_topk_ann", I.with_(_ann_ctes(), "SELECT query_id, rank, doc_id, round(raw, 4) AS score FROM a"))
+def vec_topk_ann(spark, d):
+    return _ann(spark, d)[3].select("query_id", "rank", "doc_id", "score")
+
+
+@register("vec_ann_recall", I.with_(_ann_ctes(), (
+    "SELECT CAST((SELECT nprobe FROM p) AS INTEGER) AS nprobe, count(*) AS n_exact, count(a.doc_id) AS n_found "
+    "FROM x LEFT JOIN a ON a.query_id = x.query_id AND a.doc_id = x.doc_id")))
+def vec_ann_recall(spark, d):
+    q, index, nprobe, hits = _ann(spark, d)
+    found = hits.select("query_id", "doc_id", F.lit(1).alias("found"))
+    exact = search_cells(q, index).select("query_id", "doc_id")
+    return (exact.join(found, ["query_id", "doc_id"], "left")
+            .agg(F.lit(nprobe).cast("int").alias("nprobe"), F.count(F.lit(1)).alias("n_exact"), F.count("found").alias("n_found")))
 
 
 # --------------------------------------------------------------------------- J4

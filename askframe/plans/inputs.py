@@ -78,8 +78,12 @@ ANSWER_SEED = _cases("conv_id", 7, [
 ])
 
 
+def spark_sql(tmpl: str) -> str:
+    return tmpl.replace("{S}", "STRING")
+
+
 def spark_seed(tmpl: str):
-    return F.expr(tmpl.replace("{S}", "STRING"))
+    return F.expr(spark_sql(tmpl))
 
 
 def sql_seed(tmpl: str) -> str:
