@@ -9,7 +9,7 @@ variant is a hash of its id, so the same input always gives the same pieces.
 
 All new words of a batch take part in the agenda at once: each round applies
 the best candidate of every word with numpy (a very long word has a heap of its
-own).  Words a worker has seen are remembered up to a bound.
+own).  Words a worker has met lately are remembered, up to a bound.
 
 Encoding follows the model's own rules (a space before the text, spaces as
 U+2581, bytes for what has no piece); without dropout it gives the library's
@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +40,11 @@ from askframe.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 7
 SPACE = "▁"
-CACHE_WORDS = 500_000
-ROUND_WORDS = 50_000  # words whose agendas run together
-LONG_WORD = 400       # bytes beyond which a word has an agenda of its own
+CACHE_WORDS = 400_000  # of each of the two generations that a worker remembers
+ROUND_WORDS = 50_000   # words whose agendas run together
+LONG_WORD = 400        # bytes beyond which a word has an agenda of its own
+WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, LONG_WORD)
+NEVER = np.iinfo(np.int32).max
 # No piece joins a space to what stands before it, so these parts of a text never merge with each other.
 CHUNKS = re.compile(rb" *[^ ]+| +")
 
@@ -56,7 +59,7 @@ class PieceModel:
         self.byte_id = np.zeros(256, dtype=np.int32)
         self.bytes_of: list[bytes] = []
         self.id_of: dict[str, int] = {}
-        rank = np.zeros(n)
+        rank = np.zeros(n, dtype=np.int64)
         for i in range(n):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
@@ -67,7 +70,7 @@ class PieceModel:
             else:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 self.id_of[piece] = i
-                rank[i] = -lib.get_score(i)
+                rank[i] = round(-lib.get_score(i))
         keys, ranks, merged = [], [], []
         for piece, i in self.id_of.items():
             for cut in range(1, len(piece)):
@@ -76,34 +79,64 @@ class PieceModel:
                     keys.append(a * n + b)
                     ranks.append(rank[i])
                     merged.append(i)
-        order = np.argsort(keys)
         self.n = n
         self.space = self.id_of[SPACE]
-        self.keys = np.asarray(keys, dtype=np.int64)[order]
-        self.ranks = np.asarray(ranks)[order]
-        self.merged = np.asarray(merged, dtype=np.int32)[order]
+        self.merge_of = dict(zip(keys, zip(ranks, merged)))
+        # the same as arrays: an open-addressing table of the merges, and the piece of each code point
+        self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
+        self.slot_key = np.full(self.mask + 1, -1, dtype=np.int64)
+        self.slot_rank = np.full(self.mask + 1, NEVER, dtype=np.int32)
+        self.slot_to = np.full(self.mask + 1, -1, dtype=np.int32)
+        self.depth = 1
+        for key, (r, to) in self.merge_of.items():
+            at, depth = int(_mix(np.array([key], dtype=np.uint64))[0]) & self.mask, 1
+            while self.slot_key[at] >= 0:
+                at, depth = (at + 1) & self.mask, depth + 1
+            self.slot_key[at], self.slot_rank[at], self.slot_to[at] = key, r, to
+            self.depth = max(self.depth, depth)
+        self.of_code_point = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in self.id_of.items():
+            if len(piece) == 1 and piece != SPACE:
+                self.of_code_point[ord(piece)] = i
+        self.of_code_point[ord(" ")] = self.space
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (inf: no such merge) and result of merging neighbouring pieces; ids below 0 never merge."""
+        """Rank (NEVER: no such merge) and result of merging neighbouring pieces; ids below 0 never merge."""
         key = left.astype(np.int64) * self.n + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(known, self.ranks[at], np.inf), np.where(known, self.merged[at], -1)
-
-    def letters(self, word: bytes) -> tuple[list[int], list[int]]:
-        """First pieces of a word and where each starts; a letter without a piece becomes bytes (below 0 until the end)."""
-        ids, starts, at = [], [], 0
-        for ch in word.decode("utf-8"):
-            raw = ch.encode()
-            i = self.space if ch == " " else None if ch == SPACE else self.id_of.get(ch)
-            if i is None:
-                ids += [-1 - int(self.byte_id[b]) for b in raw]
-                starts += range(at, at + len(raw))
-            else:
-                ids.append(i)
-                starts.append(at)
-            at += len(raw)
-        return ids, starts
+        key[(left < 0) | (right < 0)] = -2
+        at = (_mix(key.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+        slot = np.full(key.shape, -1, dtype=np.int64)
+        todo = np.arange(key.size)
+        for _ in range(self.depth):
+            here = at[todo]
+            held = self.slot_key[here]
+            same = held == key[todo]
+            slot[todo[same]] = here[same]
+            todo = todo[(held >= 0) & ~same]
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) & self.mask
+        return np.where(slot >= 0, self.slot_rank[slot], NEVER), np.where(slot >= 0, self.slot_to[slot], -1)
+
+    def letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First pieces of all words, where each starts in its word, and pieces per word.
+
+        A letter without a piece becomes bytes, which are below 0 until the end.
+        """
+        raw = b"".join(words)
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        ids = self.of_code_point[points]
+        parts = np.where(ids >= 0, 1, width)
+        first = np.cumsum(width) - width  # byte at which each letter starts
+        at = np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        ids = np.repeat(ids, parts)
+        missing = ids < 0
+        ids[missing] = -1 - self.byte_id[np.frombuffer(raw, dtype=np.uint8)[at[missing]]]
+        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))])
+        edges = np.searchsorted(at, begins)
+        counts = np.diff(edges)
+        return ids, at - np.repeat(begins[:-1], counts), counts
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -132,143 +165,167 @@ def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndar
 
 def word_keys(words: list[bytes], seed: int, variant: int) -> np.ndarray:
     """A 64-bit key of each word under (seed, variant)."""
-    salt = b"%d/%d" % (seed, variant)
-    return np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8, key=salt).digest(), "little") for w in words),
-                       dtype=np.uint64, count=len(words))
-
-
-def segment(model: PieceModel, words: list[bytes], keys: np.ndarray, dropout: float) -> list[np.ndarray]:
-    """Ids of each word.  Every round merges the best candidate (lowest rank, then leftmost) of every word."""
-    ids, starts, word, size = [], [], [], []
-    for w, raw in enumerate(words):
-        i, s = model.letters(raw)
-        ids += i
-        starts += s
-        word += [w] * len(i)
-        size.append(len(raw))
-    ids, starts, word = (np.asarray(x, dtype=np.int64) for x in (ids, starts, word))
-    ends = np.empty_like(starts)
-    if len(ids):
-        ends[:-1] = np.where(word[1:] == word[:-1], starts[1:], 0)
-        last = np.flatnonzero(np.append(word[1:] != word[:-1], True))
-        ends[last] = np.asarray(size)[word[last]]
-    done: list[tuple[np.ndarray, np.ndarray]] = []  # (word, ids) of words without candidates left
-    rank, to = _candidates(model, ids, starts, ends, word, keys, dropout)
-    while len(ids):
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        best = np.minimum.reduceat(rank, first)
-        over = ~np.isfinite(best)
-        if over.any():
-            out = np.repeat(over, np.diff(np.append(first, len(ids))))
-            done.append((word[out], ids[out]))
-            ids, starts, ends, word, rank, to = (x[~out] for x in (ids, starts, ends, word, rank, to))
+    salt = xxhash.xxh64_intdigest(b"%d/%d" % (seed, variant))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in words), dtype=np.uint64, count=len(words))
+
+
+def segment(model: PieceModel, words: list[bytes], keys: np.ndarray, dropout: float) -> list[bytes]:
+    """Ids of each word, as the bytes of an int32 array."""
+    if not words:
+        return []
+    ids, starts, counts = model.letters(words)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    out: list[bytes] = [b""] * len(words)
+    lower = 0
+    for width in WIDTHS:  # words of like length form one matrix
+        rows = np.flatnonzero((counts > lower) & (counts <= width))
+        lower = width
+        if not len(rows):
             continue
-        hit = rank == np.repeat(best, np.diff(np.append(first, len(ids))))
-        at = np.flatnonzero(hit)
-        at = at[np.append(True, word[at][1:] != word[at][:-1])]  # the leftmost of each word
-        ids[at], ends[at] = to[at], ends[at + 1]
-        keep = np.ones(len(ids), dtype=bool)
-        keep[at + 1] = False
-        moved = np.zeros(len(ids), dtype=bool)
-        moved[at] = True
-        moved[at[at > 0] - 1] = True
-        ids, starts, ends, word, rank, to, moved = (x[keep] for x in (ids, starts, ends, word, rank, to, moved))
-        new = np.flatnonzero(moved | np.append(moved[1:], False))
-        rank[new], to[new] = _candidates_at(model, new, ids, starts, ends, word, keys, dropout)
-    if not done:
-        return [np.empty(0, dtype=np.int32)] * len(words)
-    word, ids = (np.concatenate(x) for x in zip(*done))
-    order = np.argsort(word, kind="stable")
-    ids = ids[order]
-    flat = np.where(ids < 0, -1 - ids, ids).astype(np.int32)
-    return np.split(flat, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
-
-
-def _candidates(model, ids, starts, ends, word, keys, dropout):
-    return _candidates_at(model, np.arange(len(ids)), ids, starts, ends, word, keys, dropout)
-
-
-def _candidates_at(model, at, ids, starts, ends, word, keys, dropout):
-    """Rank and result of merging the pieces at ``at`` with the next one of their word, skipped ones out."""
-    rank, to = np.full(len(at), np.inf), np.full(len(at), -1, dtype=np.int64)
-    ok = at + 1 < len(ids)
-    ok[ok] = word[at[ok]] == word[at[ok] + 1]
-    i = at[ok]
-    r, t = model.pairs(ids[i], ids[i + 1])
-    if dropout > 0:
-        known = np.flatnonzero(np.isfinite(r))
-        j = i[known]
-        drop = skipped(keys[word[j]], starts[j], starts[j + 1], ends[j + 1], dropout)
-        r[known[drop]] = np.inf
-    rank[ok], to[ok] = r, t
-    return rank, to
-
-
-def segment_long(model: PieceModel, word: bytes, key: int, dropout: float) -> np.ndarray:
+        column = np.arange(width)
+        inside = column < counts[rows][:, None]
+        at = np.where(inside, edges[rows][:, None] + column, 0)
+        piece = np.where(inside, ids[at], -NEVER).astype(np.int32)
+        bound = np.concatenate([np.where(inside, starts[at], sizes[rows][:, None]), sizes[rows][:, None]], axis=1).astype(np.int32)
+        for row, found in _agenda(model, rows, piece, bound, keys[rows], dropout):
+            flat = found[found != -NEVER]
+            flat = np.where(flat < 0, -1 - flat, flat).astype(np.int32).tobytes()
+            ends = np.cumsum((found != -NEVER).sum(axis=1) * 4).tolist()
+            for w, a, b in zip(row.tolist(), [0, *ends], ends):
+                out[w] = flat[a:b]
+    return out
+
+
+def _agenda(model: PieceModel, rows: np.ndarray, piece: np.ndarray, bound: np.ndarray, keys: np.ndarray, dropout: float):
+    """Yields (rows, their pieces) when words have no candidate left.
+
+    ``piece`` is words x letters, ``bound`` where each piece begins and the last
+    ends.  Each round merges in every word the candidate of lowest rank, the
+    leftmost of equals, and looks at the two candidates that this changes.
+    """
+    def candidates(w: np.ndarray, j: np.ndarray) -> np.ndarray:
+        r, _ = model.pairs(piece[w, j], piece[w, j + 1])
+        if dropout > 0:
+            known = np.flatnonzero(r != NEVER)
+            a, b = w[known], j[known]
+            r[known[skipped(keys[a], bound[a, b], bound[a, b + 1], bound[a, b + 2], dropout)]] = NEVER
+        return r
+
+    n, width = piece.shape
+    if width < 2:
+        yield rows, piece
+        return
+    w, j = (x.ravel() for x in np.indices((n, width - 1)))
+    rank = candidates(w, j).reshape(n, width - 1).astype(np.int32)
+    while True:
+        best = rank.argmin(axis=1)
+        going = rank[np.arange(len(rows)), best] != NEVER
+        if not going.all():
+            yield rows[~going], piece[~going]
+            rows, piece, bound, rank, keys, best = (x[going] for x in (rows, piece, bound, rank, keys, best))
+        if not len(rows):
+            return
+        width = piece.shape[1]
+        if width == 2:
+            yield rows, model.pairs(piece[:, 0], piece[:, 1])[1][:, None]
+            return
+        w = np.arange(len(rows))
+        piece[w, best] = model.pairs(piece[w, best], piece[w, best + 1])[1]
+        piece = _without(piece, best + 1)
+        bound = _without(bound, best + 1)
+        rank = _without(rank, np.minimum(best + 1, width - 2))
+        last = piece.shape[1] - 1
+        left, right = np.flatnonzero(best > 0), np.flatnonzero(best < last)
+        rank[left, best[left] - 1] = candidates(left, best[left] - 1)
+        rank[right, best[right]] = candidates(right, best[right])
+
+
+def _without(x: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The matrix without the entry ``gone`` of each row."""
+    return x[np.arange(x.shape[1]) != gone[:, None]].reshape(len(x), x.shape[1] - 1)
+
+
+def segment_long(model: PieceModel, word: bytes, key: int, dropout: float) -> bytes:
     """As ``segment`` for one word, with a heap: time grows with n log n."""
-    ids, starts = model.letters(word)
+    ids, starts, _ = model.letters([word])
+    ids, starts = ids.tolist(), starts.tolist()
     n = len(ids)
     ends, following, before = starts[1:] + [len(word)], list(range(1, n + 1)), list(range(-1, n - 1))
-    table = dict(zip(model.keys.tolist(), range(len(model.keys))))
-    heap: list[tuple[float, int, int, int, int]] = []
+    heap: list[tuple[int, int, int, int, int]] = []
 
     def offer(at: int) -> None:
         to = following[at]
-        if at < 0 or to >= n or ids[at] < 0 or ids[to] < 0:
+        if to >= n or ids[at] < 0 or ids[to] < 0:
             return
-        k = table.get(ids[at] * model.n + ids[to])
-        if k is None:
+        merge = model.merge_of.get(ids[at] * model.n + ids[to])
+        if merge is None:
             return
         place = (np.array([x], dtype=np.uint64) for x in (key, starts[at], starts[to], ends[to]))
         if not dropout or not skipped(*place, dropout)[0]:
-            heapq.heappush(heap, (float(model.ranks[k]), starts[at], at, to, k))
+            heapq.heappush(heap, (merge[0], starts[at], at, to, merge[1]))
 
     for i in range(n - 1):
         offer(i)
     gone = [False] * n
     while heap:
-        _, _, at, to, k = heapq.heappop(heap)
-        if gone[at] or gone[to] or following[at] != to or ids[at] * model.n + ids[to] != model.keys[k]:
+        _, _, at, to, piece = heapq.heappop(heap)
+        if gone[at] or gone[to] or following[at] != to or model.merge_of.get(ids[at] * model.n + ids[to], (0, -1))[1] != piece:
             continue  # one of the two has merged with another piece since
-        ids[at], ends[at], following[at], gone[to] = int(model.merged[k]), ends[to], following[to], True
+        ids[at], ends[at], following[at], gone[to] = int(piece), ends[to], following[to], True
         if following[at] < n:
             before[following[at]] = at
             offer(at)
         if before[at] >= 0:
             offer(before[at])
-    return np.array([-1 - i if i < 0 else i for i, g in zip(ids, gone) if not g], dtype=np.int32)
+    return np.array([-1 - i if i < 0 else i for i, g in zip(ids, gone) if not g], dtype=np.int32).tobytes()
 
 
 class Encoder:
-    """Encodes texts; remembers the pieces of (variant, word) up to a bound."""
+    """Encodes texts; remembers the pieces of (variant, word) in two generations of bounded size."""
 
     def __init__(self, model: PieceModel, dropout: float = DROPOUT, seed: int = SEED):
         self.model, self.dropout, self.seed = model, dropout, seed
-        self.known: dict[int, dict[bytes, bytes]] = {}
+        self.young: dict[int, dict[bytes, bytes]] = {}
+        self.old: dict[int, dict[bytes, bytes]] = {}
 
     def encode(self, texts: list[bytes], variants: list[int]) -> list[np.ndarray]:
         """Ids of each text."""
         chunks = [CHUNKS.findall(b" " + t) if t else [] for t in texts]
-        if sum(map(len, self.known.values())) > CACHE_WORDS:
-            self.known.clear()
-        new: dict[int, dict[bytes, None]] = {}
+        if sum(map(len, self.young.values())) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        new: dict[int, set[bytes]] = {}
         for parts, v in zip(chunks, variants):
-            known = self.known.setdefault(v, {})
-            new.setdefault(v, {}).update(dict.fromkeys(p for p in parts if p not in known))
+            new.setdefault(v, set()).update(parts)
         for v, words in new.items():
-            self._learn(v, list(words))
-        return [np.frombuffer(b"".join(map(self.known[v].__getitem__, parts)), dtype=np.int32) for parts, v in zip(chunks, variants)]
+            young, old = self.young.setdefault(v, {}), self.old.get(v, {})
+            words = words.difference(young)
+            met = words.intersection(old)
+            young.update(zip(met, map(old.__getitem__, met)))
+            self._learn(v, list(words - met))
+        return [np.frombuffer(b"".join(map(self.young[v].__getitem__, parts)), dtype=np.int32) for parts, v in zip(chunks, variants)]
 
     def _learn(self, variant: int, words: list[bytes]) -> None:
-        known = self.known[variant]
-        for at in range(0, len(words), ROUND_WORDS):
-            some = [w for w in words[at:at + ROUND_WORDS] if len(w) <= LONG_WORD]
-            got = segment(self.model, some, word_keys(some, self.seed, variant), self.dropout)
-            known.update((w, ids.tobytes()) for w, ids in zip(some, got))
+        known = self.young[variant]
+        short = [w for w in words if len(w) <= LONG_WORD]
+        for at in range(0, len(short), ROUND_WORDS):
+            some = short[at:at + ROUND_WORDS]
+            known.update(zip(some, segment(self.model, some, word_keys(some, self.seed, variant), self.dropout)))
         for w in words:
             if len(w) > LONG_WORD:
-                key = int(word_keys([w], self.seed, variant)[0])
-                known[w] = segment_long(self.model, w, key, self.dropout).tobytes()
+                known[w] = segment_long(self.model, w, int(word_keys([w], self.seed, variant)[0]), self.dropout)
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(raw: bytes, dropout: float, seed: int) -> Encoder:
+    """The worker's encoder: what it remembers serves all tasks of the worker."""
+    model = model_of(raw)
+    key = (id(model), dropout, seed)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(model, dropout, seed)
+    return _ENCODERS[key]
 
 
 def decode(model: PieceModel, ids) -> bytes:
@@ -286,8 +343,7 @@ def encode(docs: DataFrame, keep: list[str], model_path: str = MODEL, dropout: f
         raw = f.read()
 
     def run(batches):
-        model = model_of(raw)
-        encoder = Encoder(model, dropout, seed)
+        model, encoder = model_of(raw), encoder_of(raw, dropout, seed)
         for batch in batches:
             texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
             variant = [zlib.crc32(b"%d:%s" % (seed, d or b"")) % variants
