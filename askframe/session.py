@@ -46,6 +46,9 @@ def build_session(master: str | None = None, app_name: str = "askframe",
     return spark
 
 
+_SHIP_LOCK = threading.Lock()
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -73,10 +76,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/askframe-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of this application's scratch folder, in the shared checkpoint folder.
+
+    The scratch folder holds intermediate tables; the driver's file system
+    client deletes it when the application ends.
+    """
+    app = spark.sparkContext.applicationId
+    with _SHIP_LOCK:
+        if app not in _SCRATCH:
+            root = f"{checkpoint_dir(spark).rstrip('/')}/askframe-{app}-{uuid.uuid4().hex[:12]}"
+            hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.mkdirs(hpath)
+            fs.deleteOnExit(hpath)
+            _SCRATCH[app] = root
+    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def local_path(path: str) -> str:
@@ -89,7 +107,6 @@ def local_path(path: str) -> str:
 
 
 _SHIPPED: set[str] = set()
-_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
