@@ -7,7 +7,7 @@ neighbours.  Every row goes to its most probable partition; a query goes to
 its several most probable ones, whose rows are ranked by exact cosine.  How
 many partitions a query visits is measured on the sample against brute force,
 so that a stated recall is met; on vectors without structure that can be
-nearly all of them.
+nearly all of them.  A query whose partitions hold too few rows visits all.
 
 On Spark: partitions are cut into blocks of bounded size, queries too, and a
 block meets a block in one co-group that returns a few rows per query.
@@ -273,6 +273,28 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = S
     asked = (queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
              .where(usable(length)))
     routed = common.written(asked.mapInArrow(route, schema), "ann-queries")
+    best = _ranked(_rerank(index, routed, length, k), k)
+    if visited < router.parts:
+        best = common.written(best, "ann-found")
+        full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+        short = asked.join(full, "vec_id", "left_anti")
+        if not short.isEmpty():  # their partitions held too few rows: the others come too
+            every = common.written(short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(router.parts - 1))))
+                                   .select("part", "vec_id", "embedding"), "ann-queries")
+            more = _ranked(_rerank(index, every, length, k), k)
+            best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(more)
+    return best
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+
+def _rerank(index: DataFrame, routed: DataFrame, length: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): exact scores of the k best rows of each block that a routed query meets."""
     # one row per partition: in how many blocks its rows, and the queries that visit it, are dealt
     n_rows = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     n_asked = routed.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("query_blocks"))
@@ -293,12 +315,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = S
                               matrix(d.column("embedding"), length), d.column("vec_id").to_numpy(), k)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = (left.groupBy(*key).cogroup(right.groupBy(*key))
-             .applyInArrow(rank, "query_id bigint, vec_id bigint, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return (left.groupBy(*key).cogroup(right.groupBy(*key))
+            .applyInArrow(rank, "query_id bigint, vec_id bigint, score double"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,18 @@ def test_graph_bisection_finds_two_cliques():
     a = [(i, j) for c in (0, 10) for i in range(c, c + 10) for j in range(c, c + 10) if i < j] + [(0, 10)]
     side = partitions.bisect(20, *np.array(a).T, seed=1)
     assert len(set(side[:10].tolist())) == 1 == len(set(side[10:].tolist())) and side[0] != side[10]
+
+
+def test_a_query_in_a_sparse_partition_finds_the_rest(spark, tables, monkeypatch):
+    V = vectors(400)
+    V[0] = 50 * np.eye(16, dtype=np.float32)[3]
+
+    def sends_all_but_the_query_to_one(X, n_rows, k):
+        far = np.zeros((16, 1))
+        far[3] = 1.0
+        return partitions.Router(far, np.array([-0.999]), np.array([[0.0, 1000.0]]), np.array([0.5, 0.0])), 1
+
+    monkeypatch.setattr(partitions, "fit_index", sends_all_but_the_query_to_one)
+    rows = partitions.op5(spark, tables(embeddings=[(i, v.tolist(), 0) for i, v in enumerate(V)])).collect()
+    true = brute(V, list(range(400)), [0])
+    assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == 0] == true[0]
