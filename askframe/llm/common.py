@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def typed(keep: str) -> list[Column]:
+    """The columns of a schema text (``"doc_id bigint, y int"``), cast to its types."""
+    return [F.col(name).cast(kind).alias(name) for name, kind in (x.split() for x in keep.split(", "))]
+
+
 def in_fold(doc_id: Column, modulus: int, rest: int) -> Column:
     """Whether ``crc32(doc_id as text) mod modulus = rest`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == rest

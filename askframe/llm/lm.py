@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from askframe.llm import common
 
 END = "\n"  # cannot be a word
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 OWN_CLASSES, ENDING_CLASSES = 384, 128
 CLASSES = OWN_CLASSES + ENDING_CLASSES
 START = CLASSES  # a context before the first token
@@ -218,7 +218,7 @@ def _train_rows(batch: pa.RecordBatch, own: dict[str, int]):
             yield one[train], two[train], classes[train], row["block"]
 
 
-def train(table: DataFrame, own: dict[str, int], noise: np.ndarray, warm_blocks: int = 2) -> Model:
+def train(table: DataFrame, own: dict[str, int], noise: np.ndarray, warm_blocks: int = 4) -> Model:
     """Fit the classes' vectors on all training tokens of ``table``.
 
     A task fits a common start with ``START_STEPS`` small updates on
@@ -284,9 +284,14 @@ def score(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS) -> DataFr
     counts = common.written(words.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
     top = [r["token"] for r in counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(OWN_CLASSES - 1).collect()]
     own = {END: 0} | {t: i + 1 for i, t in enumerate(top)}
-    names = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))
-    classed = F.coalesce(F.try_element_at(names, F.col("token")).cast("int"), ending_class_column(F.col("token")))
-    totals = counts.groupBy(classed.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    own_rows = docs.sparkSession.createDataFrame(list(own.items()), "token string, own int")
+
+    def classed(df: DataFrame) -> DataFrame:
+        """``df`` with the class ``k`` of ``token``; the words with classes of their own are OWN_CLASSES rows at most."""
+        return (df.join(F.broadcast(own_rows), "token", "left")
+                .withColumn("k", F.coalesce("own", ending_class_column(F.col("token")))).drop("own"))
+
+    totals = classed(counts).groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in totals:
         n_class[r["k"]], v_class[r["k"]] = r["n"], r["v"]
@@ -314,8 +319,8 @@ def score(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS) -> DataFr
                          "train_tokens": np.full(len(lengths), total, dtype=np.int64),
                          "base_score": np.add.reduceat(base[ids], starts), "score": np.add.reduceat(p, starts)})
 
-    known = (words.select("block", "pos", "token").join(counts, "token", "left")
-             .select(F.col("block").alias("of_block"), "pos", F.coalesce("c", F.lit(0)).alias("c"), classed.alias("k")))
+    known = (classed(words.select("block", "pos", "token").join(counts, "token", "left"))
+             .select(F.col("block").alias("of_block"), "pos", F.coalesce("c", F.lit(0)).alias("c"), "k"))
     texts = table.select("block", "ids", "n_ids", "doc_ids", "held_out", "lengths")
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -35,7 +35,7 @@ def text_statistics(docs: DataFrame, keep: str = "doc_id bigint") -> DataFrame:
                                              kept + [f"s_{x}" for x in docstats.FEATURES])
 
     schema = keep + ", " + STATS_SCHEMA.split(", ", 1)[1]
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*common.typed(keep), "text").mapInArrow(run, schema)
 
 
 class RuleModel:

@@ -71,7 +71,7 @@ def measured(docs: DataFrame, keep: str = "doc_id bigint") -> DataFrame:
                 kept + COUNTS + [f"x_{n}" for n in NAMES])
 
     schema = ", ".join([keep, *(f"{c} bigint" for c in COUNTS), *(f"x_{n} double" for n in NAMES)])
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*common.typed(keep), "text").mapInArrow(run, schema)
 
 
 def table_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def judge(docs: DataFrame, model: trees.Trees, threshold: float = 0.3) -> DataFr
                  pa.array(~failed & (score >= threshold)), pa.array(score)], names)
 
     schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), "base_failed boolean", "kept boolean", "score double"])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*common.typed("doc_id bigint"), "text").mapInArrow(run, schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
