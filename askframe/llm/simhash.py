@@ -216,12 +216,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     rows = common.written(fingerprints(docs, shingle), "fingerprints")
     distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct.select("fp"), distance))
-    # only linked fingerprints need their component's smallest id; written apart, so that Spark can split a hot component
+    # only linked fingerprints need their component's smallest id; sides written apart, so that Spark can split hot keys
     nodes = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
     linked = common.written(nodes.join(distinct, "fp"), "linked")
     least = common.written(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     found = linked.join(least, "root").select("fp", "component_id")
-    of = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    of = common.written(distinct.join(found, "fp", "left")
+                        .select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components-of")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
