@@ -29,51 +29,40 @@ from askframe.session import ship_package
 _TOKEN = re.compile(r"[^\W_]+")  # in Python: letters and digits of every script, [\p{L}\p{N}]+ elsewhere
 _SPLIT = r"[^\p{L}\p{N}]+"
 _CACHE_MAX = 1 << 20
-_SLICE_CHARS = 1 << 22  # texts whose tokens are held at once
 
 
 def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-def _counts_for(texts, dim: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+class _Buckets(dict):
+    """Bucket of each token met by a worker; md5 runs once per distinct token, up to a bound on what is kept."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _CACHE_MAX:
+            self.clear()
+        bucket = self[token] = token_bucket(token, self.dim)
+        return bucket
+
+
+def _counts_for(texts, dim: int, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts for a batch of texts: ``(n x dim int32 counts, n int64 squared norms)``.
 
-    Tokens are factorised by slices of about ``_SLICE_CHARS`` characters, so md5 runs once
-    per distinct token of a slice (and once per worker for tokens in ``cache``), and a batch
-    of long texts needs memory for one slice of tokens.
+    Only one text's tokens are held at a time.
     """
-    n = len(texts)
-    counts = np.zeros((n, dim), dtype=np.int64)
-    start = chars = 0
+    counts = np.zeros((len(texts), dim), dtype=np.int64)
     for i, t in enumerate(texts):
-        chars += len(t) if t is not None else 0
-        if chars >= _SLICE_CHARS or i == n - 1:
-            counts[start:i + 1] = _slice_counts(texts[start:i + 1], dim, cache)
-            start, chars = i + 1, 0
+        tokens = _TOKEN.findall(t.lower()) if t is not None else []
+        if tokens:
+            found = np.fromiter(map(buckets.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            counts[i] = np.bincount(found, minlength=dim)
     return counts.astype(np.int32), (counts * counts).sum(axis=1)
 
 
-def _slice_counts(texts, dim: int, cache: dict) -> np.ndarray:
-    n = len(texts)
-    per_doc = [_TOKEN.findall(t.lower()) if t is not None else [] for t in texts]
-    lens = np.fromiter((len(t) for t in per_doc), dtype=np.int64, count=n)
-    counts = np.zeros((n, dim), dtype=np.int64)
-    if lens.sum() > 0:
-        codes, uniques = pd.factorize(pd.Series([tok for toks in per_doc for tok in toks], dtype=object))
-        ub = np.empty(len(uniques), dtype=np.int64)
-        for i, tok in enumerate(uniques):
-            b = cache.get(tok)
-            if b is None:
-                b = token_bucket(tok, dim)
-                if len(cache) < _CACHE_MAX:
-                    cache[tok] = b
-            ub[i] = b
-        flat = np.repeat(np.arange(n, dtype=np.int64), lens) * dim + ub[codes]
-        counts = np.bincount(flat, minlength=n * dim).reshape(n, dim)
-    return counts
-
-
 def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
                    dim: int = rules.VECTOR_SIZE, engine: str = "arrow",
                    outputs: tuple[str, ...] = ("tf", "sq", "embedding")) -> DataFrame:
@@ -93,9 +82,9 @@ def hashed_vectors(df: DataFrame, text_col: str, keep_cols: list[str],
     schema = T.StructType([df.schema[c] for c in keep_cols] + [T.StructField(c, kinds[c]) for c in outputs])
 
     def run(batches):
-        cache: dict = {}
+        buckets = _Buckets(dim)
         for pdf in batches:
-            counts, sqs = _counts_for(pdf[text_col].tolist(), dim, cache)
+            counts, sqs = _counts_for(pdf[text_col].tolist(), dim, buckets)
             out = pdf[keep_cols].copy()
             if "tf" in outputs:
                 out["tf"] = list(counts)

@@ -28,11 +28,12 @@ def test_every_script_has_tokens(spark):
     assert first == got
 
 
-def test_slices_do_not_change_counts(monkeypatch):
+def test_what_is_remembered_does_not_change_counts(monkeypatch):
     import numpy as np
     from askframe.operators import embed
     texts = ["a b c", None, "d " * 50, "", "a"]
-    whole = embed._counts_for(texts, 16, {})
-    monkeypatch.setattr(embed, "_SLICE_CHARS", 5)
-    small = embed._counts_for(texts, 16, {})
+    whole = embed._counts_for(texts, 16, embed._Buckets(16))
+    monkeypatch.setattr(embed, "_CACHE_MAX", 2)
+    small = embed._counts_for(texts, 16, embed._Buckets(16))
     assert all(np.array_equal(a, b) for a, b in zip(whole, small))
+    assert whole[0][0].sum() == 3 and whole[0][2].max() == 50 and whole[1].tolist()[1] == 0
