@@ -50,7 +50,8 @@ _SHIP_LOCK = threading.Lock()
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master  # "local-cluster" has executors of its own: not local
+    return master == "local" or master.startswith("local[")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
