@@ -30,7 +30,7 @@ from askframe.llm import common, quality_classifier, trees
 MAX_TERMS, MAX_FUZZY = 4000, 600   # lexicon size, and how many of its terms are matched with edits
 EVIDENCE = 9.0                     # log-likelihood ratio a term needs
 STEM_LETTERS = range(4, 9)
-CACHE_WORDS, CACHE_STEPS = 300_000, 400_000
+CACHE_WORDS, CACHE_STEPS, CACHE_SETS = 300_000, 400_000, 1_000_000
 
 # Common stand-ins for letters, and quotation marks.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -61,8 +61,8 @@ class Matcher:
     """The product of a lexicon trie and its terms' Levenshtein automata, made deterministic as it is used.
 
     A state is the set of (trie node, edits so far) that the letters read can
-    have reached; steps are remembered, so most words cost a few lookups.  The
-    first letter must be right.
+    have reached; steps are remembered up to a bound, so most words cost a few
+    lookups.  Edits are allowed at any letter, the first one too.
     """
 
     def __init__(self, words: list[str], stems: list[str], fuzzy: list[str], clean: set[str] = frozenset()):
@@ -82,6 +82,7 @@ class Matcher:
 
     def _insert(self, term: str, edits: int = 0) -> int:
         at = 0
+        self.limit[0] = max(self.limit[0], edits)
         for ch in term:
             if ch not in self.children[at]:
                 self.children[at][ch] = len(self.children)
@@ -97,6 +98,7 @@ class Matcher:
         self.sets: list[frozenset] = []
         self.steps: dict[tuple[int, str], int] = {}
         self.kinds: list[int] = []
+        self.held = 0  # numbers in all sets
         self.start = self._state({(0, 0)})
 
     def _state(self, reached: set[tuple[int, int]]) -> int:
@@ -107,12 +109,12 @@ class Matcher:
             if best.get(node, 9) <= e:
                 continue
             best[node] = e
-            if node:
-                todo += [(c, e + 1) for c in self.children[node].values() if e < self.limit[c]]
+            todo += [(c, e + 1) for c in self.children[node].values() if e < self.limit[c]]
         key = frozenset(best.items())
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.held += len(key)
             found = [e for node, e in key if self.ends[node] >= e]
             exact = any(self.word[node] and e == 0 for node, e in key) or 0 in found
             self.kinds.append(EXACT if exact else (EDIT1 if min(found) == 1 else EDIT2) if found else 0)
@@ -124,43 +126,32 @@ class Matcher:
             child = self.children[node].get(ch)
             if child is not None:
                 reached.add((child, e))
-            if node and e < self.limit[node]:
+            if e < self.limit[node]:
                 reached.add((node, e + 1))  # one letter too many
-            if node:
-                reached.update((c, e + 1) for c in self.children[node].values() if e < self.limit[c])  # another letter
+            reached.update((c, e + 1) for c in self.children[node].values() if e < self.limit[c])  # another letter
         to = self._state(reached) if reached else -1
         self.steps[state, ch] = to
         return to
 
     def kind(self, word: str) -> int:
         """EXACT, STEM, EDIT1, EDIT2, or 0 for no match."""
-        if len(self.steps) > CACHE_STEPS:
+        if len(self.steps) > CACHE_STEPS or self.held > CACHE_SETS:
             self._forget()
         state, node, stem = self.start, 0, False
         for ch in word:
             if node is not None:
                 node = self.children[node].get(ch)
                 stem = stem or (node is not None and self.stem[node])
-            state = self.steps.get((state, ch))  if state >= 0 else -1
-            if state is None:
-                return self._slow(word)
-            if state < 0 and node is None:
+            if state >= 0:
+                to = self.steps.get((state, ch))
+                state = self._step(state, ch) if to is None else to
+            elif node is None:
                 break
         found = self.kinds[state] if state >= 0 else 0
         if found == EXACT:
             return EXACT
         return STEM if stem else 0 if found and word in self.clean else found
 
-    def _slow(self, word: str) -> int:
-        """Builds the steps that ``kind`` missed, then asks again."""
-        state = self.start
-        for ch in word:
-            to = self.steps.get((state, ch))
-            state = self._step(state, ch) if to is None else to
-            if state < 0:
-                break
-        return self.kind(word)
-
 
 class Kinds(dict):
     """Kind of each raw word, remembered up to a bound."""

@@ -152,6 +152,24 @@ def test_automaton_equals_edit_distance():
         assert m.kind(w) == want, (w, near)
 
 
+def test_automaton_allows_edits_at_the_first_letter(monkeypatch):
+    terms = ["stupid", "idiot", "gromblat", "abominables", "cat"]
+    m = toxicity.Matcher(terms, [], terms)
+    assert [m.kind(w) for w in ("ztupid", "tupid", "xidiot", "diot", "bat", "xxabominables")] == [toxicity.EDIT1] * 4 + [0, toxicity.EDIT2]
+    monkeypatch.setattr(toxicity, "CACHE_SETS", 50)  # what is forgotten is built again
+    draw, letters = np.random.default_rng(5), "abdgiopstuz"
+    for _ in range(3000):
+        w = list(terms[draw.integers(len(terms))])
+        for _ in range(draw.integers(0, 4)):
+            at, what = int(draw.integers(0, len(w))), draw.integers(3)
+            w[at:at + (what > 0)] = [letters[draw.integers(len(letters))]] if what < 2 else []
+            w = w or ["a"]
+        w = "".join(w)
+        near = [edit_distance(w, t) for t in terms if edit_distance(w, t) <= toxicity.edits_allowed(t)]
+        want = 0 if not near else {0: toxicity.EXACT, 1: toxicity.EDIT1, 2: toxicity.EDIT2}[min(near)]
+        assert m.kind(w) == want, (w, near)
+
+
 def test_misspelled_stand_ins_stems_and_quotes():
     kinds = toxicity.Kinds(toxicity.Matcher(["snarkel"], ["grom"], ["snarkel"], {"snarke"}))
     f = dict(zip(toxicity.FEATURES, toxicity.hit_counts(b"you Snarkel!! and sn4rkel, snarkl snarke gromette", kinds)))
