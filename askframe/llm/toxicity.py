@@ -30,6 +30,7 @@ from askframe.llm import common, quality_classifier, trees
 MAX_TERMS, MAX_FUZZY = 4000, 600   # lexicon size, and how many of its terms are matched with edits
 EVIDENCE = 9.0                     # log-likelihood ratio a term needs
 STEM_LETTERS = range(4, 9)
+PLACE_ROWS = 200_000  # (term, place) pairs a worker gathers before it hands them on
 CACHE_WORDS, CACHE_STEPS, CACHE_SETS = 300_000, 400_000, 1_000_000
 
 # Common stand-ins for letters, and quotation marks.
@@ -210,35 +211,47 @@ class ToxicModel:
 
 
 def term_contexts(sample: DataFrame) -> DataFrame:
-    """(term, stem, t0, c0, t1, c1): where a term occurs in texts of label 1 (t) and 0 (c), for each half of the sample.
+    """(term, stem, t0, c0, t1, c1, t, c): in how many places a term occurs in texts of label 1 (t) and 0 (c).
 
-    Places are told apart by a bit of 64, so copies of a text add nothing: for a
-    word the bit comes from the word before it, for a stem from the whole word.
+    Counted for each half of the sample and for both.  Copies of a text add
+    nothing: for a word the place is a hash of the word before it, for a stem
+    the whole word.  Each place counts once, however many there are.
     """
     def run(batches):
+        def rows(seen: dict[tuple[str, int], int], words: dict[str, int]) -> pa.RecordBatch:
+            stems: dict[tuple[str, int], int] = {}
+            for w, mask in words.items():
+                place = zlib.crc32(w.encode())
+                for k in STEM_LETTERS:
+                    if k < len(w):
+                        stems[w[:k], place] = stems.get((w[:k], place), 0) | mask
+            keys = [*seen, *stems]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([False] * len(seen) + [True] * len(stems), pa.bool_()),
+                 pa.array([k[1] for k in keys], pa.int64()), pa.array([*seen.values(), *stems.values()], pa.int32())],
+                ["term", "stem", "place", "mask"])
+
         for batch in batches:
-            seen: dict[tuple[str, bool], list[int]] = {}
+            seen: dict[tuple[str, int], int] = {}
+            words: dict[str, int] = {}
             for y, half, raw in zip(batch.column("y").to_pylist(), batch.column("half").to_pylist(),
                                     batch.column("text").cast(pa.binary()).to_pylist()):
-                slot, before = 2 * half + (1 - y), 0
+                slot, before = 1 << (2 * half + (1 - y)), 0
                 for word in (raw or b"").split():
                     w = plain(word)
-                    own = zlib.crc32(word) & 63
                     if 3 <= len(w) <= 40 and w[0].isalpha():
-                        seen.setdefault((w, False), [0, 0, 0, 0])[slot] |= 1 << before
-                        bit = 1 << (zlib.crc32(w.encode()) & 63)
-                        for k in STEM_LETTERS:
-                            if k < len(w):
-                                seen.setdefault((w[:k], True), [0, 0, 0, 0])[slot] |= bit
-                    before = own
-            masks = np.array(list(seen.values()), dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), *(pa.array(m) for m in masks.T.copy())],
-                ["term", "stem", "t0", "c0", "t1", "c1"])
-
-    masks = ["t0", "c0", "t1", "c1"]
-    return (sample.mapInArrow(run, "term string, stem boolean, t0 bigint, c0 bigint, t1 bigint, c1 bigint")
-            .groupBy("term", "stem").agg(*(F.bit_or(m).alias(m) for m in masks)))
+                        seen[w, before] = seen.get((w, before), 0) | slot
+                        words[w] = words.get(w, 0) | slot
+                    before = zlib.crc32(word)
+                if len(seen) > PLACE_ROWS:
+                    yield rows(seen, words)
+                    seen, words = {}, {}
+            yield rows(seen, words)
+
+    of = {"t0": 1, "c0": 2, "t1": 4, "c1": 8, "t": 5, "c": 10}
+    places = (sample.mapInArrow(run, "term string, stem boolean, place bigint, mask int")
+              .groupBy("term", "stem", "place").agg(F.bit_or("mask").alias("mask")))
+    return places.groupBy("term", "stem").agg(*(F.count_if(F.col("mask").bitwiseAND(F.lit(m)) != 0).alias(x) for x, m in of.items()))
 
 
 def pick_terms(contexts: DataFrame, t: Column, c: Column, share: float) -> tuple[list[str], list[str], list[str]]:
@@ -303,10 +316,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int =
     sizes = {r["y"]: float(r["n"] or 0) for r in sample.groupBy("y").agg(F.sum(F.length("text")).alias("n")).collect()}
     share = (sizes.get(1, 0.0) + 1) / (sum(sizes.values()) + 2)
     contexts = common.written(term_contexts(sample), "toxic-terms")
-    t = {h: F.bit_count(f"t{h}") for h in (0, 1)}
-    c = {h: F.bit_count(f"c{h}") for h in (0, 1)}
-    halfway = ToxicModel(*pick_terms(contexts, t[0], c[0], share))
-    halfway.clean = known_clean(contexts, t[0], c[0], halfway)
+    halfway = ToxicModel(*pick_terms(contexts, F.col("t0"), F.col("c0"), share))
+    halfway.clean = known_clean(contexts, F.col("t0"), F.col("c0"), halfway)
 
     def run(batches):
         kinds = halfway.kinds()
@@ -318,10 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int =
 
     rows = (sample.where("half = 1").mapInArrow(run, "doc_id bigint, y int, " + ", ".join(f"{f} double" for f in FEATURES))
             .orderBy("doc_id").toPandas())
-    both_t = F.bit_count(F.col("t0").bitwiseOR(F.col("t1")))
-    both_c = F.bit_count(F.col("c0").bitwiseOR(F.col("c1")))
-    model = ToxicModel(*pick_terms(contexts, both_t, both_c, share))
-    model.clean = known_clean(contexts, both_t, both_c, model)
+    model = ToxicModel(*pick_terms(contexts, F.col("t"), F.col("c"), share))
+    model.clean = known_clean(contexts, F.col("t"), F.col("c"), model)
     if len(rows):
         model.weights = fit_weights(rows[FEATURES].to_numpy(dtype=np.float64), rows["y"].to_numpy(dtype=np.float64))
     return model

@@ -170,6 +170,16 @@ def test_automaton_allows_edits_at_the_first_letter(monkeypatch):
         assert m.kind(w) == want, (w, near)
 
 
+def test_a_term_in_many_toxic_places_may_be_in_some_clean_ones(spark):
+    rows = [(i, f"w{i}x gromblat", 1, i % 2) for i in range(400)] + [(1000 + i, f"v{i}x gromblat", 0, i % 2) for i in range(12)]
+    rows += [(2000 + i, "w0x gromblat", 1, i % 2) for i in range(5)]  # copies of a place count once
+    contexts = toxicity.term_contexts(spark.createDataFrame(rows, "doc_id long, text string, y int, half int"))
+    r = contexts.where("term = 'gromblat' and not stem").first()
+    assert (r["t0"], r["c0"], r["t1"], r["c1"], r["t"], r["c"]) == (200, 6, 201, 6, 400, 12)  # w0x in both halves
+    words, _, _ = toxicity.pick_terms(contexts, F.col("t"), F.col("c"), 0.5)
+    assert words == ["gromblat"]
+
+
 def test_misspelled_stand_ins_stems_and_quotes():
     kinds = toxicity.Kinds(toxicity.Matcher(["snarkel"], ["grom"], ["snarkel"], {"snarke"}))
     f = dict(zip(toxicity.FEATURES, toxicity.hit_counts(b"you Snarkel!! and sn4rkel, snarkl snarke gromette", kinds)))
