@@ -17,6 +17,7 @@ lexicon is empty and all texts score alike.  Other columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
@@ -36,7 +37,15 @@ CACHE_WORDS, CACHE_STEPS, CACHE_SETS = 300_000, 400_000, 1_000_000
 # Common stand-ins for letters, and quotation marks.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 OPENING, CLOSING = "\"'“„«‘‚‹", "\"'”“»’‘›"
-EDGES = re.compile(r"^[^\w@$]+|[^\w]+$")
+EDGES = re.compile(r"^(?:[^\w@$]|_)+|[\W_]+$")
+# Letter runs of any script: letters, digits, stand-ins, and the marks and joiners that belong to letters.
+MARKS = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c) in ("Mn", "Mc")) + "\u200c\u200d"
+RUN = re.compile(rf"(?:[^\W_]|[@${MARKS}])+")
+ASCII_RUN = re.compile(rb"[A-Za-z0-9@$]+")
+# Scripts without spaces: windows of so many letters stand for words.
+UNSPACED = re.compile("(?P<w2>[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)"
+                      "|(?P<w4>[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]+)")
+APOSTROPHES = "'’‘"
 QUOTE_BYTES = re.compile("|".join(sorted(set(OPENING + CLOSING))).encode())
 
 FEATURES = ["any_open", "log_open", "rate", "log_runs", "edit_share", "log_quoted"]
@@ -51,6 +60,56 @@ def plain(word: bytes) -> str:
     return w.translate(STAND_INS) if any(c.isalpha() for c in w) else w
 
 
+def split_words(word: bytes) -> list[bytes]:
+    """The words of one token without ASCII space: its letter runs, with the marks beside them.
+
+    Of the marks between two runs, an opening quotation mark goes to the run
+    after it and the rest to the run before; a lone apostrophe goes to neither.
+    In scripts without spaces, overlapping windows of letters are words.
+    """
+    if word.isascii() and len(ASCII_RUN.findall(word)) < 2:
+        return [word]
+    text = word.decode("utf-8", "replace")
+    spans = [m.span() for m in RUN.finditer(text)]
+    spaced = UNSPACED.search(text) is None
+    if len(spans) < 2 and spaced:
+        return [word]
+    out, before, inside = [], text[:spans[0][0]] if spans else "", False
+    for i, (a, b) in enumerate(spans):
+        gap = text[b:spans[i + 1][0]] if i + 1 < len(spans) else text[b:]
+        after, following = gap, ""
+        if i + 1 < len(spans):
+            inside ^= (before.count('"') & 1) == 1
+            if len(gap) == 1 and gap in APOSTROPHES:
+                after = ""
+            elif gap[-1] in OPENING and (gap[-1] not in CLOSING or len(gap) > 1 or not inside):
+                after, following = gap[:-1], gap[-1]
+            inside ^= (after.count('"') & 1) == 1
+        after = after[:max(map(after.rfind, CLOSING)) + 1]
+        parts = [text[a:b]] if spaced else windows(text[a:b])
+        parts[0] = before + parts[0]
+        parts[-1] += after
+        out += [p.encode("utf-8", "replace") for p in parts]
+        before = following
+    return out or [word]
+
+
+def windows(run: str) -> list[str]:
+    """A letter run, with its stretches of scripts without spaces as windows of letters."""
+    out, done = [], 0
+    for m in UNSPACED.finditer(run):
+        if m.start() > done:
+            out.append(run[done:m.start()])
+        part, n = m.group(), 2 if m.group("w2") else 4
+        out += [part[i:i + n] for i in range(max(1, len(part) - n + 1))]
+        done = m.end()
+    return out + ([run[done:]] if done < len(run) else [])
+
+
+def least_letters(word: str) -> int:
+    return 2 if UNSPACED.match(word) else 3
+
+
 def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -155,15 +214,38 @@ class Matcher:
 
 
 class Kinds(dict):
-    """Kind of each raw word, remembered up to a bound."""
+    """Kind of each raw token, remembered up to a bound.
+
+    A token of several words that are not to be looked up as one gets
+    ``-(2 * words + 1)`` if one of them matches, otherwise ``-2 * words``.
+    """
 
     def __init__(self, matcher: Matcher):
         self.matcher = matcher
+        self.words: dict[bytes, int] = {}
+
+    def word(self, word: bytes) -> int:
+        kind = self.words.get(word)
+        if kind is None:
+            kind = self.matcher.kind(plain(word))
+            if len(word) < 200:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[word] = kind
+        return kind
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        kind = self[word] = self.matcher.kind(plain(word)) if len(word) < 200 else 0
+    def __missing__(self, token: bytes) -> int:
+        words = split_words(token)
+        if len(words) == 1:
+            kind = self.matcher.kind(plain(token))
+        elif any(map(self.word, words)):
+            kind = -(2 * len(words) + 1)
+        else:  # marks may stand inside a word
+            kind = self.matcher.kind(plain(token)) or -2 * len(words)
+        if len(token) < 200:  # longer ones are not remembered
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[token] = kind
         return kind
 
 
@@ -179,10 +261,14 @@ def quoted(words: list[bytes], at: int, window: int = 12) -> bool:
 def hit_counts(raw: bytes, kinds: Kinds, window: int = 10) -> list[float]:
     """``FEATURES`` of one text."""
     words = raw.split()
-    found = np.fromiter(map(kinds.__getitem__, words), dtype=np.int8, count=len(words))
-    at = np.flatnonzero(found)
-    if not len(at):
+    found = np.fromiter(map(kinds.__getitem__, words), dtype=np.int64, count=len(words))
+    if not ((found > 0) | (found < 0) & (found % 2 == 1)).any():
         return [0.0] * len(FEATURES)
+    if (found < 0).any():  # tokens of several words: each word has its place
+        split = [split_words(w) if k < 0 else [w] for w, k in zip(words, found.tolist())]
+        found = np.fromiter((k if k >= 0 else kinds.word(w) for ws, k in zip(split, found.tolist()) for w in ws), dtype=np.int64)
+        words = [w for ws in split for w in ws]
+    at = np.flatnonzero(found)
     inside = np.zeros(len(at), dtype=bool)
     if QUOTE_BYTES.search(raw):
         inside = np.fromiter((quoted(words, i) for i in at.tolist()), dtype=bool, count=len(at))
@@ -210,6 +296,14 @@ class ToxicModel:
         return trees.sigmoid(self.weights[0] + X @ self.weights[1:])
 
 
+def learned(token: bytes) -> list[tuple[str, int | None]]:
+    """The words of a token as (word or "" if it is no term, its hash as a place); first the whole token, if it has several."""
+    words = split_words(token)
+    whole = [token] if len(words) > 1 and len(token) < 200 else []
+    terms = [w if least_letters(w) <= len(w) <= 40 and w[0].isalpha() else "" for w in map(plain, whole + words)]
+    return list(zip(terms, [None] * len(whole) + list(map(zlib.crc32, words))))
+
+
 def term_contexts(sample: DataFrame) -> DataFrame:
     """(term, stem, t0, c0, t1, c1, t, c): in how many places a term occurs in texts of label 1 (t) and 0 (c).
 
@@ -218,6 +312,8 @@ def term_contexts(sample: DataFrame) -> DataFrame:
     the whole word.  Each place counts once, however many there are.
     """
     def run(batches):
+        known: dict[bytes, list[tuple[str, int | None]]] = {}
+
         def rows(seen: dict[tuple[str, int], int], words: dict[str, int]) -> pa.RecordBatch:
             stems: dict[tuple[str, int], int] = {}
             for w, mask in words.items():
@@ -237,12 +333,19 @@ def term_contexts(sample: DataFrame) -> DataFrame:
             for y, half, raw in zip(batch.column("y").to_pylist(), batch.column("half").to_pylist(),
                                     batch.column("text").cast(pa.binary()).to_pylist()):
                 slot, before = 1 << (2 * half + (1 - y)), 0
-                for word in (raw or b"").split():
-                    w = plain(word)
-                    if 3 <= len(w) <= 40 and w[0].isalpha():
-                        seen[w, before] = seen.get((w, before), 0) | slot
-                        words[w] = words.get(w, 0) | slot
-                    before = zlib.crc32(word)
+                for token in (raw or b"").split():
+                    words_in = known.get(token)
+                    if words_in is None:
+                        words_in = learned(token)
+                        if len(token) < 200:
+                            if len(known) >= CACHE_WORDS:
+                                known.clear()
+                            known[token] = words_in
+                    for w, place in words_in:
+                        if w:
+                            seen[w, before] = seen.get((w, before), 0) | slot
+                            words[w] = words.get(w, 0) | slot
+                        before = before if place is None else place
                 if len(seen) > PLACE_ROWS:
                     yield rows(seen, words)
                     seen, words = {}, {}

@@ -191,6 +191,32 @@ def test_misspelled_stand_ins_stems_and_quotes():
     assert f["any_open"] == 1
 
 
+def test_words_without_ascii_spaces_count_as_words():
+    m = lambda: toxicity.Kinds(toxicity.Matcher(["snarkel", "gromblat", "मूर्ख", "笨蛋"], [], ["snarkel"]))
+    words = ["ba"] * 40 + ["snarkel", "do", "gromblat", "मूर्ख"] + ["lu"] * 60
+    want = toxicity.hit_counts(" ".join(words).encode(), m())
+    assert want[0] == 1 and want[1] == np.log1p(3)
+    for sep in (",", "/", "-", "\u00a0", "_", "、", "\u2003"):
+        text = sep.join(words).encode()
+        assert len(text) > 200 and toxicity.hit_counts(text, m()) == want, sep
+    assert math.isclose(math.expm1(toxicity.hit_counts(("你是个笨蛋吗" * 50).encode(), m())[1]), 50)
+    # marks inside a word are still edits, whole tokens still one word
+    assert toxicity.hit_counts(b"you snar*kel", m())[:2] == [1.0, np.log1p(0.8)]
+    assert toxicity.hit_counts(b"x" * 500 + b" y", m()) == [0.0] * 6
+    f = toxicity.hit_counts('He/said:"what,a,snarkel"/and,left'.encode(), m())
+    assert f[0] == 0 and f[5] > 0
+    f = toxicity.hit_counts('"don\'t/be,a,snarkel"'.encode(), m())
+    assert f[0] == 0 and f[5] > 0
+    assert toxicity.hit_counts('ba"lu"snarkel"do"me'.encode(), m())[0] == 1
+
+
+def test_words_without_ascii_spaces_are_learned(spark):
+    rows = [(i, f"ba{i}x,gromblat/lu f*zt\u00a0do", 1, 0) for i in range(9)] + [(50 + i, f"v{i}x lu do", 0, 0) for i in range(9)]
+    contexts = toxicity.term_contexts(spark.createDataFrame(rows, "doc_id long, text string, y int, half int"))
+    t = {r["term"]: r["t"] for r in contexts.where("not stem").collect()}
+    assert t["gromblat"] == 9 and t["f*zt\u00a0do"] == 1
+
+
 def test_quoted_insult_scores_below_open_one_and_misspelling_above_clean(spark, folder):
     model = toxicity.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"),
                            common.in_fold(F.col("doc_id"), 4, 2))
