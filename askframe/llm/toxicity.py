@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from askframe.llm import common, quality_classifier, trees
 
-MAX_TERMS, MAX_FUZZY = 4000, 600   # lexicon size, and how many of its terms are matched with edits
 EVIDENCE = 9.0                     # log-likelihood ratio a term needs
 STEM_LETTERS = range(4, 9)
 PLACE_ROWS = 200_000  # (term, place) pairs a worker gathers before it hands them on
@@ -360,21 +359,21 @@ def term_contexts(sample: DataFrame) -> DataFrame:
 def pick_terms(contexts: DataFrame, t: Column, c: Column, share: float) -> tuple[list[str], list[str], list[str]]:
     """Words, stems and words for fuzzy matching whose places lie in texts of label 1 beyond chance.
 
-    ``share`` is label 1's share of the sample's text.  At most ``MAX_TERMS`` of each kind.
+    ``share`` is label 1's share of the sample's text.  The sample is bounded, and so are its terms.
     """
     n = t + c
     part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
     rows = (contexts.withColumn("t", t.cast("double")).withColumn("c", c.cast("double"))
             .withColumn("g", part(F.col("t"), share) + part(F.col("c"), 1 - share))
             .where((F.col("g") >= EVIDENCE) & (F.col("t") >= 3) & (F.col("t") >= 6 * F.col("c"))))
-    top = lambda stem: [r["term"] for r in rows.where(F.col("stem") == stem).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
+    top = lambda stem: [r["term"] for r in rows.where(F.col("stem") == stem).orderBy(F.desc("g"), "term").collect()]
     words, stems = top(False), []
     kept: set[str] = set()
     for s in sorted(top(True), key=lambda s: (len(s), s)):  # the shortest stem stands for the longer ones
         if not any(s[:k] in kept for k in range(1, len(s))):
             kept.add(s)
             stems.append(s)
-    return words, stems, [w for w in words if edits_allowed(w)][:MAX_FUZZY]
+    return words, stems, [w for w in words if edits_allowed(w)]
 
 
 def known_clean(contexts: DataFrame, t: Column, c: Column, model: ToxicModel) -> list[str]:
@@ -387,7 +386,7 @@ def known_clean(contexts: DataFrame, t: Column, c: Column, model: ToxicModel) ->
             yield batch.filter(pa.array([matcher.kind(w) in (EDIT1, EDIT2) for w in batch.column("term").to_pylist()], pa.bool_()))
 
     rows = contexts.where(~F.col("stem") & (c > 0) & (2 * t < F.lit(6) * c)).select("term").mapInArrow(run, "term string")
-    return [r["term"] for r in rows.orderBy("term").limit(20_000).collect()]
+    return [r["term"] for r in rows.orderBy("term").collect()]
 
 
 def fit_weights(X: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 30) -> np.ndarray:

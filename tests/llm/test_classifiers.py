@@ -217,6 +217,16 @@ def test_words_without_ascii_spaces_are_learned(spark):
     assert t["gromblat"] == 9 and t["f*zt\u00a0do"] == 1
 
 
+def test_all_lexicon_words_are_matched_with_edits(spark):
+    draw = np.random.default_rng(9)
+    terms = sorted({"".join(draw.choice(list("bdfgklmnprstvz"), 9)) for _ in range(900)})
+    contexts = spark.createDataFrame([(t, False, 40, 0) for t in terms], "term string, stem boolean, t long, c long")
+    words, _, fuzzy = toxicity.pick_terms(contexts, F.col("t"), F.col("c"), 0.5)
+    assert sorted(words) == sorted(fuzzy) == terms
+    m = toxicity.Matcher(words, [], fuzzy)
+    assert all(m.kind("a" + t) == toxicity.EDIT1 for t in terms)
+
+
 def test_quoted_insult_scores_below_open_one_and_misspelling_above_clean(spark, folder):
     model = toxicity.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"),
                            common.in_fold(F.col("doc_id"), 4, 2))
