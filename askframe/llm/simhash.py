@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,14 +61,15 @@ def fingerprint(raw: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed 64-bit number."""
+    """(doc_id, h, fp): a hash of the text and the fingerprint of every row, as signed 64-bit numbers."""
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t or b"", shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.asarray(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"),
+                                              pa.array(np.asarray(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 def key_masks(n: int, distance: int, group_rows: int = GROUP_ROWS) -> list[int]:
@@ -211,19 +211,26 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; the component is its smallest reachable doc_id."""
+def grouped(docs: DataFrame, distance: int = 4, shingle: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, fp) and, per distinct fp, (fp, root, first): the component and its least (doc_id, h) with an id."""
     rows = common.written(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
+    distinct = common.written(rows.groupBy("fp").agg(F.min(named).alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), distance))
-    # only linked fingerprints need their component's smallest id; sides written apart, so that Spark can split hot keys
+    # only linked fingerprints need their component's least row; sides written apart, so that Spark can split hot keys
     nodes = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
     linked = common.written(nodes.join(distinct, "fp"), "linked")
-    least = common.written(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    found = linked.join(least, "root").select("fp", "component_id")
+    least = common.written(linked.groupBy("root").agg(F.min("first").alias("least")), "smallest")
+    found = linked.join(least, "root").select("fp", "root", "least")
     of = common.written(distinct.join(found, "fp", "left")
-                        .select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components-of")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+                        .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("first")), "components-of")
+    return rows, of
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; the component is its smallest reachable doc_id."""
+    rows, of = grouped(docs, distance, shingle)
+    return rows.join(of, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,18 +241,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id, columns as they were.
+    """Pipeline stage: of each component the row with the smallest (doc_id, hash of the text), columns as they were.
 
-    Of repeated rows with that id one stays.  Rows without an id stay when no
-    row of their component has one, since nothing tells which is first.
+    Rows that share an id but not the text are told apart; of equal rows one
+    stays.  Rows without an id stay when no row of their component has one,
+    since nothing tells which is first.
     """
     common.ready(spark)
-    found = common.written(near_duplicates(docs), "components")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = (docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one))
-             .where(F.col("__row") == 1).select(*docs.columns))
-    nameless = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
+    _, of = grouped(docs)
+    kept = of.where(F.col("first").isNotNull()).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")).distinct()
+    rows = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__h", F.xxhash64("text"))
+    first = rows.join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    nameless = of.where(F.col("first").isNull()).select(F.col("fp").alias("__fp"))
     if nameless.isEmpty():
         return first
     return first.unionByName(with_fingerprint(docs.where(F.col("doc_id").isNull()))

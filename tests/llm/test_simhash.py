@@ -128,6 +128,16 @@ def test_stage_keeps_one_of_each_group_and_all_columns(spark, tables):
     assert ids.count(None) == 2  # nothing tells which of the two comes first
 
 
+def test_stage_picks_by_row_where_rows_share_an_id(spark, tables):
+    draw = random.Random(6)
+    a, b, c, d = (text(draw, 300) for _ in range(4))
+    # 5 and 7 have two texts each, in two components; 7's first text is a copy of 5's first
+    rows = [(5, a), (5, b), (7, a), (7, c), (8, d), (8, d), (9, b)]
+    folder = tables(documents=[(i, t, "en", "s", 1) for i, t in rows])
+    got = simhash.stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(5, a), (5, b), (7, c), (8, d)])
+
+
 def test_empty_table(spark, tables):
     folder = tables(documents=[])
     assert simhash.op6(spark, folder).collect() == []
