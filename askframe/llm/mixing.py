@@ -3,8 +3,8 @@
 A source with share p of all tokens gets the weight p^a / sum(p^a).  The
 exponent a is bisected until the mixture meets a target: an entropy, or a limit
 on how often a source's documents repeat.  Every weight becomes a quota of
-tokens.  A source's documents are dealt into blocks by a hash of their ids; an
-epoch is a seeded permutation of its blocks; whole epochs are used as often as
+tokens.  A source's documents are dealt into blocks by a hash of id and text,
+equal rows also by a number among themselves; an epoch is a seeded permutation of its blocks; whole epochs are used as often as
 the quota holds them, and the last epoch is cut where the quota ends.
 
 A document's tokens are its words ``[^\\x20\\x09-\\x0D]+``, at least one.  Without a
@@ -15,8 +15,8 @@ shuffle, blocks hold a bounded number of tokens however large a source is, and
 only a few sums over all sources reach the driver.
 
 Defined cases: a null or empty text has one token; a null source is a source;
-documents without an id fall into one block of their source; repeated rows are
-repeated documents; an empty table gives no rows.
+documents without an id are documents like others; repeated rows are repeated
+documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from askframe.llm import common
 BLOCK_TOKENS = 1 << 20
 MAX_REPEAT = 2.0
 SECTIONS = 16
+EQUAL_ROWS = 10_000  # equal rows numbered by one task at a time
 
 
 def _hash(seed: int, salt: str, *columns: Column) -> Column:
@@ -43,11 +44,45 @@ def _source() -> Column:
     return F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
 
 
+def _same() -> Column:
+    """A hash that equal rows share: of source, id and text."""
+    return F.xxhash64(F.lit("row"), _source(), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(__h, n) of the rows of ``rows`` that are not alone with their ``__h``."""
+    return common.written(rows.groupBy("__h").agg(F.count("*").alias("n")).where("n > 1"), "mix-equal")
+
+
+def keyed(rows: DataFrame, equal: DataFrame) -> DataFrame:
+    """``rows`` with a key ``__k`` of each row's own instead of ``__h``: equal rows are numbered from 1.
+
+    ``equal`` has the rows' ``repeated``.  The numbers come in lanes of about
+    ``EQUAL_ROWS`` rows, so that no task gets all rows that are equal.
+    """
+    key = lambda number: F.xxhash64(F.lit("key"), F.col("__h"), number)
+    if equal.isEmpty():
+        return rows.withColumn("__k", key(F.lit(0).cast("bigint"))).drop("__h")
+    alone = rows.join(equal, "__h", "left_anti").withColumn("__k", key(F.lit(0).cast("bigint")))
+    lane = F.pmod(F.col("__r"), F.ceil(F.col("n") / EQUAL_ROWS))
+    many = common.written(rows.withColumn("__r", F.monotonically_increasing_id()).join(equal, "__h")
+                          .withColumn("__lane", lane).drop("n"), "mix-lanes")
+    before = W.partitionBy("__h").orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)
+    lanes = (many.groupBy("__h", "__lane").agg(F.count("*").alias("n"))
+             .select("__h", "__lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__from")))
+    number = F.row_number().over(W.partitionBy("__h", "__lane").orderBy("__r"))
+    many = many.withColumn("__i", number).join(lanes, ["__h", "__lane"]).withColumn("__k", key(F.col("__from") + F.col("__i")))
+    return alone.unionByName(many.select(*alone.columns)).drop("__h")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, __s, tokens) of every row."""
+    """(doc_id, source, __s, tokens, __k) of every row, as a table."""
     words = F.regexp_count("text", F.lit(common.WORD))
-    return docs.select("doc_id", "source", _source().alias("__s"),
-                       F.greatest(F.coalesce(words, F.lit(0)), F.lit(1)).cast("bigint").alias("tokens"))
+    rows = docs.select("doc_id", "source", _source().alias("__s"),
+                       F.greatest(F.coalesce(words, F.lit(0)), F.lit(1)).cast("bigint").alias("tokens"), _same().alias("__h"))
+    rows = common.written(rows, "mix-rows")
+    equal = repeated(rows)
+    return keyed(rows, equal) if equal.isEmpty() else common.written(keyed(rows, equal), "mix-keyed")
 
 
 def solve_exponent(sources: DataFrame, *, entropy: float | None = None, max_repeat: float | None = None,
@@ -121,32 +156,33 @@ def plan(rows: DataFrame, *, entropy: float | None = None, max_repeat: float | N
     uses = common.written(uses, "mix-uses")
     # in a block that the quota cuts, documents come in the order of a hash; those that begin before the end are used
     cut = uses.where("need < block_tokens").select("__s", "block", "epoch", "need")
-    inside = placed.join(cut, ["__s", "block"]).withColumn("__h", _hash(seed, "cut", F.col("doc_id")))
+    inside = placed.join(cut, ["__s", "block"]).withColumn("__h", _hash(seed, "cut", F.col("__k")))
     through = W.partitionBy("__s", "block", "epoch").orderBy("__h")
     last = (inside.withColumn("end", F.sum("tokens").over(through)).where(F.col("end") - F.col("tokens") < F.col("need"))
             .groupBy("__s", "block", "epoch").agg(F.max("__h").alias("last")))
-    uses = uses.join(last, ["__s", "block", "epoch"], "left").select("__s", "block", "epoch", "mix_at", "weight", "last")
+    uses = (uses.withColumn("cut", F.col("need") < F.col("block_tokens")).join(last, ["__s", "block", "epoch"], "left")
+            .select("__s", "block", "epoch", "mix_at", "weight", "cut", "last"))
     return sources, common.written(uses, "mix-plan")
 
 
 def _block(seed: int) -> Column:
-    return F.pmod(_hash(seed, "deal", F.col("doc_id")), F.col("n_blocks"))
+    return F.pmod(_hash(seed, "deal", F.col("__k")), F.col("n_blocks"))
 
 
 def apply_plan(rows: DataFrame, sources: DataFrame, uses: DataFrame, seed: int = 0) -> DataFrame:
-    """``rows`` (with ``__s`` and ``doc_id``), one for each use, with block, epoch, mix_at and weight.
+    """``rows`` (with ``__s`` and ``__k``), one for each use, with block, epoch, mix_at and weight.
 
     Sorted by (mix_at, source, block, in_block), any prefix of the result has about the target weights.
     """
     used = (rows.join(sources.select("__s", "n_blocks"), "__s").withColumn("block", _block(seed)).drop("n_blocks")
             .join(uses, ["__s", "block"]))
-    return (used.where(F.col("last").isNull() | (_hash(seed, "cut", F.col("doc_id")) <= F.col("last"))).drop("last")
-            .withColumn("in_block", _hash(seed, "order", F.col("epoch"), F.col("doc_id"))))
+    return (used.where(~F.col("cut") | (_hash(seed, "cut", F.col("__k")) <= F.col("last"))).drop("cut", "last")
+            .withColumn("in_block", _hash(seed, "order", F.col("epoch"), F.col("__k"))))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with at most ``MAX_REPEAT`` uses each: one row per use."""
-    rows = common.written(sized(common.read(spark, sf_dir, "documents")), "mix-rows")
+    rows = sized(common.read(spark, sf_dir, "documents"))
     sources, uses = plan(rows)
     return apply_plan(rows, sources, uses).select("doc_id", "source", "tokens", "weight", "epoch", "block", "mix_at", "in_block")
 
@@ -157,6 +193,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of the plan have other names than those of the documents: ``docs``
     travels as one struct.
     """
-    sources, uses = plan(common.written(sized(docs), "mix-rows"))
-    whole = docs.select("doc_id", _source().alias("__s"), F.struct(*docs.columns).alias("__row"))
+    sources, uses = plan(sized(docs))
+    whole = docs.select(_source().alias("__s"), _same().alias("__h"), F.struct(*docs.columns).alias("__row"))
+    whole = keyed(whole, repeated(whole.select("__h")))
     return apply_plan(whole, sources, uses).select(*(F.col("__row")[c].alias(c) for c in docs.columns))

@@ -119,6 +119,24 @@ def test_epochs_are_permutations_and_hot_sources_are_cut_into_blocks(spark):
     assert len(order) >= 2 and set(order[0]) >= set(order[1])
 
 
+def test_rows_without_ids_keep_to_quota_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 30)
+    docs = spark.createDataFrame([(i, f"a b c d {i}", "big") for i in range(600)] + [(None, "a b c d e", "null")] * 200
+                                 + [(None, f"a b c d {i}", "texts") for i in range(200)] + [(7, f"a b c d {i}", "hot") for i in range(200)],
+                                 "doc_id long, text string, source string")
+    rows = mixing.sized(docs)
+    assert rows.count() == rows.select("__k").distinct().count() == 1200
+    sources, uses = mixing.plan(rows, max_repeat=1.5, block_tokens=100)
+    got = mixing.apply_plan(rows, sources, uses).collect()
+    for s in sources.where("__s != '=big'").collect():
+        mine = [r for r in got if r["__s"] == s["__s"]]
+        assert s["quota"] == 1500 and 1500 <= 5 * len(mine) < 1505
+        assert len({r["block"] for r in mine}) == 10
+        assert set(Counter(r["__k"] for r in mine).values()) == {1, 2}
+    staged = Counter(r["source"] for r in mixing.stage(spark, docs, "").collect())
+    assert staged == {"big": 600, "null": 400, "texts": 400, "hot": 400}
+
+
 def test_mixing_stage_keeps_columns_and_empty_tables(spark, tables):
     docs = spark.createDataFrame([(i, "a b", f"s{i % 2}", i, 1.0, "x") for i in range(9)], "doc_id long, text string, source string, epoch int, weight double, last string")
     got = mixing.stage(spark, docs, "")
