@@ -21,8 +21,3 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="askframe-test-ckpt-"))
     yield s
-
-
-def one(spark, col, value, schema="x string"):
-    """Evaluate a column expression on a single value."""
-    return spark.createDataFrame([(value,)], schema).select(col.alias("r")).first()["r"]

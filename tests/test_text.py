@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from askframe.functions import text as T
-from conftest import one
+from helpers import one
 
 
 def test_fix_encoding_sequences(spark):
