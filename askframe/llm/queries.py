@@ -1,14 +1,15 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express.
 
-None has SQL: fitted models, XXH64, public vocabularies and SHA-256 of
-reconstructed texts are not in DuckDB's SQL; the tests compare each with a
-brute-force version, an exact round trip or held-out accuracy.
+Phrases and URL filters have SQL.  The others have none: fitted models, XXH64,
+public vocabularies, shortest paths and SHA-256 of reconstructed texts are not
+in DuckDB's SQL; the tests compare each with a brute-force version, an exact
+round trip or held-out accuracy.
 """
 
 from __future__ import annotations
 
-from askframe.llm import (chat, lm, mixing, partitions, pieces, quality_classifier, quality_rules, simhash, token_counts,
-                          toxicity)
+from askframe.llm import (chat, collocations, conversation_repair, lm, mixing, partitions, pieces, quality_classifier,
+                          quality_rules, simhash, token_counts, toxicity, url_filters)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -21,6 +22,51 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_token_counts": token_counts.op10,
+    "op11_collocations": collocations.op11,
+    "op12_url_filters": url_filters.op12,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 
-ORACLE: dict[str, str] = {}
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _collocations_sql() -> str:
+    """Every phrase of every piece counted plainly, scored in 128-bit integers (joined on one key: two would let lang alone join)."""
+    pieces = (f"SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\n\\x0b\\x0c\\r]')) AS piece FROM "
+              f"(SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_ABC}) AS t FROM documents)")
+    words = ("SELECT lang, pid, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM "
+             f"(SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^ \\t]+') AS w FROM ({pieces}))")
+    after = ("SELECT lang, word, lead(word, 1) OVER o AS second, lead(word, 2) OVER o AS third FROM "
+             f"({words}) WINDOW o AS (PARTITION BY pid ORDER BY pos)")
+    grams = ("SELECT lang, 1 AS k, word AS phrase FROM p UNION ALL SELECT lang, 2, word || ' ' || second FROM p WHERE second IS NOT NULL "
+             "UNION ALL SELECT lang, 3, word || ' ' || second || ' ' || third FROM p WHERE third IS NOT NULL")
+    cuts = (("2", "1", "w[1]", "w[2]"), ("3", "1", "w[1]", "w[2] || ' ' || w[3]"), ("3", "2", "w[1] || ' ' || w[2]", "w[3]"))
+    cut = " UNION ALL ".join(f"SELECT lang, phrase, a, {c} AS cut, {x} AS head, {y} AS tail FROM c WHERE k = {k}" for k, c, x, y in cuts)
+    return (f"WITH p AS ({after}), "
+            f"f AS (SELECT lang, k, phrase, lang || ':' || phrase AS key, count(*) AS n FROM ({grams}) GROUP BY ALL), "
+            "t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang), "
+            "c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10), "
+            f"x AS (SELECT u.*, h.n AS l, r.n AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(h.n AS HUGEINT) * r.n) AS BIGINT) AS score "
+            f"FROM ({cut}) u JOIN f h ON h.key = u.lang || ':' || head JOIN f r ON r.key = u.lang || ':' || tail "
+            "QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1), "
+            "y AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 "
+            "UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL) "
+            "SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank, x.phrase, a, l, r, t.n, score "
+            "FROM x JOIN t ON t.lang = x.lang LEFT JOIN y ON y.lang = x.lang AND y.phrase = x.phrase "
+            "WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000")
+
+
+def _url_filters_sql() -> str:
+    """Every rule tried on every page."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filters.RULES)
+    return (f"WITH u AS (SELECT page_id, row_number() OVER () AS row, CASE WHEN contains(url, '://') "
+            f"THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages), "
+            f"p AS (SELECT page_id, row, translate(regexp_extract(rest, '^[^/?#]*'), {_ABC}) AS host, "
+            f"regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u), "
+            f"r(rule_host, rule_path, verdict) AS (VALUES {rules}) "
+            "SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, "
+            "coalesce(arg_max(verdict, length(rule_host || rule_path)), 'allow') AS verdict FROM p LEFT JOIN r "
+            "ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, row, host, path")
+
+
+ORACLE: dict[str, str] = {"op11_collocations": _collocations_sql(), "op12_url_filters": _url_filters_sql()}

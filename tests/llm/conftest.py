@@ -7,6 +7,7 @@ def tables(spark, tmp_path_factory):
     kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long",
              "labels": "doc_id long, quality int, toxic int",
              "conversations": "conv_id long, turn long, role string, text string",
+             "pages": "page_id long, url string, html string",
              "embeddings": "vec_id long, embedding array<float>, label int"}
 
     def write(**rows):
