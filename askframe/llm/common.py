@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of ``written`` that another one has superseded."""
+    spark = table.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def texts(column: pa.Array) -> list[str]:
+    """A text column as Python strings: null is empty, bytes that are not UTF-8 become U+FFFD."""
+    return [(raw or b"").decode("utf-8", "replace") for raw in column.cast(pa.binary()).to_pylist()]
 
 
 def typed(keep: str) -> list[Column]:
@@ -62,9 +77,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
     ``max_rows`` bounds what a classifier is fitted on; if ``balanced``, half
     of it goes to each class where there are enough.  Rows are picked by a hash
     of the id.  ``w`` undoes the different sampling rates.  Ids without a 0/1 label take no part;
-    an id with two labels counts as its larger one.  The ids go to the scan of
-    ``docs`` as a broadcast of at most about ``max_rows`` numbers, so no text
-    is shuffled.
+    an id with two labels counts as its larger one, and of an id's rows the text with the least hash is taken
+    (folded per task), so an id with any number of rows is one row of the sample.  The ids go to the scan of
+    ``docs`` as a broadcast of at most about ``max_rows`` numbers; only the sample's texts are shuffled.
     """
     rows = (labels.select("doc_id", F.col(target).cast("int").alias("y"))
             .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
@@ -76,4 +91,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
         share = dict.fromkeys((0, 1), min(1.0, max_rows / max(1, sum(n.values()))))
     rate = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
     picked = rows.where(uniform(F.col("doc_id"), "labelled " + target) < rate).select("doc_id", "y", (1 / rate).alias("w"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "w")
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y", "w"))

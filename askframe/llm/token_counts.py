@@ -4,14 +4,18 @@ Documents are encoded with a public byte-pair vocabulary (a file given by
 path) and counted by length; suffix sums over the distinct lengths give totals,
 quantiles and truncated totals for any limit without another pass over texts.
 
-Defined cases: a null or empty text has length 0; repeated rows count each
-time; an empty table gives an empty histogram; other columns are not read.
+Defined cases: a null or empty text has length 0; bytes that are not UTF-8
+count as U+FFFD; texts of any length are encoded whole (runs of white space
+over ``LONG_RUN`` are cut out by hand, just as the pattern cuts them); repeated
+rows count each time; ties cannot arise (a histogram); an empty table gives an
+empty histogram; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# A run of white space longer than this would overflow the pattern engine's stack.
+LONG_RUN = 1000
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACE}]{{{LONG_RUN},}}")
+
 _ENCODERS: dict[str, object] = {}
 
 
@@ -39,6 +48,21 @@ def encoder(raw: bytes):
     return _ENCODERS[key]
 
 
+def encoded_length(enc, text: str) -> int:
+    """Tokens of a whole text.
+
+    The pattern takes a run of white space before a word without its last
+    character, which goes on as the word's beginning, and a run at the end
+    whole; so a long run is one piece, and the texts around it stand alone.
+    """
+    n, at = 0, 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(enc.encode_ordinary(text[at:run.start()])) + len(enc._encode_single_piece(text[run.start():end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:] if at else text))
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One ``length`` (bigint) for every row's whole text; the file is read on the driver and travels with the tasks."""
     with open(vocabulary, "rb") as f:
@@ -47,8 +71,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         enc = encoder(raw)
         for batch in batches:
-            n = np.fromiter((len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()),
-                            dtype=np.int64, count=batch.num_rows)
+            n = np.fromiter((encoded_length(enc, t) for t in common.texts(batch.column(0))), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(n)], ["length"])
 
     return docs.select("text").mapInArrow(run, "length bigint")
@@ -62,8 +85,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
 def suffix_sums(hist: DataFrame, width: int = 512) -> DataFrame:
     """For each distinct length L, taken as a context limit, what documents of at least L hold.
 
-    Sums run inside ranges of ``width`` lengths and over the ranges' totals, so
-    no task sees the whole histogram.
+    Sums run inside ranges of ``width`` lengths and over the ranges' totals; the one task over the totals sees a row
+    per range (the longest text divided by ``width``).
     """
     spans = hist.withColumn("span", F.floor(F.col("length") / width)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     per = spans.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))

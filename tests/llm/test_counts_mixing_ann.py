@@ -225,3 +225,63 @@ def test_a_query_in_a_sparse_partition_finds_the_rest(spark, tables, monkeypatch
     rows = partitions.op5(spark, tables(embeddings=[(i, v.tolist(), 0) for i, v in enumerate(V)])).collect()
     true = brute(V, list(range(400)), [0])
     assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == 0] == true[0]
+
+
+def test_op5_with_several_partitions_reaches_the_recall_of_held_out_probes(spark, tables, monkeypatch):
+    V = vectors(20_000, centres=200)
+    ids = list(range(len(V)))
+    fitted = []
+    original = partitions.fit_index
+    monkeypatch.setattr(partitions, "fit_index", lambda *a: fitted.append(original(*a)) or fitted[-1])
+    rows = partitions.op5(spark, tables(embeddings=[(i, v.tolist(), 0) for i, v in zip(ids, V)])).collect()
+    (router, visited), = fitted
+    assert router.parts >= 8 and visited < router.parts
+    true, found = brute(V, ids, [i for i in ids if i % 50 == 0]), defaultdict(set)
+    for r in rows:
+        found[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(found[q] & set(t)) / 5 for q, t in true.items()]) >= 0.9
+
+
+@pytest.mark.parametrize("rows", [500, 2000])
+def test_small_tables_are_partitioned_too(rows):
+    router, visited = partitions.fit_index(vectors(rows).astype(np.float64), rows, 5)
+    assert router.parts == 8 and 1 <= visited <= 8
+
+
+def test_long_white_space_is_cut_as_the_pattern_cuts_it(monkeypatch):
+    import random
+    import re
+    import time
+
+    import regex
+    with open(token_counts.VOCABULARY, "rb") as f:
+        enc = token_counts.encoder(f.read())
+    monkeypatch.setattr(token_counts, "_RUN", re.compile(token_counts._RUN.pattern.replace("1000", "3")))
+    draw = random.Random(2)
+    for _ in range(300):
+        text = "".join(draw.choice(["a", "Wort", "'s", "12", "!", " ", "  ", "\n", "\r\n\t ", "\u3000", "\x85", "\x1c", "    ", "\n\n\n"])
+                       for _ in range(draw.randint(0, 12)))
+        want = sum(len(enc._encode_single_piece(p)) for p in regex.findall(token_counts.PATTERN, text))
+        assert token_counts.encoded_length(enc, text) == want
+    monkeypatch.undo()
+    start = time.time()
+    for text in ("a" + " " * 5_000_000 + "b", "\n" * 1_000_000, "x" * 1_000_000):
+        assert token_counts.encoded_length(enc, text) > 1
+    assert time.time() - start < 60
+
+
+def test_invalid_bytes_count_as_replacement_characters(spark):
+    raw = spark.createDataFrame([(bytearray(b"caf\xe9 \xff"),), (None,)], "b binary").selectExpr("CAST(b AS STRING) AS text")
+    same = spark.createDataFrame([("caf\ufffd \ufffd",), ("",)], "text string")
+    assert sorted(token_counts.encoded_lengths(raw).collect()) == sorted(token_counts.encoded_lengths(same).collect())
+
+
+def test_a_sample_holds_one_row_of_an_id(spark):
+    from pyspark.sql import functions as F
+
+    from askframe.llm import common
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    got = common.labelled_sample(docs, labels, "toxic", F.lit(False)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(5))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, common.labelled_sample(docs.orderBy("text"), labels, "toxic", F.lit(False)).collect()))
