@@ -28,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from askframe.llm import common
 
@@ -134,9 +133,13 @@ def linked(group: np.ndarray, fps: np.ndarray, distance: int, table: np.ndarray
 
 
 def links(fps: DataFrame, distance: int = 4, split_rows: int = SPLIT_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b), b below a: links that connect all distinct ``fp`` at ``distance`` bits or fewer."""
+    """(a, b), b below a: links that connect all distinct ``fp`` at ``distance`` bits or fewer.
+
+    ``pivots`` of ``with_pivots`` come with the fingerprints wherever they meet (computed here if absent).
+    """
+    fps = fps if "pivots" in fps.columns else with_pivots(fps)
     masks = [_signed(m) for m in key_masks(fps.count(), distance, group_rows)]
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
+    keyed = fps.select("fp", "pivots", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
     hot = (keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > split_rows)
            .select("t", "key", F.ceil(F.col("n") / split_rows).cast("int").alias("parts")))
     # a hot key's rows fall into parts, and each pair of parts (also with itself) is one group
@@ -144,9 +147,9 @@ def links(fps: DataFrame, distance: int = 4, split_rows: int = SPLIT_ROWS, group
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                       lambda x: F.struct(F.least(x, own).cast("int").alias("i"), F.greatest(x, own).cast("int").alias("j")))
     cells = keyed.join(hot, ["t", "key"], "left").select(
-        "fp", "t", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+        "fp", "pivots", "t", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
                                     .otherwise(met)).alias("cell"))
-    rows = (cells.select("t", "key", "cell.i", "cell.j", "fp").repartition("t", "key", "i", "j")
+    rows = (cells.select("t", "key", "cell.i", "cell.j", "fp", "pivots").repartition("t", "key", "i", "j")
             .sortWithinPartitions("t", "key", "i", "j"))
     names = ["t", "key", "i", "j"]
 
@@ -156,7 +159,8 @@ def links(fps: DataFrame, distance: int = 4, split_rows: int = SPLIT_ROWS, group
         new = np.zeros(len(fp), dtype=bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
-        first = linked(np.cumsum(new), fp.view(np.uint64), distance)
+        table = np.frombuffer(b"".join(batch.column("pivots").to_pylist()), dtype=np.int8).reshape(-1, N_PIVOTS)
+        first = linked(np.cumsum(new), fp.view(np.uint64), distance, table)
         a, b = fp, fp[first]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[a != b]), pa.array(np.minimum(a, b)[a != b])], ["a", "b"])
 
@@ -198,6 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.written(edges.select("a", "b"), "links")
     seen = None
     while True:
+        last = edges
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -205,18 +210,34 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).distinct())
         edges = common.written(small, "links")
+        common.forget(last)  # superseded
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if tuple(now) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(now)
 
 
+def with_pivots(fps: DataFrame) -> DataFrame:
+    """``fp`` with ``pivots``: its distances to the reference fingerprints, a byte each."""
+    def run(batches):
+        for batch in batches:
+            table = pivot_table(batch.column("fp").to_numpy().view(np.uint64)).view(f"S{N_PIVOTS}").ravel()
+            rows = [x.ljust(N_PIVOTS, b"\0") for x in table.tolist()]  # numpy drops zeros at the end
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(rows, pa.binary())], ["fp", "pivots"])
+
+    return fps.mapInArrow(run, "fp bigint, pivots binary")
+
+
 def grouped(docs: DataFrame, distance: int = 4, shingle: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, fp) and, per distinct fp, (fp, root, first): the component and its least (doc_id, h) with an id."""
+    """Rows (doc_id, h, fp) and, per distinct fp, (fp, root, first).
+
+    ``root`` names the component, ``first`` its least (unnamed, doc_id, h): a
+    row with an id comes before every row without one.
+    """
     rows = common.written(fingerprints(docs, shingle), "fingerprints")
-    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
-    distinct = common.written(rows.groupBy("fp").agg(F.min(named).alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), distance))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
+    distinct = common.written(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
+    roots = components(links(common.written(with_pivots(distinct.select("fp")), "pivots"), distance))
     # only linked fingerprints need their component's least row; sides written apart, so that Spark can split hot keys
     nodes = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
     linked = common.written(nodes.join(distinct, "fp"), "linked")
@@ -241,30 +262,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest (doc_id, hash of the text), columns as they were.
+    """Pipeline stage: of each component one row, the smallest by (id, nulls last; hash of the text), columns as they were.
 
     Rows that share an id but not the text are told apart; of equal rows one
-    stays.  Rows without an id stay when no row of their component has one,
-    since nothing tells which is first.
+    stays, with an id or without.  Texts move once, to meet the keys kept.
     """
     common.ready(spark)
     _, of = grouped(docs)
-    kept = of.where(F.col("first").isNotNull()).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")).distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__h", F.xxhash64("text"))
-    first = rows.join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)
-    nameless = of.where(F.col("first").isNull()).select(F.col("fp").alias("__fp"))
-    if nameless.isEmpty():
-        return first
-    return first.unionByName(with_fingerprint(docs.where(F.col("doc_id").isNull()))
-                             .join(nameless, "__fp", "left_semi").select(*docs.columns))
-
-
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``__fp``."""
-    def run(batches):
-        for batch in batches:
-            fps = [fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.asarray(fps, dtype=np.uint64).view(np.int64))],
-                                             [*batch.schema.names, "__fp"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    kept = of.select(F.col("first.unnamed").alias("__u"), F.coalesce("first.doc_id", F.lit(0)).alias("__id"),
+                     F.col("first.h").alias("__h")).distinct()
+    own = F.col("doc_id").cast("bigint")
+    rows = (docs.withColumn("__u", own.isNull()).withColumn("__id", F.coalesce(own, F.lit(0))).withColumn("__h", F.xxhash64("text")))
+    return rows.join(kept, ["__u", "__id", "__h"], "left_semi").dropDuplicates(["__u", "__id", "__h"]).select(*docs.columns)

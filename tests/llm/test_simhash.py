@@ -125,7 +125,7 @@ def test_stage_keeps_one_of_each_group_and_all_columns(spark, tables):
     _, parts = slow_components(rows)
     ids = [r["doc_id"] for r in got.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({p for p in parts if p is not None})
-    assert ids.count(None) == 2  # nothing tells which of the two comes first
+    assert ids.count(None) == 1  # rows without an id are copies of each other like any others
 
 
 def test_stage_picks_by_row_where_rows_share_an_id(spark, tables):
