@@ -36,8 +36,10 @@ from askframe.llm import common
 SAMPLE_ROWS = 20_000     # vectors that the index is fitted on
 NEIGHBOURS = 10
 PARTITION_ROWS = 2_500   # wanted rows per partition
-MAX_PARTITIONS = 256
-RECALL = 0.97            # of the sample's true neighbours, within the partitions visited
+LEAST_PARTITIONS, MAX_PARTITIONS = 8, 256
+SAMPLE_PER_PARTITION = 20  # sampled vectors a partition needs: only samples under 40 rows leave one partition
+PROBES = 1000            # sampled vectors, a tenth of the sample at most, held out of the fit
+RECALL = 0.97            # of the probes' true neighbours in the sample, within the partitions visited
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 
 
@@ -175,34 +177,41 @@ class Router:
 
 
 def fit_index(X: np.ndarray, n_rows: int, k: int) -> tuple[Router, int]:
-    """A router for ``n_rows`` rows from sample ``X``, and how many partitions a query visits for ``RECALL``."""
+    """A router for ``n_rows`` rows from sample ``X``, and how many partitions a query visits for ``RECALL``.
+
+    The recall is that of probes: sampled vectors which neither the graph nor
+    the router has seen, against their true neighbours among the others.
+    """
     d = X.shape[1]
-    parts = 2 ** max(0, min(round(math.log2(MAX_PARTITIONS)), round(math.log2(max(1.0, n_rows / PARTITION_ROWS)))))
-    while parts > 1 and len(X) < 20 * parts:
+    parts = 2 ** round(math.log2(min(MAX_PARTITIONS, max(LEAST_PARTITIONS, n_rows / PARTITION_ROWS))))
+    order = np.random.default_rng(9).permutation(len(X))
+    held = min(PROBES, len(X) // 10)
+    probes, rest = order[:held], np.sort(order[held:])
+    while parts > 1 and len(rest) < SAMPLE_PER_PARTITION * parts:
         parts //= 2
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
     U = unit(X)
+    Q, U = U[probes], U[rest]
     near = neighbour_graph(U, NEIGHBOURS)
     label = balanced_partitions(near, parts)
     wanted = np.zeros((len(U), parts))
     np.add.at(wanted, (np.repeat(np.arange(len(U)), near.shape[1]), label[near].ravel()), 0.5 / near.shape[1])
     wanted[np.arange(len(U)), label] += 0.5
     router = Router.fit(U, wanted)
-    scores = router.scores(U)
-    own = scores.argmax(axis=1)
-    probe = np.random.default_rng(9).permutation(len(U))[:1000]
-    true = neighbour_graph(U, k)[probe] if k > NEIGHBOURS else _closest(U, probe, near, k)
-    place = np.argsort(np.argsort(-scores[probe], axis=1, kind="stable"), axis=1)  # rank of each partition for each query
-    depth = np.take_along_axis(place, own[true], axis=1)
+    own = router.scores(U).argmax(axis=1)
+    place = np.argsort(np.argsort(-router.scores(Q), axis=1, kind="stable"), axis=1)  # rank of each partition for each probe
+    depth = np.take_along_axis(place, own[_closest(Q, U, min(k, len(U)))], axis=1)
     visited = next(m for m in range(1, parts + 1) if (depth < m).mean() >= RECALL)
     return router, visited
 
 
-def _closest(U: np.ndarray, rows: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
-    """The k best of each row's neighbours in the graph."""
-    s = np.einsum("ij,ikj->ik", U[rows], U[near[rows]])
-    return np.take_along_axis(near[rows], np.argsort(-s, axis=1, kind="stable")[:, :k], axis=1)
+def _closest(Q: np.ndarray, U: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of U closest to each row of Q, by blocks."""
+    out = np.empty((len(Q), k), dtype=np.int64)
+    for at in range(0, len(Q), 512):
+        out[at:at + 512] = np.argpartition(-(Q[at:at + 512] @ U.T), k - 1, axis=1)[:, :k]
+    return out
 
 
 def best_of(Q: np.ndarray, q_ids: np.ndarray, D: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +252,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = S
     given = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     n = rows.count()
     picked = given.where(usable() & (common.uniform(F.col("vec_id"), "index sample") < sample_rows / max(1, n)))
-    sample = picked.orderBy("vec_id").toPandas()
+    # one vector per id, folded per task: an id with any number of rows is one row of the sample
+    one_each = picked.groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+    sample = one_each.orderBy("vec_id").toPandas()
     lengths = sample["embedding"].map(len)
     if not len(sample):  # a small table may have no row in the sample
         one = given.where(usable()).orderBy("vec_id").limit(1).collect()
