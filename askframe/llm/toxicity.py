@@ -298,8 +298,8 @@ class ToxicModel:
 def learned(token: bytes) -> list[tuple[str, int | None]]:
     """The words of a token as (word or "" if it is no term, its hash as a place); first the whole token, if it has several."""
     words = split_words(token)
-    whole = [token] if len(words) > 1 and len(token) < 200 else []
-    terms = [w if least_letters(w) <= len(w) <= 40 and w[0].isalpha() else "" for w in map(plain, whole + words)]
+    whole = [token] if len(words) > 1 else []
+    terms = [w if least_letters(w) <= len(w) and w[0].isalpha() else "" for w in map(plain, whole + words)]
     return list(zip(terms, [None] * len(whole) + list(map(zlib.crc32, words))))
 
 
