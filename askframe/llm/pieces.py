@@ -163,6 +163,19 @@ def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndar
     return _mix(_mix(key ^ place) + place) < np.uint64(min(2**64 - 1, int(dropout * 2**64)))
 
 
+def skipped_one(key: int, start: int, middle: int, end: int, dropout: float) -> bool:
+    """``skipped`` for one candidate, in Python's integers."""
+    full = 2**64 - 1
+
+    def mix(x: int) -> int:
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    place = ((start << 42) ^ (middle << 21) ^ end) & full
+    return mix((mix(key ^ place) + place) & full) < min(full, int(dropout * 2**64))
+
+
 def word_keys(words: list[bytes], seed: int, variant: int) -> np.ndarray:
     """A 64-bit key of each word under (seed, variant)."""
     salt = xxhash.xxh64_intdigest(b"%d/%d" % (seed, variant))
@@ -261,8 +274,7 @@ def segment_long(model: PieceModel, word: bytes, key: int, dropout: float) -> by
         merge = model.merge_of.get(ids[at] * model.n + ids[to])
         if merge is None:
             return
-        place = (np.array([x], dtype=np.uint64) for x in (key, starts[at], starts[to], ends[to]))
-        if not dropout or not skipped(*place, dropout)[0]:
+        if not dropout or not skipped_one(key, starts[at], starts[to], ends[to], dropout):
             heapq.heappush(heap, (merge[0], starts[at], at, to, merge[1]))
 
     for i in range(n - 1):
@@ -345,7 +357,7 @@ def encode(docs: DataFrame, keep: list[str], model_path: str = MODEL, dropout: f
     def run(batches):
         model, encoder = model_of(raw), encoder_of(raw, dropout, seed)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
+            texts = [t.encode() for t in common.texts(batch.column("__text"))]
             variant = [zlib.crc32(b"%d:%s" % (seed, d or b"")) % variants
                        for d in batch.column("__key").cast(pa.binary()).to_pylist()]
             ids = encoder.encode(texts, variant)

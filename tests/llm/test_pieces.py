@@ -102,3 +102,11 @@ def test_empty_table_and_clashing_columns(spark, tables):
     assert pieces.op7(spark, folder).collect() == []
     docs = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, ids int, lossless int")
     assert pieces.encode(docs, ["doc_id"]).first()["lossless"]
+
+
+def test_scalar_hash_equals_the_vectors():
+    import numpy as np
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 2**21, (4, 500)).astype(np.uint64)
+    x[0] = draw.integers(0, 2**64, 500, dtype=np.uint64)
+    assert [pieces.skipped_one(*map(int, c), 0.3) for c in x.T] == pieces.skipped(*x, 0.3).tolist()
