@@ -56,9 +56,9 @@ def blocks(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS) -> DataF
         part, made = TaskContext.get().partitionId(), 0
         hold = _Block()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = [t.encode() for t in common.texts(batch.column("text"))]
             for doc, held, raw in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), texts):
-                hold.add(doc, held, raw or b"")
+                hold.add(doc, held, raw)
                 if hold.size >= block_tokens:
                     yield hold.row((part << 33) + made)
                     hold, made = _Block(), made + 1
@@ -263,8 +263,8 @@ def train(table: DataFrame, own: dict[str, int], noise: np.ndarray, warm_blocks:
         return rows["v"].to_numpy() if len(rows) else None
 
     schema = "at int, value double, weight double"
-    some = table.where(F.exists("held_out", lambda h: ~h)).select("block").orderBy("block").limit(warm_blocks)
-    first = table.select(*columns).join(F.broadcast(some), "block", "left_semi").coalesce(1)
+    some = [r["block"] for r in table.where(F.exists("held_out", lambda h: ~h)).select("block").orderBy("block").limit(warm_blocks).collect()]
+    first = table.select(*columns).where(F.col("block").isin(some)).repartition(1)  # only these blocks move
     got = mean(first.mapInArrow(begin, schema))
     if got is None:
         return model
