@@ -54,7 +54,8 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(46 if b in _ENDS else b for b in bytes(range(256)).lower())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-PHRASES = "lang binary, words int, phrase binary, n bigint, open boolean"
+# A counted phrase between tasks: one key of "1" (open) or "0", the language, a tab and the phrase, which holds no tab.
+COUNTS = "key binary, n bigint"
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -174,8 +175,10 @@ def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_phrases(docs: DataFrame, levels: set[int], accepted: Filter | None = None, counted: list[Filter] = (),
-                  expand: bool = False, window: int = WINDOW) -> DataFrame:
-    """Exact counts (lang, words, phrase, n, open) of phrases of ``levels`` words; words 0 holds a language's words in all.
+                  expand: bool = False, at_least: int = 1, window: int = WINDOW) -> DataFrame:
+    """Exact counts (lang, words, phrase, n, open) of phrases of ``levels`` words that reach ``at_least``.
+
+    The row of 0 words holds a language's words in all.
 
     A phrase of two words or more is counted if both its parts, one word
     shorter, are possible, and were not both in one of the filters ``counted``
@@ -192,19 +195,19 @@ def count_phrases(docs: DataFrame, levels: set[int], accepted: Filter | None = N
         hashes = np.zeros(len(words), dtype=np.uint64)  # number 0 has none
         hashes[1:] = np.fromiter((_word_hash(names[g], w) for g, w in zip(langs[1:], words[1:])), dtype=np.uint64, count=len(words) - 1)
         texts, lang_of = pa.array(words, pa.binary()), np.asarray(langs, dtype=np.int64)
-        lang_names = pa.array(names, pa.binary())
+        start = {flag: pa.array([flag + name + b"\t" for name in names], pa.binary()) for flag in (b"0", b"1")}
 
         def batches(n, places, counts, open_):
-            for at in range(0, len(places), OUT_ROWS):
-                yield batch(n, places[at:at + OUT_ROWS], counts[at:at + OUT_ROWS], open_[at:at + OUT_ROWS])
+            for flag, which in ((b"0", ~open_), (b"1", open_)):
+                of_flag, counts_of = places[which], counts[which]
+                for at in range(0, len(of_flag), OUT_ROWS):
+                    yield batch(n, of_flag[at:at + OUT_ROWS], counts_of[at:at + OUT_ROWS], start[flag])
 
-        def batch(n, places, counts, open_):
-            strings = texts.take(pa.array(ids[places]))
+        def batch(n, places, counts, starts):
+            keys = pc.binary_join_element_wise(starts.take(pa.array(lang_of[ids[places]])), texts.take(pa.array(ids[places])), b"")
             for k in range(1, n):
-                strings = pc.binary_join_element_wise(strings, texts.take(pa.array(ids[places + k])), b" ")
-            return pa.RecordBatch.from_arrays([lang_names.take(pa.array(lang_of[ids[places]])),
-                                               pa.array(np.full(len(places), n, dtype=np.int32)), strings,
-                                               pa.array(counts), pa.array(open_)], ["lang", "words", "phrase", "n", "open"])
+                keys = pc.binary_join_element_wise(keys, texts.take(pa.array(ids[places + k])), b" ")
+            return pa.RecordBatch.from_arrays([keys, pa.array(counts)], ["key", "n"])
 
         # level 1: the numbers are the words'
         gram, gram_hash = ids.copy(), hashes
@@ -217,9 +220,7 @@ def count_phrases(docs: DataFrame, levels: set[int], accepted: Filter | None = N
             place[ids[::-1]] = np.arange(len(ids))[::-1]
             yield from batches(1, place[seen], n_of[seen], ~keep.has(hashes[seen]) if keep else np.ones(len(seen), dtype=bool))
             per = np.bincount(lang_of, weights=n_of, minlength=len(names)).astype(np.int64)[:len(names)]
-            yield pa.RecordBatch.from_arrays([lang_names, pa.array(np.zeros(len(names), dtype=np.int32)),
-                                              pa.array([b""] * len(names), pa.binary()), pa.array(per),
-                                              pa.array(np.zeros(len(names), dtype=bool))], ["lang", "words", "phrase", "n", "open"])
+            yield pa.RecordBatch.from_arrays([start[b"0"], pa.array(per)], ["key", "n"])
         possible = keep.has(gram_hash) if keep else np.ones(len(gram_hash), dtype=bool)
         possible[0] = False
         inside = [f.has(gram_hash) for f in old]
@@ -290,9 +291,13 @@ def count_phrases(docs: DataFrame, levels: set[int], accepted: Filter | None = N
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    partial = rows.mapInArrow(run, PHRASES).select(F.col("lang").cast("string").alias("lang"), "words",
-                                                   F.col("phrase").cast("string").alias("phrase"), "n", "open")
-    return partial.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
+    text = F.col("key").cast("string")
+    counts = (rows.mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+              .where((F.col("n") >= at_least) | text.endswith("\t"))
+              .withColumn("phrase", F.substring_index(text, "\t", -1)))
+    lang = F.expr("CAST(substring(key, 2, octet_length(key) - octet_length(phrase) - 2) AS STRING)")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
+    return counts.select(lang.alias("lang"), words.alias("words"), "phrase", "n", text.startswith("1").alias("open"))
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, sample_rate: float = SAMPLE_RATE,
@@ -308,18 +313,17 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, s
     sample = docs.where(common.uniform(F.xxhash64("doc_id", "text"), "phrase sample") < sample_rate)
     proposed, accepted = None, None
     for n in range(1, max_words):  # the longest phrases make nothing longer possible: none has to be proposed
-        found = common.written(count_phrases(sample, {n}, accepted, window=window)
-                               .where((F.col("n") >= lowered) & (F.col("words") > 0)), f"phrase-sample-{n}")
+        found = common.written(count_phrases(sample, {n}, accepted, at_least=lowered, window=window).where("words > 0"),
+                               f"phrase-sample-{n}")
         proposed = found if proposed is None else proposed.unionByName(found)
         accepted = filter_of(proposed, filter_bits)
-    frequent = (F.col("n") >= min_count) | (F.col("words") == 0)
-    found = common.written(count_phrases(docs, set(range(1, max_words + 1)), accepted or Filter(np.zeros(0, dtype=np.uint8), filter_bits),
-                                         window=window).where(frequent), "phrases-1")
+    accepted = accepted or Filter(np.zeros(0, dtype=np.uint8), filter_bits)
+    found = common.written(count_phrases(docs, set(range(1, max_words + 1)), accepted, at_least=min_count, window=window), "phrases-1")
     counted, latest = [accepted], found
     while max_words > 1 and not latest.where(F.col("open") & F.col("words").between(1, max_words - 1)).isEmpty():
         known = filter_of(found.where(F.col("words").between(1, max_words - 1)), filter_bits)
-        latest = common.written(count_phrases(docs, set(range(2, max_words + 1)), known, counted, expand=True, window=window)
-                                .where(frequent), f"phrases-{len(counted) + 1}")
+        latest = common.written(count_phrases(docs, set(range(2, max_words + 1)), known, counted, expand=True, at_least=min_count,
+                                              window=window), f"phrases-{len(counted) + 1}")
         counted.append(known)
         found = found.unionByName(latest)
     return found.select("lang", "words", "phrase", "n")
