@@ -17,8 +17,10 @@ Plan
    blocks, the questions visiting it ``Q_c = ceil(visits/B)`` blocks, and the
    two sides meet by an equi-join (cogroup) on ``(cell, doc_block, q_block)``,
    so a group holds about ``B`` rows per side however skewed the data.
-5. Inside a group numpy scores the block and keeps the best ``k`` per question;
-   a ranking window (planned as a partial + final window group limit) picks the
+5. Inside a group numpy bounds the cosine of every pair (8-bit vectors with an
+   error bound; posting lists with impact bounds for count vectors, see
+   ``block_scores``), scores exactly only the pairs that can be among the best
+   ``k`` and keeps those; a ranking window (planned as a partial + final window group limit) picks the
    global best ``k`` per question.
 
 Scores are ``dot(q, d) / sqrt(|q|² · |d|²)`` with the dot product summed in
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe import rules
+from askframe.operators import block_scores
+from askframe.operators.block_scores import unit_rows as _unit
 from askframe.operators.util import materialize
 from askframe.session import ship_package
 
@@ -62,25 +67,6 @@ def _seq_sq(m: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(axis=1))
-    out = np.zeros_like(m)
-    nz = n > 0
-    out[nz] = m[nz] / n[nz, None]
-    return out
-
-
-def _block_scores(q: np.ndarray, d: np.ndarray, integer: bool) -> np.ndarray:
-    if integer:
-        return q @ d.T  # integer-valued float64: every partial sum is exact below 2**53
-    s = np.zeros((q.shape[0], d.shape[0]), dtype=np.float64)
-    tmp = np.empty_like(s)
-    for j in range(q.shape[1]):
-        np.multiply(q[:, j:j + 1], d[None, :, j], out=tmp)
-        s += tmp
-    return s
-
-
 def _centroids(docs: DataFrame, n_cells: int, seeds: str, refine_steps: int, sample_rows: int, dim: int) -> np.ndarray:
     """At most ``n_cells`` unit centroids: documents in hash order (``seeds="hash"``) or by id (``"first"``).
 
@@ -230,34 +216,71 @@ def read_index(spark, path: str) -> CellIndex:
     return CellIndex(spark.read.parquet(f"{path}/data").drop("batch"), cents, radius, counts, bool(int(integer)), did, vec)
 
 
-def nprobe_for_recall(queries: DataFrame, index: CellIndex, *, recall: float = 0.9, qid: str = "query_id",
-                      vec: str = "embedding", k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD) -> int:
-    """The fewest nearest cells that hold ``recall`` of the exact answers to ``queries`` (a sample or all)."""
-    exact = search_cells(queries, index, qid=qid, vec=vec, k=k, threshold=threshold)
-    at = index.assigned.select(F.col("_did").alias(index.did), "_cell")
-    cents, nonempty = index.centroids, index.counts > 0
-    schema = T.StructType([queries.schema[qid], T.StructField("_cell", T.IntegerType()), T.StructField("_depth", T.IntegerType())])
+SAMPLE_QUESTIONS = 256
+
+
+def sampled_questions(queries: DataFrame, qid: str, n: int = SAMPLE_QUESTIONS) -> DataFrame:
+    """At most ``n`` questions: those whose id has the smallest MD5, the same on every run."""
+    return queries.orderBy(F.md5(F.col(qid).cast("string")), F.col(qid)).limit(n)
+
+
+def cell_depths(questions: DataFrame, index: CellIndex, *, qid: str, vec: str, k: int, threshold: float) -> DataFrame:
+    """``(qid, _depth)``, one row per exact answer of a few questions: the how-manieth nearest cell holds it.
+
+    The answers (``k`` per question) go to the documents to learn their cells,
+    and each question ranks its cells once, in the worker, to look up those.
+    """
+    exact = materialize(search_cells(questions, index, qid=qid, vec=vec, k=k, threshold=threshold).select(qid, index.did))
+    at = index.assigned.select(F.col("_did").alias(index.did), "_cell").join(F.broadcast(exact), index.did)  # k rows per question
+    cells = at.groupBy(qid).agg(F.collect_list("_cell").alias("_cells"))
+    cents_bc, nonempty = questions.sparkSession.sparkContext.broadcast(index.centroids), index.counts > 0
 
     def depths(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            sims = np.where(nonempty[None, :], _unit(_matrix(pdf[vec])) @ cents.T, -np.inf)
-            for at_ in range(0, len(pdf), 256):
-                order = np.argsort(-sims[at_:at_ + 256], axis=1, kind="stable")
-                yield pd.DataFrame({qid: np.repeat(pdf[qid].to_numpy()[at_:at_ + 256], order.shape[1]),
-                                    "_cell": order.ravel().astype(np.int32),
-                                    "_depth": np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(order))})
-
-    place = queries.select(qid, vec).filter(F.col(vec).isNotNull()).mapInPandas(depths, schema)
-    hits = exact.join(at, index.did).join(place, [qid, "_cell"]).groupBy("_depth").agg(F.count(F.lit(1)).alias("n"))
-    found = sorted((r["_depth"], r["n"]) for r in hits.collect())
-    total, got = sum(n for _, n in found), 0
-    for depth, n in found:
-        got += n
-        if got >= recall * total:
-            return depth
-    return 1
+            for at_ in range(0, len(pdf), 64):
+                part = pdf.iloc[at_:at_ + 64]
+                sims = np.where(nonempty[None, :], _unit(_matrix(part[vec])) @ cents_bc.value.T, -np.inf)
+                place = np.argsort(np.argsort(-sims, axis=1, kind="stable"), axis=1, kind="stable")
+                found = [place[i, np.asarray(c)] + 1 for i, c in enumerate(part["_cells"])]
+                yield pd.DataFrame({qid: np.repeat(part[qid].to_numpy(), [len(f) for f in found]),
+                                    "_depth": np.concatenate(found).astype(np.int32)})
+
+    schema = T.StructType([questions.schema[qid], T.StructField("_depth", T.IntegerType())])
+    return questions.select(qid, vec).join(cells, qid).mapInPandas(depths, schema)
+
+
+def depth_for_recall(depths: dict, recall: float, confidence: float) -> int:
+    """The least depth at which the lower confidence bound of the share of answers found reaches ``recall``.
+
+    ``depths`` has the depths of each question's answers.  The share is a ratio
+    of two sums over questions; its error is that of the linearised ratio, so
+    answers of one question count together.
+    """
+    z, n = NormalDist().inv_cdf(confidence), len(depths)
+    total = np.asarray([len(d) for d in depths.values()], dtype=np.float64)
+    for m in sorted({x for d in depths.values() for x in d}):
+        found = np.asarray([sum(x <= m for x in d) for d in depths.values()], dtype=np.float64)
+        share = found.sum() / total.sum()
+        off = max(0.0, float((found * found).sum() - 2 * share * (found * total).sum() + share * share * (total * total).sum()))
+        if share - z * math.sqrt(off * n / max(1, n - 1)) / total.sum() >= recall:
+            return int(m)
+    return 1  # no question has an answer
+
+
+def nprobe_for_recall(queries: DataFrame, index: CellIndex, *, recall: float = 0.9, confidence: float = 0.95,
+                      sample: int = SAMPLE_QUESTIONS, qid: str = "query_id", vec: str = "embedding",
+                      k: int = rules.TOP_K, threshold: float = rules.SCORE_THRESHOLD) -> int:
+    """How many nearest cells to search for ``recall`` of the exact answers, with ``confidence``.
+
+    Estimated on at most ``sample`` questions: only these are searched exactly,
+    so the cost does not depend on the number of questions, and at most
+    ``sample * k`` numbers reach the driver.
+    """
+    few = materialize(sampled_questions(queries.select(qid, vec).filter(F.col(vec).isNotNull()), qid, sample))
+    depths: dict = {}
+    for q, d in cell_depths(few, index, qid=qid, vec=vec, k=k, threshold=threshold).collect():
+        depths.setdefault(q, []).append(d)
+    return depth_for_recall(depths, recall, confidence)
 
 
 def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "query_id",
@@ -267,7 +290,10 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     """Top-k per question against a cell index (built on the fly or read from storage).
 
     ``stats`` (optional dict) receives ``pairs_scored`` (question-document pairs
-    the plan will score), ``pairs_total`` and ``cells_probed``.
+    in the cells visited, whose scores are bounded), ``pairs_total``,
+    ``cells_probed`` and two accumulators, whose ``value`` holds once the search
+    has run: ``pairs_exact`` (pairs scored exactly) and ``pairs_touched`` (count
+    vectors: pairs that the posting lists read had in common).
     """
     if k is None or k <= 0:
         k = rules.TOP_K
@@ -280,6 +306,8 @@ def search_cells(queries: DataFrame, index: CellIndex | None, *, qid: str = "que
     if stats is not None:
         stats.update(pairs_scored=0, cells_probed=0, cells=int(len(index.centroids)),
                      pairs_total=int(q.count()) * int(index.counts.sum()))
+        sc = queries.sparkSession.sparkContext
+        stats.update(pairs_exact=sc.accumulator(0), pairs_touched=sc.accumulator(0))
     find = dict(k=k, threshold=float(threshold), block_rows=block_rows, stats=stats)
     if mode != "exact":
         cands = _search(q, index, nearest=max(1, nprobe), **find)
@@ -362,8 +390,11 @@ def _search(q: DataFrame, index: CellIndex, *, nearest: int | None, k: int, thre
         for pdf in slices(batches):
             rows, cells, m = visited(pdf)
             sq = (m * m).sum(axis=1) if integer else _seq_sq(m)
+            need = np.full(len(m), threshold)
+            if second:
+                need = np.maximum(need, pdf["_floor"].astype(float).fillna(-np.inf).to_numpy())
             yield pd.DataFrame({"_qid": pdf["_qid"].to_numpy()[rows], "_v": pdf["_v"].to_numpy()[rows],
-                                "_n": sq[rows], "_cell": cells.astype(np.int32)})
+                                "_n": sq[rows], "_need": need[rows], "_cell": cells.astype(np.int32)})
 
     per_task = q.mapInPandas(count, "_cell int, n long")   # one row per cell and task
     visits = dict(per_task.groupBy("_cell").agg(F.sum("n")).collect())
@@ -376,17 +407,20 @@ def _search(q: DataFrame, index: CellIndex, *, nearest: int | None, k: int, thre
     if stats is not None:
         stats["pairs_scored"] += int(sum(n * int(index.counts[c]) for c, n in visits.items()))
         stats["cells_probed"] += len(visits)
-    dblk = F.element_at(F.array(*[F.lit(int(x)) for x in dblocks]), F.col("_cell") + 1)
-    qblk = F.element_at(F.array(*[F.lit(int(x)) for x in qblocks]), F.col("_cell") + 1)
-    doc_side = (index.assigned.filter(F.col("_cell").isin(sorted(int(c) for c in visits)))
-                .withColumn("_ds", F.pmod(F.xxhash64("_did"), dblk).cast("int"))
-                .withColumn("_qs", F.explode(F.sequence(F.lit(0), qblk - 1)))
+    exact, touched = (stats["pairs_exact"], stats["pairs_touched"]) if stats is not None else (None, None)
+    # one row per visited cell (at most max_cells): in how many blocks its documents and its questions are dealt
+    deal = F.broadcast(spark.createDataFrame([(int(c), int(dblocks[c]), int(qblocks[c])) for c in sorted(visits)],
+                                             "_cell int, _dn int, _qn int"))
+    doc_side = (index.assigned.filter(F.col("_cell").isin(sorted(int(c) for c in visits)))  # prunes a stored index's folders
+                .join(deal, "_cell").withColumn("_ds", F.pmod(F.xxhash64("_did"), F.col("_dn")).cast("int"))
+                .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_qn") - 1)))
                 .select("_cell", "_ds", "_qs", "_did", "_v", "_n"))
-    probe_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_v", vtype),
-                                 T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
-    q_side = (q.mapInPandas(probes, probe_schema).withColumn("_qs", F.pmod(F.xxhash64("_qid"), qblk).cast("int"))
-              .withColumn("_ds", F.explode(F.sequence(F.lit(0), dblk - 1)))
-              .select("_cell", "_ds", "_qs", "_qid", "_v", "_n"))
+    probe_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_v", vtype), T.StructField("_n", T.DoubleType()),
+                                 T.StructField("_need", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
+    q_side = (q.mapInPandas(probes, probe_schema).join(deal, "_cell")
+              .withColumn("_qs", F.pmod(F.xxhash64("_qid"), F.col("_qn")).cast("int"))
+              .withColumn("_ds", F.explode(F.sequence(F.lit(0), F.col("_dn") - 1)))
+              .select("_cell", "_ds", "_qs", "_qid", "_v", "_n", "_need"))
     out_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_did", dtype_),
                                T.StructField("raw_score", T.DoubleType())])
 
@@ -395,25 +429,27 @@ def _search(q: DataFrame, index: CellIndex, *, nearest: int | None, k: int, thre
             return pd.DataFrame({"_qid": pd.Series([], dtype=object), "_did": pd.Series([], dtype=object),
                                  "raw_score": pd.Series([], dtype=np.float64)})
         dpdf = dpdf.sort_values("_did", kind="stable")
-        qm, dm = _matrix(qpdf["_v"]), _matrix(dpdf["_v"])
-        s = _block_scores(qm, dm, integer)
+        qm, dm, need = _matrix(qpdf["_v"]), _matrix(dpdf["_v"]), qpdf["_need"].to_numpy(dtype=np.float64)
+        qn, dn = qpdf["_n"].to_numpy(dtype=np.float64), dpdf["_n"].to_numpy(dtype=np.float64)
+        if integer and qm.min(initial=0) >= 0 and dm.min(initial=0) >= 0:
+            rows, cols, s, seen = block_scores.posting_pairs(qm, dm, np.sqrt(qn), np.sqrt(dn), k, need)
+            if touched is not None:
+                touched.add(seen)
+        else:
+            rows, cols = block_scores.quantised_pairs(qm, dm, k, need)
+            s = block_scores.dots_in_order(qm, dm, rows, cols)
+        if exact is not None:
+            exact.add(len(rows))
         # float64 on both sides: the product of two integer norms may not fit 64 bits
-        denom = np.sqrt(qpdf["_n"].to_numpy(dtype=np.float64)[:, None] * dpdf["_n"].to_numpy(dtype=np.float64)[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sc_ = np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
-        masked = np.where(sc_ >= threshold, sc_, -np.inf)
-        kk = min(k, masked.shape[1])
-        if masked.shape[1] > 4 * kk:  # all at or above the k-th best, then those in order
-            floor = -np.partition(-masked, kk - 1, axis=1)[:, kk - 1]
-            masked = np.where(masked >= floor[:, None], masked, -np.inf)
-        rows, cols = np.nonzero(np.isfinite(masked))
-        order = np.lexsort((cols, -masked[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.searchsorted(rows, rows)
-        kept = np.arange(len(rows)) - first < kk
+        denom = np.sqrt(qn[rows] * dn[cols])
+        sc_ = np.divide(s, denom, out=np.zeros_like(s), where=denom > 0)
+        kept = sc_ >= need[rows]
+        rows, cols, sc_ = rows[kept], cols[kept], sc_[kept]
+        order = np.lexsort((cols, -sc_, rows))
+        rows, cols, sc_ = rows[order], cols[order], sc_[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         rows, cols = rows[kept], cols[kept]
-        return pd.DataFrame({"_qid": qpdf["_qid"].to_numpy()[rows], "_did": dpdf["_did"].to_numpy()[cols],
-                             "raw_score": masked[rows, cols]})
+        return pd.DataFrame({"_qid": qpdf["_qid"].to_numpy()[rows], "_did": dpdf["_did"].to_numpy()[cols], "raw_score": sc_[kept]})
 
     return (q_side.groupBy("_cell", "_ds", "_qs").cogroup(doc_side.groupBy("_cell", "_ds", "_qs"))
             .applyInPandas(score, out_schema))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from askframe import rules
 from askframe.operators.embed import hashed_long_form, hashed_vectors
-from askframe.operators.similarity import build_cells, nprobe_for_recall, search_cells, similarity_topk
+from askframe.operators.similarity import SAMPLE_QUESTIONS, build_cells, nprobe_for_recall, sampled_questions, search_cells, similarity_topk
 from askframe.operators.util import materialize
 from askframe.operators.vectors import index_stats as stats_of
 from askframe.plans import inputs as I
@@ -59,9 +61,10 @@ def vec_topk_filtered(spark, d):
 
 
 # --------------------------------------------------------------------------- J3
-# The centroids are the first vectors by id, so SQL can follow: cells, the share of exact hits within the nearest
-# cells, the fewest cells that hold ANN_RECALL of them, and the hits in those.
-ANN_CELL_ROWS, ANN_RECALL = 64, 0.9
+# The centroids are the first vectors by id and the sample has the least MD5s, so SQL can follow: cells, the places of the
+# sample's exact answers among the nearest cells, the fewest cells whose share of them is at least ANN_RECALL by its lower
+# confidence bound, and the answers in those.
+ANN_CELL_ROWS, ANN_RECALL, ANN_CONFIDENCE = 64, 0.9, 0.95
 
 _UNIT = "list_transform(v, lambda x: x / sqrt(sq))"
 
@@ -76,10 +79,16 @@ def _ann_ctes():
         ("d", "SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cell) AS depth FROM s "
               "WHERE cell IN (SELECT cell FROM own)"),
         ("x", Q.topk(_DENSE, _DENSE)),
-        ("h", "SELECT d.depth, count(*) AS n FROM x JOIN own ON own.id = x.doc_id "
-              "JOIN d ON d.id = x.query_id AND d.cell = own.cell GROUP BY d.depth"),
-        ("p", f"SELECT min(depth) AS nprobe FROM (SELECT depth, sum(n) OVER (ORDER BY depth) AS got, sum(n) OVER () AS total "
-              f"FROM h) WHERE got >= {ANN_RECALL} * total"),
+        ("few", f"SELECT id FROM e ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {SAMPLE_QUESTIONS}"),
+        ("h", "SELECT x.query_id, d.depth FROM x JOIN few ON few.id = x.query_id JOIN own ON own.id = x.doc_id "
+              "JOIN d ON d.id = x.query_id AND d.cell = own.cell"),
+        ("t", "SELECT query_id, count(*) AS t FROM h GROUP BY query_id"),
+        ("f", "SELECT m, t.query_id, any_value(t.t) AS t, count(h.depth) AS f FROM (SELECT DISTINCT depth AS m FROM h) CROSS JOIN t "
+              "LEFT JOIN h ON h.query_id = t.query_id AND h.depth <= m GROUP BY m, t.query_id"),
+        ("g", "SELECT m, count(*) AS n, CAST(sum(f) AS DOUBLE) AS f, CAST(sum(t) AS DOUBLE) AS t, CAST(sum(f * f) AS DOUBLE) AS ff, "
+              "CAST(sum(f * t) AS DOUBLE) AS ft, CAST(sum(t * t) AS DOUBLE) AS tt FROM f GROUP BY m"),
+        ("p", f"SELECT coalesce(min(m), 1) AS nprobe FROM g WHERE f / t - {NormalDist().inv_cdf(ANN_CONFIDENCE)!r} * sqrt("
+              f"greatest(0, ff - 2 * (f / t) * ft + (f / t) * (f / t) * tt) * n / greatest(1, n - 1)) / t >= {ANN_RECALL}"),
         ("a", f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, raw FROM (SELECT *, row_number() OVER "
               f"(PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (SELECT q.id AS query_id, t.id AS doc_id, "
               f"CASE WHEN q.sq > 0 AND t.sq > 0 THEN list_inner_product(q.v, t.v) / sqrt(q.sq * t.sq) ELSE 0 END AS raw "
@@ -91,7 +100,7 @@ def _ann_ctes():
 def _ann(spark, d):
     q, v = _dense_inputs(spark, d)
     index = build_cells(v.select(F.col("vec_id").alias("doc_id"), "embedding"), cell_rows=ANN_CELL_ROWS, seeds="first")
-    nprobe = nprobe_for_recall(q, index, recall=ANN_RECALL)
+    nprobe = nprobe_for_recall(q, index, recall=ANN_RECALL, confidence=ANN_CONFIDENCE)
     return q, index, nprobe, search_cells(q, index, mode="approx", nprobe=nprobe)
 
 
@@ -102,11 +111,13 @@ def vec_topk_ann(spark, d):
 
 @register("vec_ann_recall", I.with_(_ann_ctes(), (
     "SELECT CAST((SELECT nprobe FROM p) AS INTEGER) AS nprobe, count(*) AS n_exact, count(a.doc_id) AS n_found "
-    "FROM x LEFT JOIN a ON a.query_id = x.query_id AND a.doc_id = x.doc_id")))
+    "FROM x LEFT JOIN a ON a.query_id = x.query_id AND a.doc_id = x.doc_id WHERE x.query_id NOT IN (SELECT id FROM few)")))
 def vec_ann_recall(spark, d):
     q, index, nprobe, hits = _ann(spark, d)
     found = hits.select("query_id", "doc_id", F.lit(1).alias("found"))
-    exact = search_cells(q, index).select("query_id", "doc_id")
+    few = sampled_questions(q.filter(F.col("embedding").isNotNull()), "query_id").select("query_id")
+    # measured on the questions that the choice has not seen
+    exact = search_cells(q.join(few, "query_id", "left_anti"), index).select("query_id", "doc_id")
     return (exact.join(found, ["query_id", "doc_id"], "left")
             .agg(F.lit(nprobe).cast("int").alias("nprobe"), F.count(F.lit(1)).alias("n_exact"), F.count("found").alias("n_found")))
 
