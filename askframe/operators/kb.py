@@ -41,23 +41,23 @@ def assign_dense_ids(df: DataFrame, order_cols: list[str], out: str = "ord",
     Range-partition and sort by the order, checkpoint (to the shared folder, so
     partition contents are fixed and survive executor loss), count rows per
     partition (one number per partition reaches the driver), then add the
-    partition's offset to the row's index inside its partition.
+    partition's offset (a row of a small table) to the row's index inside it.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range sampler and the shuffle would each evaluate ``df``: both read a checkpoint in the shared folder.
     ordered = materialize(materialize(df).repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
-    tagged = ordered.withColumn("_pid", F.spark_partition_id())
+    tagged = (ordered.withColumn("_pid", F.spark_partition_id())
+              .withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
     counts = dict(tagged.groupBy("_pid").count().collect())
-    nparts = ordered.rdd.getNumPartitions()
     offsets, acc = [], 0
-    for p in range(nparts):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    offset_col = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
-    local_idx = F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)
+    for p in sorted(counts):
+        offsets.append((p, acc))
+        acc += counts[p]
+    table = spark.createDataFrame(offsets, "_pid int, _offset long")  # at most a row per partition
     start_col = start if isinstance(start, Column) else F.lit(start).cast("long")
-    return tagged.withColumn(out, offset_col + local_idx + start_col).drop("_pid")
+    return (tagged.join(F.broadcast(table), "_pid")
+            .select(*df.columns, (F.col("_offset") + F.col("_at") + start_col).alias(out)))
 
 
 def redact_and_filter(raw: DataFrame, profile: rules.Profile = rules.DEFAULT_PROFILE) -> DataFrame:
@@ -109,14 +109,14 @@ def upload_rows(uploads: DataFrame, profile: rules.Profile = rules.DEFAULT_PROFI
                           cleaned.alias("answer"), F.col("seq"))
 
 
-def append_uploads(kb: DataFrame, uploads: DataFrame,
+def append_uploads(kb: DataFrame | int, uploads: DataFrame,
                    profile: rules.Profile = rules.DEFAULT_PROFILE) -> DataFrame:
-    """New KB rows for a batch of uploads; ids continue after the current KB size.
+    """New KB rows for a batch of uploads; ids continue after the current KB (a table, or the first number itself).
 
     Uploads are neither deduplicated nor filtered for blank text, as in the
     one-at-a-time flow being rebuilt.
     """
-    base = kb.count()
+    base = kb if isinstance(kb, int) else kb.count()
     rows = upload_rows(uploads, profile)
     ided = assign_dense_ids(rows, ["seq"], "ord", start=base)
     return ided.select(doc_id(F.col("ord")).alias("id"), "category", "source", "source_sheet",

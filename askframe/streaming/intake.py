@@ -11,11 +11,18 @@ it stopped.  A micro-batch is known by its stream (the checkpoint folder) and
 its number: several streams may write to one KB.  Its rows go to a folder of
 that key, whose committed writes a replay skips, completing what is missing.
 The KB is written before the vectors, the vectors before the stored index.
+
+Uploads are many small files.  Spark packs files into tasks by bytes and adds
+``spark.sql.files.openCostInBytes`` (4 MB) for each, so 10,000 small files
+become hundreds of tasks of 32 files however few cores there are; inside the
+intake a file counts ``OPEN_COST`` more, so tasks get groups of files balanced
+by bytes, as many groups as there are cores or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +35,21 @@ from askframe.sources.uploads import UPLOAD_GLOB, category_from_path, decode_upl
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+OPEN_COST = 64 * 1024
+
+
+@contextmanager
+def packed_files(spark: SparkSession, open_cost: int = OPEN_COST):
+    """A stream started inside plans its file groups with this cost per file (it copies the session's settings)."""
+    key = "spark.sql.files.openCostInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(open_cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vectors_path: str,
                         checkpoint: str, profile: rules.Profile = rules.DEFAULT_PROFILE,
                         embedder: Callable[[Column], Column] | None = None, available_now: bool = True,
@@ -47,7 +69,8 @@ def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vect
 
     writer = decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    with packed_files(spark):
+        return writer.start()
 
 
 def start_question_answering(spark: SparkSession, source_dir: str, schema: str, vectors: DataFrame | None,

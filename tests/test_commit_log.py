@@ -1,0 +1,142 @@
+"""Appends by several writers, and the intake of many small files."""
+
+import json
+import threading
+import time
+
+import pytest
+
+from askframe.operators import kb as K
+from askframe.sources import kb_store
+from askframe.sources.commit_log import CommitLog
+from askframe.streaming import intake
+
+
+def _uploads(spark, texts):
+    return spark.createDataFrame([(t, "Cards", i) for i, t in enumerate(texts)], "text string, category string, pos long") \
+        .selectExpr("text", "category", "named_struct('src_no', 2, 'pos', pos) AS seq")
+
+
+def test_claims_are_disjoint_without_gaps(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "kb"))
+    starts = [log.claim("a", 3, lambda: 10), log.claim("b", 4, pytest.fail), log.claim("c", 0, pytest.fail), log.claim("d", 1, pytest.fail)]
+    assert starts == [10, 13, 17, 17]
+    assert log.claim("b", 4, pytest.fail) == 13 and log.claim("b", 2, pytest.fail) == 13   # a replay keeps its range
+    assert log.claim("b", 9, pytest.fail) == 18 and log.claim("b", 9, pytest.fail) == 18   # a larger one gets a new range
+    assert log.last() == {"number": 4, "batch": "b", "start": 18, "rows": 9}
+
+
+def test_a_claim_without_its_pointer_is_found(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "kb"))
+    log.claim("a", 3, lambda: 0)
+    log.claim("b", 3, lambda: 0)
+    (tmp_path / "kb" / "_log" / "keys" / "a").unlink()
+    assert log.claim("a", 3, pytest.fail) == 0
+
+
+def test_the_second_of_two_claimants_tries_the_next_number(spark, tmp_path, monkeypatch):
+    log, other = CommitLog(spark, str(tmp_path / "kb")), CommitLog(spark, str(tmp_path / "kb"))
+    original = CommitLog.last
+    raced = []
+
+    def last(self):
+        seen = original(self)
+        if self is log and not raced:
+            raced.append(other.claim("other", 5, lambda: 0))  # comes in between reading and publishing
+        return seen
+
+    monkeypatch.setattr(CommitLog, "last", last)
+    assert log.claim("mine", 7, lambda: 0) == 5 and raced == [0]
+    names = sorted(p.name for p in (tmp_path / "kb" / "_log" / "claims").iterdir() if p.name.isdigit())
+    assert [json.loads((tmp_path / "kb" / "_log" / "claims" / n).read_text())["batch"] for n in names] == ["other", "mine"]
+
+
+def test_many_claimants_at_once(spark, tmp_path):
+    got = {}
+
+    def run(name):
+        log = CommitLog(spark, str(tmp_path / "kb"))
+        got[name] = [(log.claim(f"{name}-{i}", i + 1, lambda: 0), i + 1) for i in range(6)]
+
+    threads = [threading.Thread(target=run, args=(f"w{t}",)) for t in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    ranges = sorted(r for x in got.values() for r in x)
+    assert len(ranges) == 30
+    assert all(a + n == b for (a, n), (b, _) in zip(ranges, ranges[1:])) and ranges[0][0] == 0
+
+
+def test_two_concurrent_appends_get_disjoint_ids(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    build = spark.createDataFrame([(f"doc_{i:04d}", "c", "s", "", "q", "a", "t", i) for i in range(5)],
+                                  "id string, category string, source string, source_sheet string, question string, answer string, "
+                                  "text string, ord long")
+    kb_store.write_knowledge_base(build, path)
+    errors = []
+
+    def run(name, n):
+        try:
+            kb_store.append_uploads_to(spark, path, _uploads(spark, [f"{name} {i}" for i in range(n)]), key=f"append-{name}")
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=run, args=x) for x in (("a", 4), ("b", 7), ("c", 1))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    rows = kb_store.load_knowledge_base(spark, path).orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(17)) and [r.id for r in rows] == [f"doc_{i:04d}" for i in range(17)]
+    kb_store.write_knowledge_base(build, path)  # a rebuild starts the log anew
+    assert CommitLog(spark, path).last()["rows"] == 5 and kb_store.load_knowledge_base(spark, path).count() == 5
+
+
+def test_an_append_does_not_count_the_kb(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "kb")
+    kb_store.append_uploads_to(spark, path, _uploads(spark, ["one"]))
+    monkeypatch.setattr(kb_store, "read_table", lambda *a: pytest.fail("the whole KB was read"))
+    rows = kb_store.append_uploads_to(spark, path, _uploads(spark, ["two", "three"])).orderBy("ord").collect()
+    assert [r.ord for r in rows] == [1, 2]
+
+
+def test_numbering_plan_has_no_literal_per_partition(spark):
+    df = spark.range(2000).selectExpr("id AS seq").repartition(50)
+    out = K.assign_dense_ids(df, ["seq"], "ord", partitions=60)
+    assert [tuple(r) for r in out.orderBy("seq").collect()] == [(i, i) for i in range(2000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastHint" in plan or "broadcast" in plan.lower()
+    assert "element_at" not in plan
+
+
+def test_ten_thousand_small_files(spark, tmp_path):
+    for c in range(4):
+        (tmp_path / "in" / f"c{c}").mkdir(parents=True)
+    for i in range(10_000):
+        (tmp_path / "in" / f"c{i % 4}" / f"{i:05d}.txt").write_text(f"text {i}")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    start = time.time()
+    q = intake.start_upload_intake(spark, str(tmp_path / "in"), str(tmp_path / "kb"), str(tmp_path / "vec"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    seconds = time.time() - start
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == old
+    kb = kb_store.load_knowledge_base(spark, str(tmp_path / "kb"))
+    assert kb.count() == 10_000 and kb.select("ord").distinct().count() == 10_000
+    assert seconds < 30, seconds  # a few seconds on a free machine; hundreds of tasks without packing
+    for name in (tmp_path / "ck" / "commits").iterdir():  # the progress log lacks the batch: a replay adds nothing
+        name.unlink()
+    intake.start_upload_intake(spark, str(tmp_path / "in"), str(tmp_path / "kb"), str(tmp_path / "vec"), str(tmp_path / "ck")).awaitTermination()
+    assert kb_store.load_knowledge_base(spark, str(tmp_path / "kb")).count() == 10_000
+
+
+def test_files_are_packed_by_bytes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(400):
+        (tmp_path / "in" / f"{i}.txt").write_text("x")
+    groups = {}
+    for cost in (None, intake.OPEN_COST):
+        with intake.packed_files(spark, cost or 4 << 20):
+            groups[cost] = spark.read.format("binaryFile").load(str(tmp_path / "in")).rdd.getNumPartitions()
+    assert groups[None] >= 13 and groups[intake.OPEN_COST] <= 2 * spark.sparkContext.defaultParallelism
