@@ -45,6 +45,7 @@ from askframe.operators import block_scores
 from askframe.operators.block_scores import unit_rows as _unit
 from askframe.operators.util import materialize
 from askframe.session import ship_package
+from askframe.sources.commit_log import CommitLog
 
 def _collect_vectors(df: DataFrame, col: str) -> np.ndarray:
     """A bounded vector column to an ``n x dim`` float64 matrix through Arrow (no per-float Python objects)."""
@@ -89,8 +90,8 @@ def _centroids(docs: DataFrame, n_cells: int, seeds: str, refine_steps: int, sam
     return x if len(x) else np.zeros((1, dim))
 
 
-def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
-    """Adds ``_n`` (squared norm), ``_cell`` (nearest centroid) and ``_dist`` (distance of the unit vector)."""
+def _assign(docs: DataFrame, cents_bc, integer: bool, among: np.ndarray | None = None) -> DataFrame:
+    """Adds ``_n`` (squared norm), ``_cell`` (nearest centroid, of those ``among``) and ``_dist`` (distance of the unit vector)."""
     schema = T.StructType(list(docs.schema.fields) + [
         T.StructField("_n", T.DoubleType()), T.StructField("_cell", T.IntegerType()),
         T.StructField("_dist", T.DoubleType())])
@@ -104,6 +105,8 @@ def _assign(docs: DataFrame, cents_bc, integer: bool) -> DataFrame:
             u = _unit(m)
             cents = cents_bc.value
             sims = u @ cents.T
+            if among is not None:
+                sims[:, ~among] = -np.inf
             cell = sims.argmax(axis=1)
             dist = np.sqrt(np.maximum(((u - cents[cell]) ** 2).sum(axis=1), 0.0))
             out = pdf.copy()
@@ -166,6 +169,7 @@ def _cell_bounds(assigned: DataFrame, n_cells: int) -> tuple[np.ndarray, np.ndar
 
 def write_index(index: CellIndex, path: str) -> None:
     """Persist an index: documents partitioned by batch and cell (searches read only probed cells) + a cells table."""
+    CommitLog(index.assigned.sparkSession, path).clear()  # a rebuild forgets what compactions did
     for folder, df in (("data", index.assigned.withColumn("batch", F.lit("build"))),
                        ("cells", _cells_frame(index, range(len(index.centroids))).withColumn("batch", F.lit("build")))):
         parts = ["batch", "_cell"] if folder == "data" else ["batch"]
@@ -183,18 +187,24 @@ def _cells_frame(index: CellIndex, cells) -> DataFrame:
 def add_to_index(spark, path: str, docs: DataFrame, key: str) -> None:
     """Add documents to a stored index under a batch ``key``; the same key again replaces that batch.
 
-    Each document goes to the nearest stored centroid.  The batch's own cell
+    A batch that a compaction has taken in is final: its key again does nothing.  Each document goes to the nearest stored centroid.  The batch's own cell
     sizes and radii are stored beside those of the build; readers add up the
     sizes and take the largest radius, so exact search stays exact.
     """
     ship_package(spark)
+    if key.startswith(COMPACTED):
+        raise ValueError(f"not a batch key: {key!r}")
+    if key in snapshot(spark, path)["retired"]:
+        return
     index = read_index(spark, path)
     payload = [c for c in index.assigned.columns if not c.startswith("_")]
     missing = [c for c in [index.did, index.vec, *payload] if c not in docs.columns]
     if missing:
         raise ValueError(f"the index at {path} needs columns {missing}")
     d = docs.select(F.col(index.did).alias("_did"), F.col(index.vec).alias("_v"), *payload).filter(F.col("_v").isNotNull())
-    assigned = materialize(_assign(d, spark.sparkContext.broadcast(index.centroids), index.integer))
+    # a cell that was split has no documents: new ones go to the cells it was split into
+    assigned = materialize(_assign(d, spark.sparkContext.broadcast(index.centroids), index.integer,
+                                   index.counts > 0 if index.counts.any() else None))
     radius, counts = _cell_bounds(assigned, len(index.centroids))
     added = CellIndex(assigned, index.centroids, radius, counts, index.integer, index.did, index.vec)
     assigned.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_cell") \
@@ -202,9 +212,35 @@ def add_to_index(spark, path: str, docs: DataFrame, key: str) -> None:
     _cells_frame(added, np.flatnonzero(counts)).write.mode("overwrite").parquet(f"{path}/cells/batch={key}")
 
 
+COMPACTED = "compact-"
+
+
+def snapshot(spark, path: str) -> dict:
+    """What compactions have made of a stored index: the latest published snapshot.
+
+    ``live`` compacted batches count, ``retired`` batches don't, and neither do
+    the ``split`` cells of the batches named there; every other batch counts.
+    """
+    log = CommitLog(spark, path)
+    numbers = [n for n in log.names("snapshots") if n.isdigit()]
+    return log.read(f"snapshots/{max(numbers)}") if numbers else {"number": -1, "live": [], "retired": [], "split": {}}
+
+
+def counted(table: DataFrame, snap: dict, cell: str) -> DataFrame:
+    """The rows of an index folder (``data`` or ``cells``) that a snapshot counts; filters on partition columns."""
+    batch = F.col("batch").cast("string")
+    table = table.filter(~batch.startswith(COMPACTED) | batch.isin(snap["live"]))
+    if snap["retired"]:
+        table = table.filter(~batch.isin(snap["retired"]))
+    for name, cells in snap["split"].items():
+        table = table.filter(~((batch == name) & F.col(cell).isin(cells)))
+    return table
+
+
 def read_index(spark, path: str) -> CellIndex:
+    snap = snapshot(spark, path)
     # one row per cell and batch, joined here to one per cell: bounded by max_cells
-    cells = (spark.read.parquet(f"{path}/cells").groupBy("cell", "meta")
+    cells = (counted(spark.read.parquet(f"{path}/cells"), snap, "cell").groupBy("cell", "meta")
              .agg(F.max("centroid").alias("centroid"), F.max("radius").alias("radius"), F.sum("n").alias("n"))
              .orderBy("cell"))
     cells = materialize(cells)
@@ -213,7 +249,7 @@ def read_index(spark, path: str) -> CellIndex:
     cents = _collect_vectors(cells.orderBy("cell"), "centroid")
     radius = small["radius"].to_numpy(dtype=np.float64)
     counts = small["n"].to_numpy(dtype=np.int64)
-    return CellIndex(spark.read.parquet(f"{path}/data").drop("batch"), cents, radius, counts, bool(int(integer)), did, vec)
+    return CellIndex(counted(spark.read.parquet(f"{path}/data"), snap, "_cell").drop("batch"), cents, radius, counts, bool(int(integer)), did, vec)
 
 
 SAMPLE_QUESTIONS = 256

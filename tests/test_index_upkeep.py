@@ -1,0 +1,108 @@
+"""Splitting cells, joining batches and snapshots of a stored index."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from askframe.operators import index_upkeep as U
+from askframe.operators.similarity import add_to_index, build_cells, read_index, search_cells, snapshot, write_index
+from askframe.sources.commit_log import CommitLog
+
+
+def _docs(spark, x, first=0):
+    return spark.createDataFrame([(first + i, [float(a) for a in v]) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+
+
+def _hits(df):
+    return sorted(map(tuple, df.select("query_id", "rank", "doc_id", "raw_score").collect()))
+
+
+def test_fifty_appends_keep_cells_within_the_bound_and_results_exact(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(4, 8)) * 3
+    x = centres[rng.integers(0, 4, 500)] + 0.3 * rng.normal(size=(500, 8))
+    path, bound = str(tmp_path / "ix"), 40
+    write_index(build_cells(_docs(spark, x[:100]), cell_rows=25), path)
+    for b in range(50):
+        add_to_index(spark, path, _docs(spark, x[100 + 8 * b:108 + 8 * b], 100 + 8 * b).coalesce(1), f"append-{b}")
+        if b in (24, 49):
+            assert U.compact_index(spark, path, cell_rows=bound, small_rows=200)
+    index = read_index(spark, path)
+    sizes = {r["_cell"]: r["count"] for r in index.assigned.groupBy("_cell").count().collect()}
+    assert max(sizes.values()) <= bound and sum(sizes.values()) == 500 == index.counts.sum()
+    assert all(index.counts[c] == n for c, n in sizes.items())
+    q = _docs(spark, x).filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    want = _hits(search_cells(q, build_cells(_docs(spark, x), cell_rows=1000)))
+    assert _hits(search_cells(q, index)) == want
+    folders = [p.name for p in (tmp_path / "ix" / "data").iterdir()]
+    assert len([f for f in folders if f.startswith("batch=")]) == 53
+    assert len(U.vacuum_index(spark, path)) > 100
+    folders = {p.name for p in (tmp_path / "ix" / "data").iterdir() if p.name.startswith("batch=")}
+    assert folders == {f"batch={b}" for b in snapshot(spark, path)["live"]}
+    assert _hits(search_cells(q, read_index(spark, path))) == want
+    assert not U.compact_index(spark, path, cell_rows=bound, small_rows=200)  # nothing is left to do
+    add_to_index(spark, path, _docs(spark, x[:3], 9000), "append-3")          # compacted: final
+    assert read_index(spark, path).counts.sum() == 500
+    add_to_index(spark, path, _docs(spark, x[:3], 9000), "append-later")
+    later = read_index(spark, path)
+    assert later.counts.sum() == 503 == later.assigned.count()
+    split = {c for cells in snapshot(spark, path)["split"].values() for c in cells}
+    assert not split & {r["_cell"] for r in later.assigned.filter("_did >= 9000").collect()}
+
+
+def test_copies_of_one_vector_are_dealt_by_hash(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = np.vstack([np.repeat(rng.normal(size=(1, 6)), 300, axis=0), rng.normal(size=(60, 6)), np.zeros((2, 6))])
+    path = str(tmp_path / "ix")
+    write_index(build_cells(_docs(spark, x), cell_rows=1000), path)
+    assert U.compact_index(spark, path, cell_rows=50)
+    index = read_index(spark, path)
+    assert index.counts.max() <= 50 and index.counts.sum() == 362
+    q = _docs(spark, x[[0, 310, 320]]).withColumnRenamed("doc_id", "query_id")
+    assert _hits(search_cells(q, index)) == _hits(search_cells(q, build_cells(_docs(spark, x), cell_rows=1000)))
+
+
+def test_a_compaction_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6))
+    path = str(tmp_path / "ix")
+    write_index(build_cells(_docs(spark, x[:150]), cell_rows=1000), path)
+    add_to_index(spark, path, _docs(spark, x[150:], 150), "append-a")
+    q = _docs(spark, x[:20]).withColumnRenamed("doc_id", "query_id")
+    want = _hits(search_cells(q, read_index(spark, path)))
+    with monkeypatch.context() as m:  # the job dies before it publishes
+        m.setattr(CommitLog, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError, match="died"):
+            U.compact_index(spark, path, cell_rows=60)
+    assert snapshot(spark, path)["number"] == -1 and _hits(search_cells(q, read_index(spark, path))) == want
+    with monkeypatch.context() as m:  # another compaction comes first
+        m.setattr(CommitLog, "publish", lambda *a: False)
+        assert not U.compact_index(spark, path, cell_rows=60)
+    assert _hits(search_cells(q, read_index(spark, path))) == want
+    assert U.compact_index(spark, path, cell_rows=60)
+    after = read_index(spark, path)
+    assert after.assigned.count() == 200 and after.counts.max() <= 60 and _hits(search_cells(q, after)) == want
+    write_index(build_cells(_docs(spark, x[:30])), path)  # a rebuild forgets the snapshots
+    assert read_index(spark, path).assigned.count() == 30 and snapshot(spark, path)["number"] == -1
+
+
+def test_bound_grows_with_the_number_of_cells_allowed(spark, tmp_path):
+    assert U.cell_bound(10**6, 1024) == 1024 and U.cell_bound(10**9, 1024) > 400_000
+    path = str(tmp_path / "ix")
+    write_index(build_cells(_docs(spark, np.random.default_rng(4).normal(size=(400, 4))), cell_rows=1000), path)
+    assert U.compact_index(spark, path, cell_rows=10, max_cells=16)
+    index = read_index(spark, path)
+    assert len(index.centroids) <= 16 and index.counts.sum() == 400 == index.assigned.count()
+
+
+def test_payload_and_counts_survive(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(f"d{i}", [int(a) for a in rng.integers(0, 4, 12)], f"c{i % 3}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id string, tf array<int>, category string")
+    path = str(tmp_path / "ix")
+    write_index(build_cells(docs, vec="tf", integer=True, payload=["category"]), path)
+    assert U.compact_index(spark, path, cell_rows=30)
+    index = read_index(spark, path)
+    assert index.integer and {(r["_did"], r["category"]) for r in index.assigned.collect()} == {(d, c) for d, _, c in rows}
+    q = docs.select(F.col("doc_id").alias("query_id"), "tf")
+    assert _hits(search_cells(q, index, vec="tf")) == _hits(search_cells(q, build_cells(docs, vec="tf", integer=True), vec="tf"))
