@@ -22,6 +22,7 @@ from askframe.operators.vectors import (build_vector_index, index_exists, kb_vec
 from askframe.sources.faq import flatten_faq, read_faq_json
 from askframe.sources.kb_store import has_rows, load_knowledge_base, path_exists, write_knowledge_base
 from askframe.sources.sheets import parse_sheets
+from askframe.sources.units import process_changes
 
 log = logging.getLogger(__name__)
 
@@ -32,12 +33,14 @@ def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str
                          faq_path: str | None = None, workbook_name: str = "workbook.xlsx",
                          skip_sheets: list[str] | None = None, rebuild: bool = False,
                          profile: rules.Profile = rules.DEFAULT_PROFILE,
-                         embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+                         embedder: Callable[[Column], Column] | None = None, units_path: str | None = None) -> DataFrame:
     """Sheets first, then the FAQ; redact, drop blank answers, keep first, number, write.
 
     Without ``rebuild`` an existing, non-empty KB is kept as it is, uploads
     included; vectors or a cell index that are missing are built from it.  A
-    missing source is logged and skipped.  Paths may be globs.
+    missing source is logged and skipped.  Paths may be globs.  With
+    ``units_path`` a build processes only the sheets and files that changed
+    since the builds before (``sources.units``); its result is that of a full one.
     """
     if not rebuild and has_rows(spark, kb_path):
         log.info("knowledge base already exists at %s; pass rebuild=True to rebuild", kb_path)
@@ -48,25 +51,34 @@ def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str
             build_vector_index(load_vectors(spark, vectors_path), index_path)
         return kb
 
-    parts: list[DataFrame] = []
+    sheet_rows = sheet_map = faq = None
     if sheet_rows_path and path_exists(spark, sheet_rows_path):
-        sheet_map = spark.read.parquet(sheet_map_path) if sheet_map_path and path_exists(spark, sheet_map_path) \
-            else None
-        parts.append(parse_sheets(spark.read.parquet(sheet_rows_path), sheet_map, skip_sheets,
-                                  source=workbook_name, src_no=0))
+        sheet_rows = spark.read.parquet(sheet_rows_path)
+        if sheet_map_path and path_exists(spark, sheet_map_path):
+            sheet_map = spark.read.parquet(sheet_map_path)
     elif sheet_rows_path:
         log.warning("sheet rows not found: %s", sheet_rows_path)
     if faq_path and path_exists(spark, faq_path):
-        parts.append(flatten_faq(read_faq_json(spark, faq_path), src_no=1))
+        faq = faq_path
     elif faq_path:
         log.warning("FAQ not found: %s", faq_path)
-    if not parts:
+    if sheet_rows is None and faq is None:
         raise ValueError("no source found; nothing to build")
 
-    raw = parts[0]
-    for p in parts[1:]:
-        raw = raw.unionByName(p)
-    kb = K.process_documents(raw, profile)
+    if units_path:
+        kept, n = process_changes(spark, units_path, sheet_rows, sheet_map, faq, workbook_name, skip_sheets, profile)
+        log.info("%d sheets or files processed", n)
+        kb = K.fold(kept)
+    else:
+        parts = []
+        if sheet_rows is not None:
+            parts.append(parse_sheets(sheet_rows, sheet_map, skip_sheets, source=workbook_name, src_no=0))
+        if faq is not None:
+            parts.append(flatten_faq(read_faq_json(spark, faq), src_no=1))
+        raw = parts[0]
+        for p in parts[1:]:
+            raw = raw.unionByName(p)
+        kb = K.process_documents(raw, profile)
     write_knowledge_base(kb, kb_path)
     kb = load_knowledge_base(spark, kb_path)
     if vectors_path:

@@ -83,7 +83,11 @@ def finish_kb(first: DataFrame, start: int | Column = 0) -> DataFrame:
 
 def process_documents(raw: DataFrame, profile: rules.Profile = rules.DEFAULT_PROFILE) -> DataFrame:
     """Raw Q/A rows (``RAW_COLUMNS``) to knowledge-base rows (``KB_COLUMNS``)."""
-    kept = redact_and_filter(raw.select(*RAW_COLUMNS), profile)
+    return fold(redact_and_filter(raw.select(*RAW_COLUMNS), profile))
+
+
+def fold(kept: DataFrame) -> DataFrame:
+    """Redacted rows to knowledge-base rows: the first of each key, numbered."""
     first = dedup_keep_first(kept, dedup_question_key("category", "question"), ["seq"])
     return finish_kb(first)
 
