@@ -6,6 +6,11 @@ which marks what a model is trained to produce.  Expressions have literals,
 names, ``a.b`` and ``a['b']`` (keys of mappings only, so no Python attribute can
 be reached), filters from a fixed set, arithmetic, comparison and logic.
 
+The sandbox also bounds what a template can ask for: a text that an operator
+makes (``MAX_TEXT``), whole numbers (64 bits) nesting (``MAX_DEPTH``) and an
+expression's length (``MAX_TOKENS``); beyond
+that, and for anything that is not in the language, it is a ``TemplateError``.
+
 ``compile_template`` parses to a syntax tree, folds constants and generates
 closures.  Rendering is a stream of ``(text, is_generated)`` fragments, so a
 conversation of any length needs memory for one message.
@@ -87,8 +92,44 @@ _TOKENS = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
             "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b}
-_ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "%": lambda a, b: a % b,
-               "~": lambda a, b: _show(a) + _show(b)}
+MAX_TEXT, MAX_DEPTH, MAX_TOKENS = 1 << 27, 60, 400
+_NAME = re.compile(r"[A-Za-z_]\w*")
+_RESERVED = {"true", "false", "none", "not", "and", "or", "if", "else", "in"}
+
+
+def _within(x):
+    """A result of an operator, if the sandbox allows its size."""
+    if isinstance(x, int) and not -(1 << 63) <= x < 1 << 63 or isinstance(x, str) and len(x) > MAX_TEXT:
+        raise TemplateError("a result is too large")
+    return x
+
+
+def _times(a, b):
+    """The product of two numbers, or a text repeated."""
+    n, text = (a, b) if isinstance(b, str) else (b, a)
+    if isinstance(text, str) and isinstance(n, int) and len(text) * n > MAX_TEXT:
+        raise TemplateError("a result is too large")
+    if not all(isinstance(x, (int, str)) for x in (a, b)):
+        raise TemplateError("only numbers and texts can be multiplied")
+    return _within(a * b)
+
+
+def _rest(a, b):
+    """The remainder of two numbers (for texts, ``%`` would be a formatting language of its own)."""
+    if isinstance(a, str):
+        raise TemplateError("only numbers have a remainder")
+    return a % b
+
+
+_ARITHMETIC = {"+": lambda a, b: _within(a + b), "-": lambda a, b: _within(a - b), "*": _times, "%": _rest,
+               "~": lambda a, b: _within(_show(a) + _show(b))}
+
+
+def _assigned(name: str) -> str:
+    """A name that a statement may bind."""
+    if not _NAME.fullmatch(name) or name in _RESERVED:
+        raise TemplateError(f"not a name: {name!r}")
+    return name
 
 
 def _show(x) -> str:
@@ -113,7 +154,9 @@ class _Expression:
             else:
                 self.tokens.append(("name", name) if name else ("mark", mark))
             at = m.end()
-        self.at = 0
+        if len(self.tokens) > MAX_TOKENS:
+            raise TemplateError("an expression is too long")
+        self.at = self.depth = 0
 
     def take(self, *wanted: str) -> str | None:
         kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("", None)
@@ -132,12 +175,19 @@ class _Expression:
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
         return e
 
+    def deeper(self) -> None:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise TemplateError("an expression is nested too deeply")
+
     def choice(self) -> tuple:
+        self.deeper()
         e = self.any_of()
         if self.take("if"):
             condition = self.any_of()
             self.need("else")
-            return ("if", condition, e, self.choice())
+            e = ("if", condition, e, self.choice())
+        self.depth -= 1
         return e
 
     def any_of(self) -> tuple:
@@ -153,7 +203,12 @@ class _Expression:
         return e
 
     def negated(self) -> tuple:
-        return ("not", self.negated()) if self.take("not") else self.compared()
+        if not self.take("not"):
+            return self.compared()
+        self.deeper()
+        e = ("not", self.negated())
+        self.depth -= 1
+        return e
 
     def compared(self) -> tuple:
         e = self.joined()
@@ -221,9 +276,18 @@ class _Expression:
 def parse(source: str) -> list:
     """The statements of a template."""
     parts = _PARTS.split(source)
-    at = 0
+    at = depth = 0
 
     def body(*ends: str) -> tuple[list, str, str]:
+        nonlocal depth
+        depth += 1
+        if depth > MAX_DEPTH:
+            raise TemplateError("statements are nested too deeply")
+        found = inside(*ends)
+        depth -= 1
+        return found
+
+    def inside(*ends: str) -> tuple[list, str, str]:
         nonlocal at
         out: list = []
         while at < len(parts):
@@ -238,7 +302,7 @@ def parse(source: str) -> list:
                 if word == "for":
                     name, _, over = rest.partition(" in ")
                     inner, _, _ = body("endfor")
-                    out.append(For(name.strip(), _Expression(over).whole(), inner))
+                    out.append(For(_assigned(name.strip()), _Expression(over).whole(), inner))
                 elif word == "if":
                     branches, condition = [], _Expression(rest).whole()
                     while True:
@@ -250,7 +314,7 @@ def parse(source: str) -> list:
                     out.append(If(branches))
                 elif word == "set":
                     name, _, value = rest.partition("=")
-                    out.append(Set(name.strip(), _Expression(value).whole()))
+                    out.append(Set(_assigned(name.strip()), _Expression(value).whole()))
                 elif word == "generation":
                     out.append(Generation(body("endgeneration")[0]))
                 else:
@@ -276,6 +340,8 @@ def fold_expression(e: tuple) -> tuple:
     if all(x[0] == "const" for x in e if isinstance(x, tuple)):
         try:
             return ("const", _expression(e)({}))
+        except TemplateError:
+            raise
         except (TypeError, ValueError, ArithmeticError):
             return e  # the error belongs to the rendering
     return e

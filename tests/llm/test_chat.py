@@ -75,3 +75,19 @@ def test_spans_mark_the_assistants_texts(spark):
 
 def test_empty_table(spark, tables):
     assert [r["conv_id"] for r in chat.op2(spark, tables(conversations=[])).collect()] == [-1]
+
+
+@pytest.mark.parametrize("source", [
+    "{{ 'x' * 100000000000 }}", "{{ 100000000000 * 'x' }}", "{{ 9223372036854775807 * 9223372036854775807 }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}",
+    "{{ " + "not " * 5000 + "x }}", "{{ " + "1 + " * 5000 + "1 }}", "{% if x %}" * 500 + "{% endif %}" * 500,
+    "{% for a.b in xs %}{% endfor %}", "{% for in xs %}{% endfor %}", "{% for true in xs %}{% endfor %}", "{% set a b = 1 %}", "{% set 1 = 1 %}",
+    "{{ '%s' % 'x' }}"])
+def test_the_sandbox_refuses_what_it_does_not_bound(source):
+    with pytest.raises(ct.TemplateError):
+        ct.compile_template(source)
+
+
+def test_growth_while_rendering_is_bounded():
+    template = ct.compile_template("{% set x = y %}" + "{% set x = x ~ x %}" * 60 + "{{ x }}")
+    with pytest.raises(ct.TemplateError):
+        template.render([], y="ab" * 1000)
