@@ -16,7 +16,10 @@ only a few sums over all sources reach the driver.
 
 Defined cases: a null or empty text has one token; a null source is a source;
 documents without an id are documents like others; repeated rows are repeated
-documents; an empty table gives no rows.
+documents; a text of any length is one document (one longer than a block is a
+block of its own size); ties cannot arise, since every row has a key of its own;
+an empty table gives no rows.  ``op4`` reads doc_id, text and source only; the
+stage carries all other columns along in one struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from askframe.llm import common
 BLOCK_TOKENS = 1 << 20
 MAX_REPEAT = 2.0
 SECTIONS = 16
+LANE_BITS = 10      # an epoch's blocks are summed in 2 ** LANE_BITS spans
 EQUAL_ROWS = 10_000  # equal rows numbered by one task at a time
 
 
@@ -147,8 +151,15 @@ def plan(rows: DataFrame, *, entropy: float | None = None, max_repeat: float | N
     uses = (blocks.join(sources, "__s")
             .withColumn("epoch", F.explode(F.expr("sequence(0L, ceil(quota / source_tokens) - 1)")))
             .where(F.col("quota") > 0))
-    order = W.partitionBy("__s", "epoch").orderBy(_hash(seed, "block", F.col("epoch"), F.col("__s"), F.col("block")), "block")
-    start = F.coalesce(F.sum("block_tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # a permutation is the order of a hash; its running sums are taken inside spans of the hash and over the spans
+    uses = common.written(uses.withColumn("__o", _hash(seed, "block", F.col("epoch"), F.col("__s"), F.col("block")))
+                          .withColumn("__lane", F.shiftright("__o", 64 - LANE_BITS)), "mix-epochs")
+    before = W.partitionBy("__s", "epoch").orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)
+    lanes = (uses.groupBy("__s", "epoch", "__lane").agg(F.sum("block_tokens").alias("t"))
+             .select("__s", "epoch", "__lane", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("__from")))
+    uses = uses.join(lanes, ["__s", "epoch", "__lane"])
+    order = W.partitionBy("__s", "epoch", "__lane").orderBy("__o", "block").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("__from") + F.coalesce(F.sum("block_tokens").over(order), F.lit(0))
     left = F.col("quota") - F.col("epoch") * F.col("source_tokens") - F.col("start")
     uses = (uses.withColumn("start", start).withColumn("need", F.least(left, F.col("block_tokens"))).where("need > 0")
             .withColumn("mix_at", (F.col("epoch") * F.col("source_tokens") + F.col("start")) / F.col("quota"))
