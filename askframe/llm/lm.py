@@ -20,7 +20,10 @@ parameters and class totals, whose number is a constant, reach the driver.
 
 Defined cases: a null or empty text is one end token; repeated rows are scored
 (and, outside the held-out fold, counted) one by one; a null id is scored and
-falls into the fold of the empty text; an empty table gives no rows; without
+falls into the fold of the empty text; bytes that are not UTF-8 are read as
+U+FFFD; texts of any length are scored whole (a block ends after the text that
+fills it); words of equal count are told apart by their letters when classes of
+their own are given out; an empty table gives no rows; without
 training tokens all classes are equally likely.  Other columns are not read.
 """
 

@@ -17,7 +17,9 @@ ids.  U+2581 in a text itself is written as bytes, so that decoding can't take
 it for a space.
 
 Defined cases: a null or empty text has no pieces; repeated rows are encoded
-alike; a null id has the variant of the empty text; an empty table gives no
+alike; a null id has the variant of the empty text; bytes that are not UTF-8 are
+read as U+FFFD; texts and words of any length are encoded whole (long words with
+a heap); of candidates of equal rank the leftmost merges; an empty table gives no
 rows.  Other columns are not read.
 """
 

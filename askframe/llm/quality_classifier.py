@@ -6,7 +6,8 @@ kept rules become one Spark column expression over the statistics' columns.
 
 Defined cases: a null text counts as empty; an empty text has all statistics 0
 and gets the score those give; repeated rows are scored one by one; an empty
-table gives no rows; without labels of both classes every score is the smoothed
+table gives no rows; texts of any length are measured whole; rows with equal
+statistics have equal scores; without labels of both classes every score is the smoothed
 share of label 1.  Other columns of the input are not read.
 """
 

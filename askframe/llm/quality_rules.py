@@ -5,7 +5,8 @@ probability of quality never rises with the share of symbols, repeated lines,
 repeated windows or exclamation marks (monotone features).
 
 Defined cases: a null text is an empty one (no words: the base rules fail it);
-repeated rows are judged one by one; an empty table gives no rows; without
+repeated rows are judged one by one; texts of any length are measured whole;
+rows with equal statistics have equal verdicts; an empty table gives no rows; without
 labels of both classes the verdict is the constant smoothed share.  Other
 columns are not read.
 """

@@ -16,7 +16,9 @@ pairs, and components come from alternating star steps over tables.
 Defined cases: null, empty and blank texts have fingerprint zero and are one
 another's copies; repeated rows give repeated result rows; rows without an id
 get a fingerprint and the component of their group (null if no member has an
-id); an empty table gives no rows.  Other columns are not read.
+id); texts of any length are hashed whole, in batches of shingles; a bit set in
+exactly half the shingles is 0, and the smallest id names a component, so ties
+decide nothing else; an empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations

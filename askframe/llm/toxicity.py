@@ -10,7 +10,8 @@ logistic model over these counts gives the score.
 
 Defined cases: a null text counts as empty; an empty text has no hits and gets
 the model's lowest kind of score, the one of a text without hits; repeated rows
-are scored one by one; an empty table gives no rows; without labels the
+are scored one by one; texts and words of any length are read whole (only what is remembered of words is bounded), and ties
+cannot arise, since each row is scored alone; an empty table gives no rows; without labels the
 lexicon is empty and all texts score alike.  Other columns are not read.
 """
 
