@@ -223,15 +223,17 @@ def snapshot(spark, path: str) -> dict:
     """
     log = CommitLog(spark, path)
     numbers = [n for n in log.names("snapshots") if n.isdigit()]
-    return log.read(f"snapshots/{max(numbers)}") if numbers else {"number": -1, "live": [], "retired": [], "split": {}}
+    snap = log.read(f"snapshots/{max(numbers)}") if numbers else {"number": -1, "live": [], "retired": [], "split": {}}
+    batches = [n.removeprefix("batch=") for n in log.names("../data") if n.startswith("batch=")]
+    unseen = [b for b in batches if b.startswith(COMPACTED) and b not in snap["live"]]  # not published
+    return {**snap, "hidden": sorted({*unseen, *snap["retired"]})}
 
 
 def counted(table: DataFrame, snap: dict, cell: str) -> DataFrame:
     """The rows of an index folder (``data`` or ``cells``) that a snapshot counts; filters on partition columns."""
     batch = F.col("batch").cast("string")
-    table = table.filter(~batch.startswith(COMPACTED) | batch.isin(snap["live"]))
-    if snap["retired"]:
-        table = table.filter(~batch.isin(snap["retired"]))
+    if snap["hidden"]:
+        table = table.filter(~batch.isin(snap["hidden"]))
     for name, cells in snap["split"].items():
         table = table.filter(~((batch == name) & F.col(cell).isin(cells)))
     return table
