@@ -111,7 +111,8 @@ def least_letters(word: str) -> int:
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """One edit in four letters or more, two in nine or more; with an edit most words of three letters meet another word."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 EXACT, STEM, EDIT1, EDIT2 = 1, 2, 3, 4

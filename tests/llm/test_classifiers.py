@@ -170,6 +170,16 @@ def test_automaton_allows_edits_at_the_first_letter(monkeypatch):
         assert m.kind(w) == want, (w, near)
 
 
+def test_short_terms_take_one_edit_but_no_clean_word():
+    """Every word at one edit of a term of four letters is found, clean words of the sample are not."""
+    m = toxicity.Matcher(["scum", "cad"], [], ["scum"], {"scam", "sum"})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    near = {"scum"[:i] + c + "scum"[j:] for i in range(5) for j in (i, i + 1) if j <= 4 for c in ["", *letters]} - {"scum"}
+    assert all(edit_distance(w, "scum") == 1 for w in near) and len(near) > 200
+    assert {w for w in near if m.kind(w) != toxicity.EDIT1} == {"scam", "sum"}
+    assert m.kind("scum") == toxicity.EXACT and m.kind("sucm") == m.kind("bad") == 0 and toxicity.edits_allowed("cad") == 0
+
+
 def test_a_term_in_many_toxic_places_may_be_in_some_clean_ones(spark):
     rows = [(i, f"w{i}x gromblat", 1, i % 2) for i in range(400)] + [(1000 + i, f"v{i}x gromblat", 0, i % 2) for i in range(12)]
     rows += [(2000 + i, "w0x gromblat", 1, i % 2) for i in range(5)]  # copies of a place count once
