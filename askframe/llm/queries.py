@@ -1,9 +1,9 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express.
 
-Phrases and URL filters have SQL.  The others have none: fitted models, XXH64,
-public vocabularies, shortest paths and SHA-256 of reconstructed texts are not
-in DuckDB's SQL; the tests compare each with a brute-force version, an exact
-round trip or held-out accuracy.
+Chat formatting, phrases, URL filters and conversation repair have SQL.  The
+others have none: fitted models, XXH64 and public vocabularies are not in
+DuckDB's SQL; the tests compare each with a brute-force version, an exact round
+trip or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -69,4 +69,70 @@ def _url_filters_sql() -> str:
             "ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, row, host, path")
 
 
-ORACLE: dict[str, str] = {"op11_collocations": _collocations_sql(), "op12_url_filters": _url_filters_sql()}
+def _chat_sql() -> str:
+    """Digests of the turns and of the assistants' texts, and the lengths of markers, texts and escapes, without formatting."""
+    text = "<|im_end|><|im_start|>assistant ok"
+    escapes = "len(regexp_extract_all({}, '<\\\\*\\|'))"  # one character for each string that would be a marker
+    size = (f"24 + length(role) + {escapes.format('role')} + 5 * (length(role) - length(replace(role, chr(10), ''))) "
+            f"+ length(text) + {escapes.format('text')}")
+    trained = "CASE WHEN role = 'assistant' THEN text ELSE '' END"
+    return ("WITH c AS (SELECT conv_id, turn, role, text FROM conversations "
+            f"UNION ALL VALUES (-1, 0, 'user', '{text}'), (-1, 1, 'assistant', '{text}')), "
+            "o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, "
+            "row_number() OVER (ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM c) "
+            "SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, "
+            "sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, "
+            f"CAST(sum(length({trained})) AS BIGINT) AS loss_chars, sha256(string_agg({trained}, '' ORDER BY pos)) AS loss_sha256, "
+            f"CAST(sum({size}) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id")
+
+
+def _conversation_repair_sql() -> str:
+    """Damage and faults; then the least (cost, audit) of every state, row after row, inserts first."""
+    crc32 = ("xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)), "
+             "lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)")
+    blank = "'[\x20\x09-\x0D]'"
+    inserts = ("(0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:|'), "
+               "(0, 3, 4, 'II', 'user:|assistant:|'), (1, 2, 2, 'I', 'user:|'), (1, 3, 4, 'II', 'user:|assistant:|'), "
+               "(2, 3, 2, 'I', 'assistant:|'), (3, 2, 2, 'I', 'user:|')")
+    edits = ("('D', 0, '', 0), ('D', 1, '', 1), ('D', 2, '', 2), ('D', 3, '', 3), "
+             "('K', 0, 's', 1), ('K', 0, 'u', 2), ('K', 1, 'u', 2), ('K', 2, 'a', 3), ('K', 3, 'u', 2), "
+             "('R', 0, 'u', 2), ('R', 1, 'u', 2), ('R', 2, 'a', 3), ('R', 3, 'u', 2)")
+    cost = "w.cost + n.cost + CASE letter WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + CASE WHEN letter <> 'D' AND fault = 't' THEN 1 ELSE 0 END"
+    line = ("CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) "
+            "ELSE CASE e.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10) END")
+    return ("WITH RECURSIVE g AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)), "
+            "a AS (SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, "
+            "coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k "
+            "FROM conversations c JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id), "
+            f"b AS (SELECT g, turn, role, text, {crc32} % 20 AS damage FROM a), "
+            "d AS (SELECT g, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, "
+            "CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, "
+            "unnest(CASE damage WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM b), "
+            "o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d), "
+            f"q AS (SELECT *, regexp_replace(text, {blank}, '', 'g') AS shown, row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS times, "
+            "lag(role) OVER (PARTITION BY g ORDER BY i) AS before FROM o), "
+            "f AS (SELECT g, i, turn, role, text, left(role, 1) AS initial, CASE WHEN shown = '' THEN 'b' WHEN times > 1 THEN 'd' "
+            "WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault, "
+            "before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM q), "
+            f"n(s, t, cost, letters, lines) AS (VALUES {inserts}), e(letter, s, initial, t) AS (VALUES {edits}), "
+            "w AS (SELECT g, CAST(0 AS BIGINT) AS i, 0 AS s, 0 AS cost, '' AS audit, '' AS lines FROM g UNION ALL "
+            "SELECT g, i, s, least_way.cost, least_way.audit, least_way.lines FROM (SELECT w.g, f.i, e.t AS s, "
+            f"min(struct_pack(cost := {cost}, audit := audit || letters || letter, "
+            f"lines := w.lines || replace(n.lines, '|', chr(10)) || {line})) AS least_way "
+            "FROM w JOIN f ON f.g = w.g AND f.i = w.i + 1 JOIN n ON n.s = w.s JOIN e ON e.s = n.t AND (letter = 'D' "
+            "OR fault IN ('t', '.') AND (letter = 'R' OR e.initial = f.initial)) GROUP BY w.g, f.i, e.t)), "
+            "x AS (SELECT g, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, "
+            "count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated, "
+            "count_if(illegal) AS illegal FROM f GROUP BY g), "
+            "z AS (SELECT w.g, min(struct_pack(cost := w.cost + n.cost, audit := audit || letters, "
+            "lines := w.lines || replace(n.lines, '|', chr(10)))) AS best FROM w LEFT JOIN x ON x.g = w.g JOIN n ON n.s = w.s "
+            "WHERE w.i = coalesce(rows, 0) AND n.t IN (0, 3) GROUP BY w.g) "
+            "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, "
+            + "".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}, " for c in ("blank", "duplicate", "truncated", "illegal")) +
+            "CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, "
+            "sha256(left(best.lines, greatest(length(best.lines) - 1, 0))) AS repaired_sha256 "
+            "FROM g JOIN z ON z.g = g.g LEFT JOIN x ON x.g = g.g")
+
+
+ORACLE: dict[str, str] = {"op2_chat_formatting": _chat_sql(), "op11_collocations": _collocations_sql(),
+                          "op12_url_filters": _url_filters_sql(), "op13_conversation_repair": _conversation_repair_sql()}
