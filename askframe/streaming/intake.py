@@ -12,11 +12,17 @@ its number: several streams may write to one KB.  Its rows go to a folder of
 that key, whose committed writes a replay skips, completing what is missing.
 The KB is written before the vectors, the vectors before the stored index.
 
-Uploads are many small files.  Spark packs files into tasks by bytes and adds
-``spark.sql.files.openCostInBytes`` (4 MB) for each, so 10,000 small files
-become hundreds of tasks of 32 files however few cores there are; inside the
-intake a file counts ``OPEN_COST`` more, so tasks get groups of files balanced
-by bytes, as many groups as there are cores or more.
+Uploads are many small files, and Spark's settings for them are those of the
+session that a stream was loaded with, read anew for every batch.  The intake
+therefore runs in a session of its own (``packing_session``) with two changes:
+
+* Spark packs files into tasks by bytes and adds
+  ``spark.sql.files.openCostInBytes`` (4 MB) for each, so 10,000 small files
+  become hundreds of tasks of 32 files however few cores there are; here a file
+  counts ``OPEN_COST`` more, so tasks get groups of files balanced by bytes, as
+  many groups as there are cores or more;
+* the files of a batch are looked up by a job of up to 10,000 tasks, one per
+  file; here it has ``LISTING_TASKS``, or four for each core if that is more.
 """
 
 from __future__ import annotations
@@ -35,26 +41,36 @@ from askframe.sources.uploads import UPLOAD_GLOB, category_from_path, decode_upl
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-OPEN_COST = 64 * 1024
+OPEN_COST, LISTING_TASKS = 64 * 1024, 64
+OPEN_COST_KEY, LISTING_KEY = "spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def packing_session(spark: SparkSession, open_cost: int = OPEN_COST) -> SparkSession:
+    """A session like ``spark``, with its settings, functions and views, that packs small files into tasks."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(OPEN_COST_KEY, str(open_cost))
+    tasks = max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    own.conf.set(LISTING_KEY, str(min(tasks, int(spark.conf.get(LISTING_KEY)))))
+    return own
 
 
 @contextmanager
 def packed_files(spark: SparkSession, open_cost: int = OPEN_COST):
-    """A stream started inside plans its file groups with this cost per file (it copies the session's settings)."""
-    key = "spark.sql.files.openCostInBytes"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(open_cost))
+    """Batch actions inside plan their file groups with this cost per file; for streams see ``packing_session``."""
+    old = spark.conf.get(OPEN_COST_KEY)
+    spark.conf.set(OPEN_COST_KEY, str(open_cost))
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        spark.conf.set(OPEN_COST_KEY, old)
 
 
 def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vectors_path: str,
                         checkpoint: str, profile: rules.Profile = rules.DEFAULT_PROFILE,
                         embedder: Callable[[Column], Column] | None = None, available_now: bool = True,
                         index_path: str | None = None, max_files_per_trigger: int | None = None):
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+    """The running query.  It belongs to a session of its own, so ``spark.streams`` doesn't list it: keep the handle."""
+    reader = (packing_session(spark).readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
                    .option("pathGlobFilter", UPLOAD_GLOB).option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -69,8 +85,7 @@ def start_upload_intake(spark: SparkSession, source_dir: str, kb_path: str, vect
 
     writer = decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    with packed_files(spark):
-        return writer.start()
+    return writer.start()
 
 
 def start_question_answering(spark: SparkSession, source_dir: str, schema: str, vectors: DataFrame | None,

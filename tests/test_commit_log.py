@@ -140,3 +140,23 @@ def test_files_are_packed_by_bytes(spark, tmp_path):
         with intake.packed_files(spark, cost or 4 << 20):
             groups[cost] = spark.read.format("binaryFile").load(str(tmp_path / "in")).rdd.getNumPartitions()
     assert groups[None] >= 13 and groups[intake.OPEN_COST] <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_streams_batches_are_packed(spark, tmp_path, monkeypatch):
+    """The groups that the batches of a running stream have, not those of a read of the same folder."""
+    (tmp_path / "in" / "c").mkdir(parents=True)
+    seen, real = [], intake.append_batch
+
+    def append(session, path, uploads, *rest):
+        seen.append((uploads.rdd.getNumPartitions(), int(session.conf.get(intake.LISTING_KEY)), session.conf.get("spark.sql.session.timeZone")))
+        return real(session, path, uploads, *rest)
+
+    monkeypatch.setattr(intake, "append_batch", append)
+    for n in (0, 400):  # the second batch comes long after the start
+        for i in range(n, n + 400):
+            (tmp_path / "in" / "c" / f"{i}.txt").write_text("x")
+        intake.start_upload_intake(spark, str(tmp_path / "in"), str(tmp_path / "kb"), str(tmp_path / "vec"), str(tmp_path / "ck")).awaitTermination()
+    assert len(seen) == 2 and spark.conf.get(intake.OPEN_COST_KEY) != str(intake.OPEN_COST)
+    for groups, listing, zone in seen:
+        assert groups <= 2 * spark.sparkContext.defaultParallelism and listing <= 64 and zone == spark.conf.get("spark.sql.session.timeZone")
+    assert kb_store.load_knowledge_base(spark, str(tmp_path / "kb")).count() == 800
