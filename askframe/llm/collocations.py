@@ -236,8 +236,9 @@ def count_phrases(docs: DataFrame, levels: set[int], accepted: Filter | None = N
             number, place = _dense(gram[at] * np.int64(len(words)) + ids[at + n - 1])
             place = at[place]
             before = np.zeros(len(place), dtype=bool)
-            for has in inside:
-                before |= has[gram[place]] & has[gram[place + 1]]
+            reached = [has[gram[place]] & has[gram[place + 1]] for has in inside]
+            for then in reached:
+                before |= then
             new_hash = _mixed(gram_hash[gram[place]], hashes[ids[place + n - 1]])
             now = keep.has(new_hash) if keep else np.ones(len(place), dtype=bool)
             if expand:
@@ -249,7 +250,8 @@ def count_phrases(docs: DataFrame, levels: set[int], accepted: Filter | None = N
             gram = np.zeros(len(ids), dtype=np.int64)
             gram[at] = number
             valid = both
-            gram_hash, possible, inside = new_hash, now, [f.has(new_hash) for f in old]
+            # a filter may hold a phrase by chance that its pass never reached: nothing longer was counted there
+            gram_hash, possible, inside = new_hash, now, [f.has(new_hash) & then for f, then in zip(old, reached)]
 
     def run(batches):
         names: list[bytes] = []       # languages

@@ -107,3 +107,12 @@ def test_large_counts_score_exactly(spark):
     rows = [("en", 1, "x", big), ("en", 1, "y", big - 7), ("en", 2, "x y", big - 9)]
     got = C.score_phrases(spark.createDataFrame(rows, "lang string, words int, phrase string, n long")).first()
     assert got["score"] == 1_000_000 * (big - 9) ** 2 // (big * (big - 7))
+
+
+def test_a_phrase_that_a_filter_holds_by_chance_was_not_counted_before(spark):
+    docs = frame(spark, [(i, "alpha beta gamma", "en") for i in range(12)])
+    of = lambda *phrases: C.filter_of(spark.createDataFrame([("en", p) for p in phrases], "lang string, phrase string"), 19)
+    by_chance = of("alpha", "gamma", "alpha beta", "beta gamma")  # both pairs, but not the word they share: neither was reached
+    assert C.count_phrases(docs, {2, 3}, by_chance).count() == 0
+    found = C.count_phrases(docs, {2, 3}, of("alpha", "beta", "gamma"), [by_chance], expand=True)
+    assert {r["phrase"]: r["n"] for r in found.collect()} == {"alpha beta": 12, "beta gamma": 12, "alpha beta gamma": 12}
