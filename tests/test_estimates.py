@@ -88,3 +88,13 @@ def test_no_questions(spark, monkeypatch):
     _fake_search(monkeypatch, lambda i: F.lit(1))
     row = EV.estimated_hit_rates(_kb(spark, 10).filter("ord < 0"), None, [1]).first()
     assert (row.n_sampled, row.top1_match, row.top1_low, row.top1_high) == (0, 0.0, 0.0, 0.0)
+
+
+def test_recall_counts_the_answers_of_all_questions(spark, tmp_path):
+    import numpy as np
+    from askframe.plans.catalog_vectors import vec_ann_recall, vec_topk
+    x = np.random.default_rng(3).normal(size=(300, 8))  # more rows than the sample that the number of cells is chosen from
+    spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int") \
+        .write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = vec_ann_recall(spark, str(tmp_path)).first()
+    assert row.n_exact == vec_topk(spark, str(tmp_path)).count() and row.n_found >= 0.9 * row.n_exact
