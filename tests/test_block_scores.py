@@ -124,3 +124,35 @@ def test_nprobe_searches_only_a_sample_exactly(spark, monkeypatch):
     exact = {(r.query_id, r.doc_id) for r in original(others, index).collect()}
     found = {(r.query_id, r.doc_id) for r in original(others, index, mode="approx", nprobe=nprobe).collect()}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(0, 60), st.integers(1, 70), st.integers(1, 7), st.floats(-0.2, 0.9),
+       st.floats(0, 1))
+def test_products_never_lose_a_pair_and_meet_only_visited_parts(seed, nq, nd, dim, k, need, share):
+    rng = np.random.default_rng(seed)
+    q, d = rng.normal(size=(nq, dim)) * 10.0 ** rng.integers(-20, 20), rng.normal(size=(nd, dim))
+    d[rng.random(nd) < 0.1] = 0.0
+    if nd:
+        d[rng.random(nd) < 0.3] = d[0]
+    part = np.sort(rng.integers(0, 5, nd))
+    start, visits = np.searchsorted(part, np.arange(6)), rng.random((nq, 5)) < share
+    pairs = list(B.product_pairs(B.unit_rows(q).astype(np.float32), B.unit_rows(d).astype(np.float32), k, np.full(nq, need), visits, start))
+    got = [(i, j) for rows, cols in pairs for i, j in zip(rows.tolist(), cols.tolist())]
+    cos = np.where(visits[:, part], _cosines(q, d), -np.inf)
+    assert len(got) == len(set(got)) and all(visits[i, part[j]] for i, j in got)
+    assert _must_have(cos, k, np.full(nq, need)) <= set(got)
+
+
+@pytest.mark.parametrize("v", [np.array([1, -128]), np.array([300, 0]), np.array([1 << 40, 2]), np.array([0.1, np.nan], np.float32),
+                               np.array([0.1, 1e300]), np.zeros(0)])
+def test_packed_vectors_come_back(v):
+    assert np.array_equal(B.unpack([B.pack(v)])[0], v.astype(float), equal_nan=True)
+    assert len(B.pack(np.ones(384, np.int32))) < 400  # counts travel as single bytes
+
+
+def test_a_question_travels_once_per_group_of_cells():
+    import askframe.operators.similarity as S
+    groups, group_of, place = S._cell_groups(np.array([5, 5, 30, 0, 8, 3]), 12)
+    assert [g.tolist() for g in groups] == [[0, 1], [2], [3, 4, 5]]
+    assert group_of.tolist() == [0, 0, 1, 2, 2, 2] and place.tolist() == [0, 1, 0, 0, 1, 2]
