@@ -37,3 +37,18 @@ def test_what_is_remembered_does_not_change_counts(monkeypatch):
     small = embed._counts_for(texts, 16, embed._Buckets(16))
     assert all(np.array_equal(a, b) for a, b in zip(whole, small))
     assert whole[0][0].sum() == 3 and whole[0][2].max() == 50 and whole[1].tolist()[1] == 0
+
+
+def test_hashing_takes_small_batches_and_gives_the_same_vectors(spark, monkeypatch):
+    from askframe.operators import embed as E
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        df = spark.range(600).selectExpr("id", "CASE WHEN id % 7 <> 0 THEN concat('w', id % 50, ' tail w', id) END AS text").coalesce(1)
+        out = E.hashed_vectors(df, "text", ["id"], dim=16, outputs=("tf", "sq"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        got = {r.id: (r.tf, r.sq) for r in out.collect()}
+        want = {r.id: (r.tf, r.sq) for r in E.hashed_vectors(df, "text", ["id"], dim=16, engine="sql", outputs=("tf", "sq")).collect()}
+        assert got == want and len(got) == 600
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
