@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from askframe import rules
 from askframe.functions.text import fix_encoding
 from askframe.operators.kb import assign_dense_ids
+from askframe.session import few_listing_tasks
 
 QA = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
 CATEGORY = T.StructType([T.StructField("category", T.StringType()),
@@ -18,9 +19,10 @@ FAQ_SCHEMA = T.StructType([T.StructField("categories", T.ArrayType(CATEGORY))])
 
 def read_faq_json(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file with an explicit schema (no inference pass); ``file`` is its whole path."""
-    return (spark.read.schema(FAQ_SCHEMA).option("multiLine", True).json(path)
-                 .withColumn("file", F.input_file_name())
-                 .withColumn("source", F.element_at(F.split("file", "/"), -1)))
+    with few_listing_tasks(spark):
+        faq = spark.read.schema(FAQ_SCHEMA).option("multiLine", True).json(path)
+    return (faq.withColumn("file", F.input_file_name())
+               .withColumn("source", F.element_at(F.split("file", "/"), -1)))
 
 
 def flatten_faq(faq: DataFrame, file_no_col: str | None = None, source_col: str = "source",

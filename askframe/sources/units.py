@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from askframe import rules
 from askframe.operators import kb as K
 from askframe.operators.util import materialize
+from askframe.session import few_listing_tasks
 from askframe.sources.faq import FAQ_SCHEMA, flatten_faq
 from askframe.sources.kb_store import path_exists
 from askframe.sources.sheets import parse_sheets, sheet_products
@@ -49,7 +50,9 @@ def sheet_units(rows: DataFrame, sheet_map: DataFrame | None, skip_sheets: list[
 
 def faq_files(spark: SparkSession, path: str, settings: str) -> DataFrame:
     """(file, content, fp) of every FAQ file; equal files at different paths are units of their own."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+    with few_listing_tasks(spark):
+        files = spark.read.text(path, wholetext=True)
+    files = files.select(F.input_file_name().alias("file"), F.col("value").alias("content"))
     return files.withColumn("fp", F.sha2(F.concat_ws("|", F.lit("faq"), F.lit(settings), "file", F.sha2("content", 256)), 256))
 
 
