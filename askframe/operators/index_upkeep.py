@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askframe.operators.similarity import (COMPACTED, CellIndex, _cell_bounds, _cells_frame, _collect_vectors, _matrix, _unit, counted,
-                                           read_index, snapshot)
+                                           dealt_by_cell, read_index, snapshot)
 from askframe.operators.util import materialize
-from askframe.session import ship_package
+from askframe.session import few_listing_tasks, ship_package
 from askframe.sources.commit_log import CommitLog
 
 MAX_CELLS = 4096
@@ -112,7 +112,9 @@ def compact_index(spark: SparkSession, path: str, cell_rows: int = 1024, small_r
     if not small and not over:
         return False
 
-    data = counted(spark.read.parquet(f"{path}/data"), snap, "_cell").withColumn("batch", F.col("batch").cast("string"))
+    with few_listing_tasks(spark):
+        data = spark.read.parquet(f"{path}/data")
+    data = counted(data, snap, "_cell").withColumn("batch", F.col("batch").cast("string"))
     moved = data.filter(F.col("batch").isin(small) | F.col("_cell").isin(list(over))).drop("batch")
     moved = materialize(moved)
     cents = index.centroids
@@ -144,7 +146,8 @@ def compact_index(spark: SparkSession, path: str, cell_rows: int = 1024, small_r
     key = f"{COMPACTED}{number}"
     radius, counts = _cell_bounds(moved, len(cents))
     made = CellIndex(moved, cents, radius, counts, index.integer, index.did, index.vec)
-    moved.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_cell").parquet(f"{path}/data/batch={key}")
+    (dealt_by_cell(made).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_cell")
+     .parquet(f"{path}/data/batch={key}"))
     # every cell, also empty ones: a cell's number is its place among the centroids
     _cells_frame(made, range(len(cents))).write.mode("overwrite").parquet(f"{path}/cells/batch={key}")
     kept = [b for b in of_batch if b not in small]
