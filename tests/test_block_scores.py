@@ -1,5 +1,7 @@
 """Bounds of the block scorers: nothing that belongs to the answer is left out, and few pairs are scored exactly."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -156,3 +158,34 @@ def test_a_question_travels_once_per_group_of_cells():
     groups, group_of, place = S._cell_groups(np.array([5, 5, 30, 0, 8, 3]), 12)
     assert [g.tolist() for g in groups] == [[0, 1], [2], [3, 4, 5]]
     assert group_of.tolist() == [0, 0, 1, 2, 2, 2] and place.tolist() == [0, 1, 0, 0, 1, 2]
+
+
+def _of_a_block(packed, questions, k=5, need=0.3):
+    q, d = B.unpack(packed[:questions]), B.unpack(packed)
+    ask = np.full(questions, need)
+    pairs = list(B.product_pairs(B.unit_float32(q), B.unit_float32(d), k, ask, np.ones((questions, 1), dtype=bool), np.array([0, len(d)])))
+    rows, cols = (np.concatenate(x) for x in zip(*pairs))
+    return rows, cols, B.dots_in_order(q, d, rows, cols)
+
+
+def test_a_block_of_counts_takes_less_memory_than_its_numbers_in_float64():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(rng.random(384) ** 3 * 3, size=(12_000, 384)).astype(np.int32)
+    packed = [B.pack(v) for v in counts]
+    tracemalloc.start()
+    rows, cols, dots = _of_a_block(packed, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < counts.size * 8 * 1.5, f"{peak / 1e6:.0f} MB"
+    assert len(rows) >= 200 * 5 and np.array_equal(dots, (counts[rows].astype(np.int64) * counts[cols]).sum(axis=1))
+
+
+@pytest.mark.parametrize("kinds", [(np.int32, np.int32), (np.int64, np.int32), (np.float32, np.float64), (np.float32, np.float32)])
+def test_dots_of_packed_vectors_are_those_in_float64(kinds):
+    rng = np.random.default_rng(8)
+    q, d = ((rng.standard_normal((6, 20)) * 300).astype(kind) for kind in kinds)
+    d[:3] = d[:3] / 100  # vectors of one block packed in different types
+    qi, di = (x.ravel() for x in np.indices((6, 6)))
+    got = B.dots_in_order(B.unpack([B.pack(v) for v in q]), B.unpack([B.pack(v) for v in d]), qi, di)
+    assert np.array_equal(got, B.dots_in_order(q.astype(np.float64), d.astype(np.float64), qi, di))
+    assert np.array_equal(B.unit_float32(q), B.unit_rows(q.astype(np.float64)).astype(np.float32))
