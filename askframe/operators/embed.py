@@ -29,7 +29,7 @@ from askframe.session import ship_package, small_batches
 _TOKEN = re.compile(r"[^\W_]+")  # in Python: letters and digits of every script, [\p{L}\p{N}]+ elsewhere
 _SPLIT = r"[^\p{L}\p{N}]+"
 ROWS = 256  # rows whose counts and texts are held at once on the way out
-_CACHE_MAX = 1 << 18
+_CACHE_MAX, _CACHE_CHARS = 1 << 18, 64  # tokens a worker keeps, and the longest of them: long ones are mostly met once
 
 
 def token_bucket(token: str, dim: int) -> int:
@@ -37,16 +37,18 @@ def token_bucket(token: str, dim: int) -> int:
 
 
 class _Buckets(dict):
-    """Bucket of each token met by a worker; md5 runs once per distinct token, up to a bound on what is kept."""
+    """Bucket of each token met by a worker; md5 runs once per distinct token, up to a bound on what is kept, in tokens and in bytes."""
 
     def __init__(self, dim: int):
         super().__init__()
         self.dim = dim
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= _CACHE_MAX:
-            self.clear()
-        bucket = self[token] = token_bucket(token, self.dim)
+        bucket = token_bucket(token, self.dim)
+        if len(token) <= _CACHE_CHARS:
+            if len(self) >= _CACHE_MAX:
+                self.clear()
+            self[token] = bucket
         return bucket
 
 

@@ -52,3 +52,11 @@ def test_hashing_takes_small_batches_and_gives_the_same_vectors(spark, monkeypat
         assert got == want and len(got) == 600
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_long_tokens_are_hashed_but_not_kept():
+    from askframe.operators import embed
+    buckets, long = embed._Buckets(16), "x" * 1000
+    for token in (long, "short", long):
+        assert buckets[token] == embed.token_bucket(token, 16)
+    assert list(buckets) == ["short"]
