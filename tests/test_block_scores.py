@@ -1,11 +1,13 @@
 """Bounds of the block scorers: nothing that belongs to the answer is left out, and few pairs are scored exactly."""
 
+import math
 import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from askframe.operators import block_scores as B
 from askframe.operators.similarity import (build_cells, cell_depths, depth_for_recall, nprobe_for_recall, sampled_questions,
@@ -189,3 +191,48 @@ def test_dots_of_packed_vectors_are_those_in_float64(kinds):
     got = B.dots_in_order(B.unpack([B.pack(v) for v in q]), B.unpack([B.pack(v) for v in d]), qi, di)
     assert np.array_equal(got, B.dots_in_order(q.astype(np.float64), d.astype(np.float64), qi, di))
     assert np.array_equal(B.unit_float32(q), B.unit_rows(q.astype(np.float64)).astype(np.float32))
+
+
+def test_documents_are_held_and_questions_pass_by():
+    rng = np.random.default_rng(12)
+    d = rng.poisson(0.4, size=(5000, 30)).astype(np.int32)
+    d[100:200] = d[0]
+    docs = B.Documents(3)
+    packed = [B.pack(v) for v in d]
+    for at in range(0, 5000, 700):  # one part, as batches bring it
+        docs.add(packed[at:at + 700], np.zeros(len(packed[at:at + 700]), dtype=int), at)
+    q = d[:300]
+    rows, cols, dots = docs.pairs(q, 3, np.full(300, 0.2), np.ones((300, 1), dtype=bool))
+    assert docs.size == np.minimum(np.unique(d, axis=0, return_counts=True)[1], 3).sum()  # of equal vectors k are held
+    assert np.array_equal(dots, (q[rows] * d[cols]).sum(axis=1))
+    cos = _cosines(q.astype(float), d.astype(float))
+    for i in range(300):
+        got = np.sort(cos[i, cols[rows == i]])[::-1]
+        want = np.sort(cos[i][cos[i] >= 0.2])[::-1][:3]
+        assert len(got) >= len(want) and np.allclose(got[:len(want)], want) and len(got) < 60
+
+
+def test_what_travels_to_the_blocks_of_a_search_stays_small():
+    import askframe.operators.similarity as S
+    documents, questions = 2_500_000, 2_500_000
+    rows = S.BLOCK_BYTES // 384
+    held = {g: rows for g in range(math.ceil(documents / rows))}
+    blocks = S._blocks(held, dict.fromkeys(held, questions), rows, 48)
+    moved = sum(held[g] * qn + questions * dn for g, (dn, qn) in blocks.items())
+    assert moved < 40 * (documents + questions)  # 153 times both sides in square blocks of 16,384
+    assert len(held) * 10 >= 48 and S._blocks({0: 100}, {0: 50}, rows, 48) == {0: (1, 1)}
+    assert S._blocks({0: 4000}, {0: 10 ** 6}, rows, 48)[0][1] == 48
+
+
+def test_the_second_phase_leaves_out_the_cell_that_the_first_visited(spark):
+    import askframe.operators.similarity as S
+    x = np.repeat(np.eye(2), 6, axis=0) + 0.01 * np.random.default_rng(3).random((12, 2))
+    index = build_cells(_vectors(spark, x), cell_rows=6)
+    assert len(index.centroids) == 2
+    cell = {r["_did"]: r["_cell"] for r in index.assigned.collect()}
+    q = spark.createDataFrame([(i, [1.0, 1.0], i) for i in (0, 1)], "_qid long, _v array<double>, _near int")  # as near to both cells
+    find = dict(k=20, threshold=0.1, block_rows=None, stats=None)
+    first = {(r["_qid"], cell[r["_did"]]) for r in S._search(q, index, nearest=1, **find).collect()}
+    second = {(r["_qid"], cell[r["_did"]]) for r in
+              S._search(q.withColumn("_floor", F.lit(None).cast("double")), index, nearest=None, **find).collect()}
+    assert first == {(0, 0), (1, 1)} and second == {(0, 1), (1, 0)}
