@@ -17,6 +17,7 @@ from askframe import rules
 from askframe.operators import evaluate as EV
 from askframe.operators import kb as K
 from askframe.operators.answer import answer_questions
+from askframe.operators.util import release, sweep
 from askframe.operators.vectors import (build_vector_index, index_exists, kb_vectors, load_vector_index, load_vectors,
                                        stored_index_exists, write_vectors)
 from askframe.sources.faq import flatten_faq, read_faq_json
@@ -80,6 +81,9 @@ def build_knowledge_base(spark: SparkSession, *, kb_path: str, vectors_path: str
             raw = raw.unionByName(p)
         kb = K.process_documents(raw, profile)
     write_knowledge_base(kb, kb_path)
+    release(kb)
+    kb = kept = raw = parts = None  # what the build shuffled and stored on the way may go
+    sweep(spark)
     kb = load_knowledge_base(spark, kb_path)
     if vectors_path:
         write_vectors(kb_vectors(kb, embedder), vectors_path)

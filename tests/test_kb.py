@@ -1,6 +1,10 @@
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from askframe.operators import kb as K
+from askframe.operators.util import sweep
 
 
 def _raw(spark, rows):
@@ -68,3 +72,34 @@ def test_breakdowns(spark):
     got = [tuple(r) for r in K.category_breakdown(kb).collect()]
     assert got == [("a", 2, False), ("b", 1, False), (None, 3, True)]
     assert sorted(tuple(r) for r in K.source_counts(kb).collect()) == [("s1", "x", 2), ("s2", "y", 1)]
+
+
+def _checkpoint_mb(spark):
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sum(os.path.getsize(f"{at}/{n}") for at, _, names in os.walk(root) for n in names if "/rdd-" in at) / 1e6
+
+
+def test_a_build_leaves_no_copies_of_its_rows_behind(spark, tmp_path):
+    from askframe.jobs import build_knowledge_base
+    sheets = spark.range(400).selectExpr("concat('s', id % 4) AS sheet", "CAST(id % 4 AS INT) AS sheet_no", "id AS row_no",
+                                         "array(CASE WHEN id % 8 < 4 THEN concat('q', id, '?') ELSE repeat(concat('a', id), 1000) END) AS cells")
+    sheets.write.parquet(str(tmp_path / "sheets"))
+    sweep(spark)
+    time.sleep(2)  # the cleaner's own thread
+    before = _checkpoint_mb(spark)
+    kb = build_knowledge_base(spark, kb_path=str(tmp_path / "kb"), sheet_rows_path=str(tmp_path / "sheets"), skip_sheets=[])
+    assert kb.count() == 200 and kb.agg(F.sum(F.length("answer"))).first()[0] > 0.6e6
+    for _ in range(40):  # the cleaner takes a while
+        if _checkpoint_mb(spark) < before + 0.2:
+            break
+        time.sleep(0.25)
+    assert _checkpoint_mb(spark) < before + 0.2
+
+
+def test_numbered_rows_are_stored_once(spark):
+    before = _checkpoint_mb(spark)
+    rows = spark.range(300).selectExpr("id", "sha2(CAST(id AS STRING), 512) || repeat(CAST(id AS STRING), 2000) AS t")
+    kept = K.assign_dense_ids(rows, ["id"])
+    size = kept.agg(F.sum(F.length("t"))).first()[0] / 1e6
+    assert size > 1.5 and _checkpoint_mb(spark) - before < 1.5 * size
+    assert [r.ord for r in kept.orderBy("id").collect()] == list(range(300))
